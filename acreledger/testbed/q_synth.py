@@ -1,0 +1,118 @@
+"""Generator queries; ids come from the test tables, so output grows with them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from acreledger.plans import synth
+from acreledger.testbed.registry import define, query, rnd
+
+P = synth.PRIME
+
+
+def dr(key: str, salt: int) -> str:
+    a = f"(({key}) % {P} + {salt * 7919 + 12345}) % {P}"
+    b = f"(({a}) * 48271 + {salt}) % {P}"
+    d = f"(({b}) * ({b}) + ({a})) % {P}"
+    return f"((({d}) * 69621 + ({b})) % {P})"
+
+
+def un(key: str, salt: int) -> str:
+    return f"(CAST({dr(key, salt)} AS DOUBLE) / {P}e0)"
+
+
+def no(key: str, salt: int) -> str:
+    return f"(CAST({' + '.join(dr(key, salt + i) for i in range(12))} AS DOUBLE) / {P}e0 - 6e0)"
+
+
+def pick(u: str, values, weights) -> str:
+    total, out = 0.0, []
+    for v, w in zip(values[:-1], weights[:-1]):
+        total += w
+        out.append(f"WHEN {u} < CAST({total!r} AS DOUBLE) THEN {v!r}")
+    return f"CASE {' '.join(out)} ELSE {values[-1]!r} END"
+
+
+def rng(col: str, ranges, u: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN CAST({lo!r} AS DOUBLE) + {u} * CAST({hi - lo!r} AS DOUBLE)" for k, (lo, hi) in ranges.items()) + " END"
+
+
+def pid(prefix: str, key: str, width: int) -> str:
+    return f"'{prefix}-' || lpad(CAST({key} AS VARCHAR), CAST(greatest({width}, length(CAST({key} AS VARCHAR))) AS INT), '0')"
+
+
+# ids: tenants = suppliers / 5, funds = suppliers, investors = customers, properties = parts, ledger = orders
+define("s_arenas", f"""SELECT {pid("ARN", "id", 5)} AS arena_id, 'Sponsor ' || ({dr("id", 2)} % 25) || ' ' || ['Capital','Holdings','Partners'][{dr("id", 3)} % 3 + 1] AS arena_name,
+    {pick(un("id", 1), synth.TIERS, synth.TIER_WEIGHTS)} AS tier, TIMESTAMP '2020-01-01 00:00:00' + to_hours(id) AS created_at
+  FROM (SELECT DISTINCT s_suppkey // 5 AS id FROM supplier) i""")
+define("s_funds", f"""SELECT {pid("FND", "id", 6)} AS fund_id, {pid("ARN", "(id // 5)", 5)} AS arena_id, 'Fund ' || id AS fund_name,
+    CAST(2015 + {dr("id", 12)} % 11 AS INT) AS vintage_year, strategy, {rnd(rng("strategy", synth.RETURN_RANGES, un("id", 13)), 1)} AS target_return_pct,
+    {rnd(f"least(greatest(exp(20e0 + 12e-1 * {no('id', 20)}), 50e6), 5e9)", 2)} AS aum, CASE WHEN {un("id", 14)} < 9e-1 THEN 'active' ELSE 'closed' END AS status
+  FROM (SELECT s_suppkey AS id, {pick(un("s_suppkey", 11), synth.STRATEGIES, synth.STRATEGY_WEIGHTS)} AS strategy FROM supplier) f""")
+define("s_investors", f"""SELECT {pid("INV", "id", 7)} AS investor_id, {pid("ARN", "arena", 5)} AS arena_id, 'Investor ' || id AS investor_name, type,
+    {rnd(rng("type", synth.COMMITMENT_RANGES, un("id", 42)), 2)} AS commitment_amount, {pid("FND", f"(arena * 5 + ({dr('id', 44)} + k) % 5)", 6)} AS fund_id,
+    'City ' || ({dr("id", 45)} % 30) AS city, 'S' || ({dr("id", 46)} % 50) AS state
+  FROM (SELECT id, arena, type, unnest(range(0, n)) AS k FROM (SELECT c_custkey AS id, c_custkey // 50 AS arena,
+      {pick(un("c_custkey", 41), synth.INVESTOR_TYPES, synth.INVESTOR_TYPE_WEIGHTS)} AS type,
+      {pick(un("c_custkey", 43), [1, 2, 3], [0.50, 0.35, 0.15])} AS n FROM customer) a) b""")
+define("s_properties", f"""SELECT {pid("PRP", "id", 6)} AS property_id, {pid("ARN", "(id // 10)", 5)} AS arena_id,
+    {pid("FND", f"((id // 10) * 5 + {dr('id', 60)} % 5)", 6)} AS fund_id, 'Building ' || id AS property_name, ({dr("id", 62)} % 9999 + 1) || ' Main St' AS address,
+    'City ' || ({dr("id", 63)} % 30) AS city, 'S' || ({dr("id", 64)} % 50) AS state, property_type,
+    CAST(make_date(CAST(2016 + {dr("id", 65)} % 10 AS INT), 1, 1) + CAST({dr("id", 66)} % 365 AS INT) AS DATE) AS acquisition_date, acquisition_price,
+    {rnd(f"acquisition_price * (8e-1 + {un('id', 67)} * 8e-1)", 2)} AS current_valuation,
+    CAST(floor({rng("property_type", synth.SQFT_RANGES, un("id", 68))}) AS INT) AS square_footage, {rnd(f"7e-1 + {un('id', 69)} * 29e-2", 2)} AS occupancy_rate
+  FROM (SELECT p_partkey AS id, {pick(un("p_partkey", 61), synth.PROPERTY_TYPES, synth.PROPERTY_TYPE_WEIGHTS)} AS property_type,
+    {rnd(f"least(greatest(exp(17e0 + {no('p_partkey', 80)}), 5e6), 500e6)", 2)} AS acquisition_price FROM part) p""")
+
+
+def acct(part: int) -> str:
+    return "CASE " + " ".join(
+        f"WHEN category = '{cat}' THEN {[p[part] for p in pairs]}[{dr('id', 104)} % {len(pairs)} + 1]" for cat, pairs in synth.ACCOUNTS.items()) + " END"
+
+
+define("s_gl", f"""SELECT {pid("TXN", "id", 12)} AS transaction_id, {pid("ARN", "arena", 5)} AS arena_id, {pid("PRP", "prop", 6)} AS property_id,
+    {pid("FND", f"(arena * 5 + {dr('prop', 60)} % 5)", 6)} AS fund_id, {acct(0)} AS account_code, {acct(1)} AS account_name, {acct(1)} || ' entry' AS description,
+    {rnd(f"CASE WHEN category = 'revenue' THEN 1 ELSE -1 END * {rng('category', synth.AMOUNT_RANGES, un('id', 106))}", 2)} AS amount, transaction_date, category,
+    {un("id", 107)} < 98e-2 AS posted, CAST(year(transaction_date) AS INT) AS year, CAST(month(transaction_date) AS INT) AS month
+  FROM (SELECT id, arena, arena * 10 + {dr("id", 102)} % 10 AS prop, {pick(un("id", 103), synth.CATEGORIES, synth.CATEGORY_WEIGHTS)} AS category,
+      CAST(DATE '2023-01-01' + CAST({dr("id", 105)} % 1096 AS INT) AS DATE) AS transaction_date
+    FROM (SELECT o_orderkey AS id, {dr("o_orderkey", 101)} % (SELECT COUNT(*) // 5 FROM supplier) AS arena FROM orders) a) b""")
+
+
+def ids(df, key):
+    return df.select(F.col(key).cast("long").alias("id"))
+
+
+def generated(x):
+    t = x.t
+    n_arenas = t.supplier.agg(F.floor(F.count(F.lit(1)) / 5).cast("long")).scalar()
+    return {
+        "arenas": synth.arenas(t.supplier.select(F.floor(F.col("s_suppkey") / 5).cast("long").alias("id")).distinct()),
+        "funds": synth.funds(ids(t.supplier, "s_suppkey")),
+        "investors": synth.investor_commitments(ids(t.customer, "c_custkey")),
+        "properties": synth.properties(ids(t.part, "p_partkey")),
+        "gl": synth.gl(ids(t.orders, "o_orderkey"), n_arenas),
+    }
+
+
+query("gen_arenas", "SELECT arena_id, arena_name, tier, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM s_arenas")(
+    lambda x: generated(x)["arenas"].withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")))
+query("gen_funds", "SELECT * FROM s_funds")(lambda x: generated(x)["funds"])
+query("gen_investor_commitments", "SELECT * FROM s_investors")(lambda x: generated(x)["investors"])
+query("gen_properties", "SELECT * FROM s_properties")(lambda x: generated(x)["properties"])
+query("gen_gl", "SELECT * FROM s_gl")(lambda x: generated(x)["gl"])
+
+
+@query("gen_gl_wide")
+def _(x):
+    n_arenas = x.t.supplier.agg(F.floor(F.count(F.lit(1)) / 5).cast("long")).scalar()
+    return synth.gl_wide(ids(x.t.orders, "o_orderkey"), n_arenas)
+
+
+CHECKS = [("funds", "arena_id", "arenas"), ("investors", "fund_id", "funds"), ("properties", "fund_id", "funds"),
+          ("gl", "arena_id", "arenas"), ("gl", "fund_id", "funds"), ("gl", "property_id", "properties")]
+query("gen_integrity_check", " UNION ALL ".join(
+    [f"SELECT 'rows_{n}' AS check_name, COUNT(*) AS value FROM s_{n}" for n in ("arenas", "funds", "investors", "properties", "gl")]
+    + [f"SELECT 'orphans_{a}_{k}', COUNT(*) FROM s_{a} WHERE {k} NOT IN (SELECT {k} FROM s_{b})" for a, k, b in CHECKS]
+    + ["SELECT 'gl_fund_not_of_property', COUNT(*) FROM s_gl g JOIN s_properties p ON p.property_id = g.property_id WHERE p.fund_id <> g.fund_id"]))(
+    lambda x: synth.integrity_report(generated(x)))
