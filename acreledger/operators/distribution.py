@@ -163,3 +163,22 @@ def group_ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, s
         .withColumnRenamed("__n", "group_n")
         .drop("__v", "__s", "__start")
     )
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rnk") -> DataFrame:
+    """rank() over (partition by keys order by value desc); ties share a rank, NULLs come last.
+
+    Ranks are found per distinct value and joined back, so no group is sorted whole.
+    """
+    keys = list(keys)
+    rows = df.withColumn("__v", -F.col(value).cast("double") + F.lit(0.0))
+    counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    filled = counts.where(F.col("__v").isNotNull()).withColumn("__b", coarse(F.col("__v")))
+    offsets = _bucket_offsets(filled, keys).select(*keys, "__b", "__before")
+    inside = Window.partitionBy(*keys, "__b").orderBy("__v")
+    ranked = null_safe(filled, offsets, [*keys, "__b"]).select(
+        *keys, "__v", (F.col("__before") + F.sum("__c").over(inside) - F.col("__c") + 1).cast("int").alias(name))
+    valued = F.sum(F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(F.lit(0)))
+    tail = counts.groupBy(*keys).agg((valued + 1).cast("int").alias("__tail"))
+    out = null_safe(null_safe(rows, ranked, [*keys, "__v"], "left"), tail, keys, "left")
+    return out.withColumn(name, F.coalesce(F.col(name), F.col("__tail"))).drop("__v", "__tail")

@@ -20,6 +20,7 @@ from acreledger.operators.distribution import null_safe, percentiles
 from acreledger.operators.joins import attach_top1, snowflake
 from acreledger.operators.ordering import lag_within, running_sum
 from acreledger.operators.predicates import as_date, up_to
+from acreledger.sources.storage import staged
 
 Star = Mapping[str, DataFrame]
 
@@ -113,15 +114,17 @@ def valuation_history(valuations: DataFrame, as_of: str, fund_id: str | None = N
     return per.withColumn("value_change_usd", F.col("period_value_usd") - F.col("prior_value_usd"))
 
 
-def ratios(cumulative: DataFrame, nav: DataFrame) -> DataFrame:
-    """DPI, TVPI, RVPI and the IRR proxy (total value / paid in) ** 0.25 - 1."""
+def with_ratios(rows: DataFrame) -> DataFrame:
+    """DPI, TVPI, RVPI and the IRR proxy (total value / paid in) ** 0.25 - 1 on (fund, period) rows."""
     paid, out, net = F.col("cumulative_contrib_usd"), F.col("cumulative_dist_usd"), F.col("net_nav")
+    return rows.withColumns({
+        "dpi": safe_ratio(out, paid), "tvpi": safe_ratio(out + net, paid), "rvpi": safe_ratio(net, paid),
+    }).withColumn("irr_proxy", round_half_up(power_proxy(F.col("tvpi")), 6))
+
+
+def ratios(cumulative: DataFrame, nav: DataFrame) -> DataFrame:
     joined = cumulative.join(nav.select("fund_id", "period_id", "net_nav"), ["fund_id", "period_id"], "left")
-    tvpi = safe_ratio(out + net, paid)
-    return joined.select(
-        "fund_id", "period_id", "cumulative_contrib_usd", "cumulative_dist_usd", "net_nav",
-        safe_ratio(out, paid).alias("dpi"), tvpi.alias("tvpi"), safe_ratio(net, paid).alias("rvpi"),
-        round_half_up(power_proxy(tvpi), 6).alias("irr_proxy"))
+    return with_ratios(joined.select("fund_id", "period_id", "cumulative_contrib_usd", "cumulative_dist_usd", "net_nav"))
 
 
 # ------------------------------------------------------------ attribution and peers
@@ -236,9 +239,7 @@ def _fund_period(s: Star, as_of: str, fund_id: str | None) -> DataFrame:
     """Flows, NAV and ratios side by side at (fund, period)."""
     flows = cumulative_flows(cash_flow_history(s["fact_capital_call"], s["fact_distribution"], s["fact_fee_charge"], as_of, fund_id))
     nav = nav_series(s["fact_nav_snapshot"], as_of, fund_id)
-    key = ["fund_id", "period_id"]
-    return flows.join(nav, key, "left").join(
-        ratios(flows, nav).select(*key, "dpi", "tvpi", "rvpi", "irr_proxy"), key, "left")
+    return with_ratios(flows.join(nav, ["fund_id", "period_id"], "left"))
 
 
 def _property_period(s: Star, as_of: str, fund_id: str | None) -> DataFrame:
@@ -311,10 +312,14 @@ def attribution_period(s: Star, as_of: str) -> DataFrame:
     trailing = safe_ratio(from_cents(F.col("__d4")) + F.col("net_nav"), from_cents(F.col("__c4")))
     meta = s["dim_fund"].select("fund_id", "vintage_year", "base_currency")
     fund = fund.join(meta, "fund_id").withColumn("fund_irr_trailing_12m", round_half_up(power_proxy(trailing), 6))
-    cohort = ["vintage_year", "period_id"]
+    # read by the two peer rankings and the final join: write it once
+    fund = staged(fund, "fund_period")
+    cohort, cuts = ["vintage_year", "period_id"], {}
+    for name, col in (("irr", "irr_proxy"), ("moic", "tvpi")):
+        ps = {f"__{name}25": 0.25, f"__{name}50": 0.5, f"__{name}75": 0.75}
+        cuts[name] = percentiles(fund, cohort, col, ps)
     for name, col in (("irr", "irr_proxy"), ("moic", "tvpi")):
-        cuts = percentiles(fund, cohort, col, {f"__{name}25": 0.25, f"__{name}50": 0.5, f"__{name}75": 0.75})
-        fund = null_safe(fund, cuts, cohort, "left")
+        fund = null_safe(fund, cuts[name], cohort, "left")
         label = case_ladder(F.col(col), [F.col(f"__{name}{p}") for p in (25, 50, 75)], QUARTILES)
         fund = fund.withColumn(f"peer_quartile_{name}", F.when(F.col(col).isNotNull(), label))
     rows = with_group_value(_property_period(s, as_of, None), ["fund_id", "period_id"], __total=money_sum("property_pl_usd"))

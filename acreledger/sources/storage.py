@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -25,3 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="acreledger-")
         spark.conf.set("acreledger.local.dir", root)
     return root
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once under the shared folder and return a scan of the files.
+
+    Cuts lineage where several branches need the same result: branches re-read
+    files instead of recomputing, also after an executor loss.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/acreledger/{spark.sparkContext.applicationId}/staged/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

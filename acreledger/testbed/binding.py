@@ -418,7 +418,7 @@ SELECT concat('pl-', page_id) AS pipeline_id,
 FROM pages""")
 
 
-_WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
 def with_ctes(sql: str, defs: dict[str, str]) -> str:
@@ -426,7 +426,7 @@ def with_ctes(sql: str, defs: dict[str, str]) -> str:
     ordered: list[str] = []
 
     def visit(text: str) -> None:
-        for word in dict.fromkeys(_WORD.findall(text)):
+        for word in dict.fromkeys(WORD.findall(text)):
             if word in defs and word not in ordered:
                 visit(defs[word])
                 ordered.append(word)

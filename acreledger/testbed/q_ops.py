@@ -282,7 +282,7 @@ def fund_flow(x):
 
 
 query("wn_rank_global", "SELECT *, rank() OVER (PARTITION BY arena_id ORDER BY revenue DESC) AS rnk FROM prop_revenue")(
-    lambda x: so.rank_within(prop_revenue(x), ["arena_id"], [F.desc("revenue")]))
+    lambda x: dist.value_ranks(prop_revenue(x), ["arena_id"], "revenue"))
 query("wn_rank_partition", """SELECT * FROM (SELECT *, rank() OVER (PARTITION BY fiscal_year ORDER BY net DESC) AS rnk FROM prop_year) r WHERE rnk <= 50""")(
     lambda x: so.top_per_group(prop_year(x), ["fiscal_year"], [F.desc("net")], 50))
 query("wn_lag", "SELECT *, LAG(net) OVER (PARTITION BY property_id ORDER BY fiscal_year) AS prev_net FROM prop_year")(

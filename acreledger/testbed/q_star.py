@@ -186,7 +186,7 @@ define("m_rates", f"""SELECT base_currency, period_id, p - o AS rate_delta FROM
     SELECT base_currency, concat('FY', year(rate_date), '_Q', quarter(rate_date)) AS period_id, {mavg("rate", "100000e0")} AS p FROM fact_fx_rate GROUP BY 1, 2) a
   JOIN (SELECT base_currency, {mavg("rate", "100000e0")} AS o FROM fact_fx_rate GROUP BY 1) b USING (base_currency)""")
 define("m_trail", f"""SELECT f.*, d.vintage_year, base_currency,
-    (CAST(SUM({c("dist_usd")}) OVER w AS DOUBLE) / 100e0 + net_nav) / NULLIF(CAST(SUM({c("contrib_usd")}) OVER w AS DOUBLE) / 100e0, 0) AS trailing
+    (CAST(SUM({c("dist_usd")}) OVER w AS DOUBLE) / 100e0 + net_nav) / NULLIF(CAST(SUM({c("contrib_usd")}) OVER w AS DOUBLE) / 100e0, 0) AS last4
   FROM m_fund_period f JOIN dim_fund d ON d.fund_id = f.fund_id
   WINDOW w AS (PARTITION BY f.fund_id ORDER BY f.period_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 define("m_peers", """SELECT vintage_year, period_id, quantile_cont(irr_proxy, 0.25) AS i25, quantile_cont(irr_proxy, 0.5) AS i50, quantile_cont(irr_proxy, 0.75) AS i75,
@@ -198,7 +198,7 @@ def _label(x: str, p: str) -> str:
 
 
 define("g_attr", f"""SELECT x.fund_id, x.property_id, x.period_id, period_label, period_end, irr_proxy AS fund_irr_net,
-    CASE WHEN trailing >= 0 THEN {rnd("pow(trailing, 25e-2) - 1", 6)} END AS fund_irr_trailing_12m, tvpi AS moic_net, tvpi AS tvpi_net, dpi AS dpi_net, rvpi AS rvpi_net,
+    CASE WHEN last4 >= 0 THEN {rnd("pow(last4, 25e-2) - 1", 6)} END AS fund_irr_trailing_12m, tvpi AS moic_net, tvpi AS tvpi_net, dpi AS dpi_net, rvpi AS rvpi_net,
     {rnd("property_pl_usd / NULLIF(total_pl, 0)", 6)} AS property_contribution_pct, property_pl_usd AS property_attribution_usd,
     {_label("irr_proxy", "i")} AS peer_quartile_irr, {_label("tvpi", "t")} AS peer_quartile_moic, {rnd("i50", 6)} AS vintage_cohort_median_irr,
     value_change_usd AS gross_appreciation_usd,
@@ -336,7 +336,7 @@ KINDS = {"calls": "('CALL')", "fees": "('FEE')", "withheld": "('WITHHOLDING')",
          "carry": "('CARRY_T1','CARRY_T2')", "income": "('INCOME')", "expense": "('EXPENSE')", "realized": "('REALIZED_GAIN')", "unrealized": "('UNREALIZED_GAIN')"}
 define("g_per", f"""SELECT investor_id, fund_id, period_id, {", ".join(f"CAST(SUM(CASE WHEN kind IN {k} THEN v ELSE 0 END) AS BIGINT) AS {n}" for n, k in KINDS.items())}
   FROM g_events GROUP BY 1, 2, 3""")
-define("g_open", """SELECT p.*, commitment_usd, base_currency, rate_delta,
+define("g_open", """SELECT p.*, commitment_usd, f.base_currency, rate_delta,
     COALESCE(SUM(calls - dist - fees + income + expense + realized + unrealized) OVER (PARTITION BY p.investor_id, p.fund_id ORDER BY p.period_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
   FROM g_per p JOIN dim_capital_account ca ON ca.investor_id = p.investor_id AND ca.fund_id = p.fund_id JOIN dim_fund f ON f.fund_id = p.fund_id

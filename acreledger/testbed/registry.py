@@ -24,9 +24,12 @@ DEFS: dict[str, str] = {}
 class Context:
     """What a registered query may read: bound tables and the built lakehouse."""
 
+    _tables: dict[tuple, Tables] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.t = Tables(spark, sf_dir)
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+        self.t = self._tables.setdefault(key, Tables(spark, sf_dir))
         self.lake = Lakehouse(spark, lambda name: getattr(self.t, name), self.t.sf_dir, AS_OF)
 
     def gold(self, name: str) -> DataFrame:

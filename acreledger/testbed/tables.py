@@ -4,23 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acreledger.testbed.binding import BASE_TABLES, BINDINGS, with_ctes
+from acreledger.testbed.binding import BASE_TABLES, BINDINGS, WORD, with_ctes
 
 
 class Tables:
+    """Base tables as temp views, bound tables as SELECTs over them; each is resolved once."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._frames[name]
 
     def sql(self, text: str) -> DataFrame:
         """Run a SELECT that may name base tables and bound tables."""
         body = with_ctes(text, BINDINGS)
-        for name in BASE_TABLES:
-            if name in body:
+        for name in dict.fromkeys(WORD.findall(body)):
+            if name in BASE_TABLES:
                 self.base(name).createOrReplaceTempView(name)
         return self.spark.sql(body)
 
@@ -29,6 +34,8 @@ class Tables:
             raise AttributeError(name)
         if name in BASE_TABLES:
             return self.base(name)
-        if name in BINDINGS:
-            return self.sql(f"SELECT * FROM {name}")
-        raise AttributeError(name)
+        if name not in BINDINGS:
+            raise AttributeError(name)
+        if name not in self._frames:
+            self._frames[name] = self.sql(f"SELECT * FROM {name}")
+        return self._frames[name]
