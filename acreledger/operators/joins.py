@@ -1,6 +1,7 @@
 """Join shapes of the ledger reports.
 
-No side is force-broadcast: Spark picks a broadcast from measured sizes
+Only sets with a checked row bound are force-broadcast (``attach_all``).
+Everywhere else Spark picks a broadcast from measured sizes
 (autoBroadcastJoinThreshold, and again at run time under AQE), and splits a hot
 key of a shuffled join otherwise.
 """
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,14 +36,21 @@ def left_before(left: DataFrame, right: DataFrame, on: list[str], date_col: str,
 
 
 def attach_literal(left: DataFrame, ref: DataFrame, key: str, code, how: str = "left") -> DataFrame:
-    """ON right.key = literal: the code becomes a column of the left side and joins by equality."""
-    keyed = ref.withColumnRenamed(key, "__ref_key")
-    return left.withColumn("__code", F.lit(code)).join(keyed, F.col("__code") == F.col("__ref_key"), how).drop("__code", "__ref_key")
+    """ON right.key = literal.  ``key`` is the reference's primary key, so one row is attached."""
+    return attach_all(left, ref.where(F.col(key) == F.lit(code)).drop(key), how)
 
 
-def attach_all(left: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
-    """Every left row with every row of a small set, as an equi-join on one constant."""
-    return left.withColumn("__one", F.lit(1)).join(small.withColumn("__one", F.lit(1)), "__one", how).drop("__one")
+def attach_all(left: DataFrame, small: DataFrame, how: str = "inner", most: int = 1000) -> DataFrame:
+    """Every left row with every row of a set that is small by construction.
+
+    For fixed reference rows, one-row aggregates and calendar windows only.  The
+    set is broadcast, at most ``most`` rows of it; a larger set fails the job
+    rather than losing rows.
+    """
+    numbered = small.limit(most + 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    checked = numbered.withColumn("__one", F.when(F.col("__n") <= most, F.lit(1)).otherwise(
+        F.raise_error(F.lit(f"more than {most} rows to attach")).cast("int"))).drop("__n")
+    return left.withColumn("__one", F.lit(1)).join(F.broadcast(checked), "__one", how).drop("__one")
 
 
 def attach_top1(left: DataFrame, right: DataFrame, order: Sequence[Column]) -> DataFrame:

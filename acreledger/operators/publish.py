@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acreledger.operators.joins import attach_all
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame, pk: Sequence[str]) -> DataFrame:
     """Classify every key: insert, update, delete or unchanged.
@@ -45,12 +47,12 @@ def reconcile(source: dict[str, DataFrame], target: dict[str, DataFrame | None])
     """
     out = []
     for name, df in source.items():
-        one = df.agg(F.count(F.lit(1)).alias("source_rows")).withColumn("__one", F.lit(1))
+        one = df.agg(F.count(F.lit(1)).alias("source_rows"))
         tgt = target.get(name)
         if tgt is None:
             row = one.withColumn("target_rows", F.lit(None).cast("long"))
         else:
-            row = one.join(tgt.agg(F.count(F.lit(1)).alias("target_rows")).withColumn("__one", F.lit(1)), "__one")
+            row = attach_all(one, tgt.agg(F.count(F.lit(1)).alias("target_rows")))
         status = (
             F.when(F.col("target_rows").isNull(), "skipped")
             .when(F.col("source_rows") == F.col("target_rows"), "ok")

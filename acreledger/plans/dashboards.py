@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acreledger.functions.money import cents, money_avg, money_sum, money_total, round_half_up, safe_ratio
 from acreledger.functions.scalars import EXPENSE_CATEGORIES, month_date
+from acreledger.operators.joins import attach_all
 from acreledger.operators.predicates import optional_params
 
 
@@ -195,10 +196,9 @@ def debt_service_share(gold_gl: DataFrame) -> DataFrame:
 
 def portfolio_summary(gold_fund: DataFrame, gold_property: DataFrame) -> DataFrame:
     """One-row overview of the whole portfolio (two one-row aggregates side by side)."""
-    one = F.lit(1).alias("__one")
     funds = gold_fund.agg(
         money_total("total_aum").alias("total_aum"), F.count(F.lit(1)).alias("fund_count"),
         F.sum("property_count").alias("property_count"), money_total("total_commitments").alias("total_commitments"),
-    ).select("*", one)
-    pnl = gold_property.agg(money_total("revenue").alias("total_revenue"), money_total("noi").alias("total_noi")).select("*", one)
-    return funds.join(pnl, "__one").drop("__one")
+    )
+    pnl = gold_property.agg(money_total("revenue").alias("total_revenue"), money_total("noi").alias("total_noi"))
+    return attach_all(funds, pnl)

@@ -322,7 +322,9 @@ def attribution_period(s: Star, as_of: str) -> DataFrame:
         fund = null_safe(fund, cuts[name], cohort, "left")
         label = case_ladder(F.col(col), [F.col(f"__{name}{p}") for p in (25, 50, 75)], QUARTILES)
         fund = fund.withColumn(f"peer_quartile_{name}", F.when(F.col(col).isNotNull(), label))
-    rows = with_group_value(_property_period(s, as_of, None), ["fund_id", "period_id"], __total=money_sum("property_pl_usd"))
+    # read for the fund-period total and for the rows themselves
+    facts = staged(_property_period(s, as_of, None), "property_period")
+    rows = with_group_value(facts, ["fund_id", "period_id"], __total=money_sum("property_pl_usd"))
     return (
         rows.join(fund, ["fund_id", "period_id"])
         .join(s["dim_period"].select("period_id", "period_label", "period_end"), "period_id", "left")

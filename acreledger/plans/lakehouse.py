@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from acreledger.plans import gold, silver
 from acreledger.sources.storage import shared_dir
@@ -29,7 +30,7 @@ class Lakehouse:
     A lost executor costs nothing but re-reading files.
     """
 
-    _built: dict[str, set[str]] = {}
+    _built: dict[str, dict[str, StructType]] = {}
 
     def __init__(self, spark: SparkSession, raw: Callable[[str], DataFrame], input_id: str, as_of: str):
         self.spark, self.raw, self.as_of = spark, raw, as_of
@@ -59,7 +60,7 @@ class Lakehouse:
         return f"{self.root}/{name}"
 
     def table(self, name: str, recipe: Callable[[], DataFrame] | None = None, cluster: list[str] | None = None) -> DataFrame:
-        built = self._built.setdefault(self.root, set())
+        built = self._built.setdefault(self.root, {})
         if name not in built:
             df = (recipe or self.recipes()[name])()
             keys = cluster or CLUSTERING.get(name)
@@ -67,8 +68,8 @@ class Lakehouse:
                 write_clustered(df, self.path(name), keys)
             else:
                 df.write.mode("overwrite").parquet(self.path(name))
-            built.add(name)
-        return self.spark.read.parquet(self.path(name))
+            built[name] = df.schema
+        return self.spark.read.schema(built[name]).parquet(self.path(name))
 
     def update(self) -> dict[str, str]:
         """Build every table once; returns name -> path."""

@@ -18,6 +18,7 @@ from acreledger.operators.joins import attach_all, attach_literal, join_parts, r
 from acreledger.operators.ordering import lag_within
 from acreledger.operators.predicates import as_date
 from acreledger.plans.fund_metrics import fx_effect, period_rates, property_universe
+from acreledger.sources.storage import staged
 
 Star = Mapping[str, DataFrame]
 GRAIN = ["investor_id", "fund_id"]
@@ -173,19 +174,28 @@ def _allocation_totals(s: Star, lo: str, hi: str) -> DataFrame:
         money_sum("allocated_amount_usd").alias("total_allocations_usd"))
 
 
+def _with_metrics(rows: DataFrame) -> DataFrame:
+    """Period ratios where a period has both calls and distributions, and the fund's P&L over those rows.
+
+    ``rows`` is read twice, so callers pass a stored frame.
+    """
+    paid, out = F.col("total_contributions_usd"), F.col("total_distributions_usd")
+    both = paid.isNotNull() & out.isNotNull()
+    rows = rows.withColumn("__gain", F.when(both, from_cents(cents("realized_usd") + cents("unrealized_usd")))).withColumns({
+        "period_dpi": F.when(both, safe_ratio(out, paid)),
+        "period_moic": safe_ratio(F.col("__gain"), paid),
+        "period_tvpi": safe_ratio(F.col("__gain") + out, paid),
+    })
+    rows = with_group_value(rows, ["fund_id"], __pl=money_sum("__gain"))
+    return rows.withColumn("cumulative_pl_usd", F.when(both, F.col("__pl"))).drop("__gain", "__pl")
+
+
 def period_metrics(s: Star, lo: str, hi: str) -> DataFrame:
     """Period DPI, MOIC and TVPI per (investor, fund) and the fund's P&L total."""
     rows = _contribution_totals(s, lo, hi).select(*GRAIN, "total_contributions_usd").join(
         _distribution_totals(s, lo, hi).select(*GRAIN, "total_distributions_usd"), GRAIN).join(
         _allocation_totals(s, lo, hi).select(*GRAIN, "realized_usd", "unrealized_usd"), GRAIN, "left")
-    gain = from_cents(cents("realized_usd") + cents("unrealized_usd"))
-    paid, out = F.col("total_contributions_usd"), F.col("total_distributions_usd")
-    rows = rows.withColumn("__gain", gain).withColumns({
-        "period_dpi": safe_ratio(out, paid),
-        "period_moic": safe_ratio(F.col("__gain"), paid),
-        "period_tvpi": safe_ratio(F.col("__gain") + out, paid),
-    })
-    return with_group_value(rows, ["fund_id"], cumulative_pl_usd=money_sum("__gain")).drop("__gain", "realized_usd", "unrealized_usd")
+    return _with_metrics(staged(rows, "period_metrics")).drop("realized_usd", "unrealized_usd")
 
 
 # ------------------------------------------------------------ the statement
@@ -214,8 +224,8 @@ def statement(s: Star, lo: str, hi: str, investor_id: str | None = None) -> Data
     rows = join_parts(opening, [
         (_contribution_totals(s, lo, hi), GRAIN), (_distribution_totals(s, lo, hi), GRAIN), (fee_totals, GRAIN),
         (_allocation_totals(s, lo, hi), GRAIN),
-        (period_metrics(s, lo, hi).select(*GRAIN, "period_dpi", "period_moic", "period_tvpi", "cumulative_pl_usd"), GRAIN),
     ])
+    rows = _with_metrics(staged(rows, "statement"))
 
     def part(name: str):
         return F.coalesce(cents(name), F.lit(0))
@@ -229,17 +239,16 @@ def statement(s: Star, lo: str, hi: str, investor_id: str | None = None) -> Data
 
 # ------------------------------------------------------------ precomputed statement
 def _activity(s: Star) -> DataFrame:
-    """All capital events in one shape: grain, period, kind, cents."""
-    def shape(df: DataFrame, day: str, kind, amount: str) -> DataFrame:
-        return df.select(*GRAIN, period_label(F.col(day)).alias("period_id"), kind.alias("kind"), cents(amount).alias("__c"))
+    """All capital events in one shape: grain, period, kind, cents, cents withheld."""
+    def shape(df: DataFrame, day: str, kind, amount: str, withheld=None) -> DataFrame:
+        withheld = F.lit(0).cast("long") if withheld is None else withheld
+        return df.select(*GRAIN, period_label(F.col(day)).alias("period_id"), kind.alias("kind"), cents(amount).alias("__c"), withheld.alias("__w"))
 
     known = s["dim_account_chart"].join(s["ref_account_type"], "account_type_code").select("account_id")
     alloc = s["fact_allocation"].join(known, "account_id", "left_semi")
-    dist = s["fact_distribution"]
     return (
         shape(s["fact_capital_call"], "call_date", F.lit("CALL"), "call_amount_usd")
-        .unionByName(shape(dist, "distribution_date", F.col("waterfall_tier_id"), "amount_usd"))
-        .unionByName(shape(dist, "distribution_date", F.lit("WITHHOLDING"), "tax_withholding_usd"))
+        .unionByName(shape(s["fact_distribution"], "distribution_date", F.col("waterfall_tier_id"), "amount_usd", cents("tax_withholding_usd")))
         .unionByName(shape(s["fact_fee_charge"], "charge_date", F.lit("FEE"), "amount_usd"))
         .unionByName(shape(alloc, "computed_at", F.col("allocation_type"), "allocated_amount_usd"))
     )
@@ -258,7 +267,7 @@ def investor_pcap(s: Star) -> DataFrame:
 
     all_tiers = [t for ids in TIER_GROUPS.values() for t in ids]
     per = _activity(s).groupBy(*GRAIN, "period_id").agg(
-        total("CALL").alias("calls"), total("FEE").alias("fees"), total("WITHHOLDING").alias("withheld"),
+        total("CALL").alias("calls"), total("FEE").alias("fees"), F.sum("__w").alias("withheld"),
         total(*all_tiers).alias("dist"),
         *[total(*ids).alias(f"dist_{n}") for n, ids in TIER_GROUPS.items()],
         *[total(t).alias(n) for n, t in ALLOCATION_TYPES.items()],

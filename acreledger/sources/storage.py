@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session on one machine may run without it; then a temporary folder is
     made and remembered in the session.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -12,15 +12,15 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, cols: Sequence[str], salt_on: str | None = None, salts: int = 16) -> None:
+def write_partitioned(df: DataFrame, path: str, cols: Sequence[str]) -> None:
     """Replace only the partitions present in ``df``.
 
-    Rows are shuffled by partition value plus a salt, so that a directory gets
-    few files and one hot partition is still written by several tasks.
+    The rebalance hint groups rows by partition value and lets AQE split a hot
+    value, and merge small ones, by measured size: few files per directory and no
+    task that writes a whole hot month.
     """
-    salt = F.pmod(F.xxhash64(salt_on), F.lit(salts)) if salt_on else F.lit(0)
     (
-        df.repartition(*cols, salt)
+        df.hint("rebalance", *cols)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*cols)
@@ -35,7 +35,7 @@ def write_json_single(df: DataFrame, path: str) -> None:
 
 def write_json_by_month(df: DataFrame, path: str, date_col: str) -> None:
     """JSON lines, one directory per month."""
-    df.withColumn("month_key", F.date_format(date_col, "yyyy_MM")).write.mode("overwrite").partitionBy("month_key").json(path)
+    df.withColumn("month_key", F.date_format(date_col, "yyyy_MM")).hint("rebalance", "month_key").write.mode("overwrite").partitionBy("month_key").json(path)
 
 
 def write_csv_header(df: DataFrame, path: str, files: int = 4) -> None:
@@ -57,7 +57,7 @@ def append_rows(df: DataFrame, path: str, schema) -> None:
 
 def replace_by_key(df: DataFrame, path: str, key: str) -> None:
     """Delete-and-insert per key value: partitions of ``df`` replace the stored ones."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def publish_full(df: DataFrame, columns: dict[str, str], path: str) -> None:

@@ -72,10 +72,9 @@ FROM part_fund JOIN supplier ON s_suppkey = fundkey""")
 # The k-th fund open to a nation's investors (k <= 3), so that commitments are
 # a linear join instead of all customer x fund pairs of the nation.
 _bind("nation_fund", """
-SELECT s_nationkey, s_suppkey, s_name, k, n_open FROM (
+SELECT s_nationkey, s_suppkey, s_name, k, count(*) OVER (PARTITION BY s_nationkey) AS n_open FROM (
   SELECT s_nationkey, s_suppkey, s_name,
-         row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k,
-         count(*) OVER (PARTITION BY s_nationkey) AS n_open
+         row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k
   FROM supplier) ranked
 WHERE k <= 3""")
 

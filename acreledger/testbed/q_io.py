@@ -22,11 +22,13 @@ def fresh(x, label: str) -> str:
     return f"{shared_dir(x.spark)}/acreledger/{x.spark.sparkContext.applicationId}/io/{label}-{uuid.uuid4().hex}"
 
 
+LANDED: set[str] = set()
+
+
 def landing(x, name: str) -> str:
     """Landing files of an entity in its landing format, written once per session."""
-    built = x.lake._built.setdefault(x.lake.root, set())
     path = f"{x.lake.root}/landing/{name}"
-    if f"landing/{name}" not in built:
+    if path not in LANDED:
         if name == "funds":
             writers.write_json_single(x.t.funds, path)
         elif name == "investors":
@@ -35,8 +37,8 @@ def landing(x, name: str) -> str:
             writers.write_parquet(x.t.properties, path)
         elif name == "gl":
             gl = x.t.gl_raw.withColumns({"year": F.year("transaction_date"), "month": F.month("transaction_date")})
-            writers.write_partitioned(gl, path, ["year", "month"], "transaction_id")
-        built.add(f"landing/{name}")
+            writers.write_partitioned(gl, path, ["year", "month"])
+        LANDED.add(path)
     return path
 
 
@@ -136,9 +138,9 @@ def _(x):
 def _(x):
     path = fresh(x, "partitioned")
     gl = x.t.gl_raw.withColumns({"year": F.year("transaction_date"), "month": F.month("transaction_date")})
-    writers.write_partitioned(gl, path, ["year", "month"], "transaction_id")
+    writers.write_partitioned(gl, path, ["year", "month"])
     # writing two years again replaces just their directories
-    writers.write_partitioned(gl.where("year IN (1998, 1999)"), path, ["year", "month"], "transaction_id")
+    writers.write_partitioned(gl.where("year IN (1998, 1999)"), path, ["year", "month"])
     return x.spark.read.parquet(path).select(*GL_LIST)
 
 
