@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreledger.functions.money import money_sum
@@ -33,24 +33,24 @@ def distinct_list(df: DataFrame, keys: Sequence[str], col: str, alias: str) -> D
     return df.groupBy(*keys).agg(F.array_sort(F.collect_set(col)).alias(alias))
 
 
+def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool) -> DataFrame:
+    ranked = [*order, *[c for c in df.columns if c not in keys and c not in order]]
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) if descending else F.asc(c) for c in ranked])
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
 def dedupe(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order``, then by every other column.
 
-    min(struct) folds duplicates before the shuffle; a window over the key would
-    send every copy of a hot key to one task.
+    Spark plans row_number() = 1 as a group limit before the shuffle: a map task
+    passes on at most one row per key, so copies of a hot key never meet in one task.
     """
-    rest = [c for c in df.columns if c != key]
-    ranked = [*order, *[c for c in rest if c not in order]]
-    row = df.groupBy(key).agg(F.min(F.struct(*ranked)).alias("__row"))
-    return row.select(*[F.col(key) if c == key else F.col("__row")[c].alias(c) for c in df.columns])
+    return _one_per_key(df, [key], order, descending=False)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the greatest by ``order``, then by every other column."""
-    rest = [c for c in df.columns if c not in keys]
-    ranked = [*order, *[c for c in rest if c not in order]]
-    row = df.groupBy(*keys).agg(F.max(F.struct(*ranked)).alias("__row"))
-    return row.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
+    return _one_per_key(df, keys, order, descending=True)
 
 
 def with_group_value(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:

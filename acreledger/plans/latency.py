@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acreledger.functions.money import money_avg, money_sum, safe_ratio
+from acreledger.functions.money import money_avg, money_sum, round_half_up, safe_ratio
 from acreledger.operators.aggregates import with_group_value
-from acreledger.operators.distribution import group_ranks, null_safe, percentiles
+from acreledger.operators.distribution import group_ranks, null_safe
+from acreledger.operators.distribution import percentiles as exact_percentiles
 from acreledger.operators.ordering import first_per_group
 from acreledger.operators.predicates import measured
 
@@ -21,6 +22,12 @@ DNF_MS = 7_200_000.0
 MICRO = 1_000_000
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], latency: str, ps: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles in ms, given to the nanosecond."""
+    out = exact_percentiles(df, keys, latency, ps)
+    return out.withColumns({name: round_half_up(F.col(name), 6) for name in ps})
+
+
 # ------------------------------------------------------------ run selection
 def latest_run(rows: DataFrame, runs: DataFrame, mode: str) -> DataFrame:
     """Rows of the most recent run of a mode (a scalar subquery, so it can prune partitions)."""
@@ -222,7 +229,7 @@ def derive_runs(raw: DataFrame, dir_col: str = "run_dir", tail_s: int = 30) -> D
 
 def median_compare(samples: DataFrame, base: str, other: str) -> DataFrame:
     """Upper median per query and target, and the ratio between two targets."""
-    med = percentiles(samples, ["query_name", "target"], "latency_ms", {"median_ms": 0.5}, discrete_upper=True)
+    med = exact_percentiles(samples, ["query_name", "target"], "latency_ms", {"median_ms": 0.5}, discrete_upper=True)
     wide = med.groupBy("query_name").agg(
         F.max(F.when(F.col("target") == base, F.col("median_ms"))).alias("base_ms"),
         F.max(F.when(F.col("target") == other, F.col("median_ms"))).alias("other_ms"),

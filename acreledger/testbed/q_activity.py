@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acreledger.plans import audit, latency
-from acreledger.testbed.registry import c, define, mavg, query
+from acreledger.testbed.registry import c, define, mavg, query, rnd
 
 # ------------------------------------------------------------ summaries
 STATS = """COUNT(*) AS total_queries, COUNT(*) FILTER (success) AS successful,
   MIN({l}) FILTER (success) AS min_ms, MAX({l}) FILTER (success) AS max_ms,
   CAST(SUM({cl}) FILTER (success) AS DOUBLE) / CAST(COUNT({l}) FILTER (success) AS DOUBLE) / 100e0 AS mean_ms,
-  quantile_cont({l}, 0.5) FILTER (success) AS p50_ms, quantile_cont({l}, 0.95) FILTER (success) AS p95_ms,
-  quantile_cont({l}, 0.99) FILTER (success) AS p99_ms"""
+  floor(quantile_cont({l}, 0.5) FILTER (success) * 1000000e0 + 5e-1) / 1000000e0 AS p50_ms,
+  floor(quantile_cont({l}, 0.95) FILTER (success) * 1000000e0 + 5e-1) / 1000000e0 AS p95_ms,
+  floor(quantile_cont({l}, 0.99) FILTER (success) * 1000000e0 + 5e-1) / 1000000e0 AS p99_ms"""
 define("bsummary_base", f"""SELECT *, total_queries - successful AS failed,
     CAST(total_queries - successful AS DOUBLE) / CAST(total_queries AS DOUBLE) AS error_rate FROM (
   SELECT run_id, target, concurrency, query_name, {STATS.format(l="latency_ms", cl=c("latency_ms"))}
@@ -23,7 +24,7 @@ define("bbuckets", f"""SELECT run_id, target, '__all__' AS query_name, bucket_st
     least(bucket_start_offset_s + 3600, 86400) AS bucket_end_offset_s, p50_ms, p95_ms, max_ms, achieved_qps, error_count,
     bucket_start_offset_s + 3600 <= 7200 AS is_warmup FROM (
   SELECT run_id, target, CAST(floor(actual_start_offset_ms / 3600000e0) AS INT) * 3600 AS bucket_start_offset_s,
-    quantile_cont(total_latency_ms, 0.5) FILTER (success) AS p50_ms, quantile_cont(total_latency_ms, 0.95) FILTER (success) AS p95_ms,
+    {rnd("quantile_cont(total_latency_ms, 0.5) FILTER (success)", 6)} AS p50_ms, {rnd("quantile_cont(total_latency_ms, 0.95) FILTER (success)", 6)} AS p95_ms,
     MAX(total_latency_ms) FILTER (success) AS max_ms, CAST(COUNT(*) FILTER (success) AS DOUBLE) / 3600e0 AS achieved_qps,
     COUNT(*) FILTER (NOT success) AS error_count, COUNT(*) FILTER (success) AS ok
   FROM benchmark_raw WHERE actual_start_offset_ms < 86400000 GROUP BY 1, 2, 3) b WHERE ok > 0""")
@@ -53,8 +54,8 @@ query("lat_timeseries_30s", "SELECT * FROM bbuckets")(buckets)
 query("lat_headline", f"""SELECT r.run_id, started_on, target_rate_qps, target, p95_max_ms, total_samples, total_failures, p95_median_ms, p99_median_ms
   FROM benchmark_runs r LEFT JOIN (SELECT run_id, target, MAX(p95_ms) AS p95_max_ms, CAST(SUM(successful) AS BIGINT) AS total_samples,
     CAST(SUM(failed) AS BIGINT) AS total_failures,
-    COALESCE(quantile_cont(p95_ms, 0.5) FILTER (query_name <> '{WORST}'), quantile_cont(p95_ms, 0.5)) AS p95_median_ms,
-    COALESCE(quantile_cont(p99_ms, 0.5) FILTER (query_name <> '{WORST}'), quantile_cont(p99_ms, 0.5)) AS p99_median_ms
+    floor(COALESCE(quantile_cont(p95_ms, 0.5) FILTER (query_name <> '{WORST}'), quantile_cont(p95_ms, 0.5)) * 1000000e0 + 5e-1) / 1000000e0 AS p95_median_ms,
+    floor(COALESCE(quantile_cont(p99_ms, 0.5) FILTER (query_name <> '{WORST}'), quantile_cont(p99_ms, 0.5)) * 1000000e0 + 5e-1) / 1000000e0 AS p99_median_ms
     FROM bsummary GROUP BY 1, 2) h ON h.run_id = r.run_id WHERE r.mode = 'sustained'""")(
     lambda x: latency.headline(summary(x), x.t.benchmark_runs, WORST))
 query("lat_lockstep_view", """SELECT s.run_id, target, concurrency, query_name, p50_ms, p95_ms, p99_ms, mean_ms, throughput_qps, error_rate
@@ -90,9 +91,9 @@ query("lat_top_concurrency", "SELECT run_id, target, concurrency, query_name, p9
 query("lat_cdf", """SELECT target, total_latency_ms, CAST(row_number() OVER (PARTITION BY target ORDER BY total_latency_ms) AS DOUBLE)
   / CAST(COUNT(*) OVER (PARTITION BY target) AS DOUBLE) * 100e0 AS cdf FROM benchmark_raw WHERE success AND NOT is_warmup""")(
     lambda x: latency.cdf(x.t.benchmark_raw))
-query("lat_timeline", """SELECT run_id, query_name, iteration, latency_ms,
+query("lat_timeline", f"""SELECT run_id, query_name, iteration, latency_ms,
   (scheduled_arrival_offset_ms - MIN(scheduled_arrival_offset_ms) OVER (PARTITION BY run_id, query_name)) / 1000e0 AS elapsed_s,
-  quantile_cont(latency_ms, 0.95) OVER (PARTITION BY run_id, query_name) AS series_p95_ms FROM benchmark_raw""")(
+  {rnd("quantile_cont(latency_ms, 0.95) OVER (PARTITION BY run_id, query_name)", 6)} AS series_p95_ms FROM benchmark_raw""")(
     lambda x: latency.timeline(x.t.benchmark_raw.select("run_id", "query_name", "iteration", "latency_ms", "scheduled_arrival_offset_ms"),
                                ["run_id", "query_name"]).drop("scheduled_arrival_offset_ms"))
 query("lat_slo_check", """SELECT run_id, target, concurrency, query_name, p50_ms <= 50 AS p50_ms_met, p95_ms <= 120 AS p95_ms_met, p99_ms <= 200 AS p99_ms_met,

@@ -237,10 +237,9 @@ query("ag_stddev", f"SELECT pair_code, {rnd('stddev_samp(rate)', 6)} AS rate_std
 query("ag_percentile_cont", """SELECT vintage_year, quantile_cont(committed_capital_usd, 0.25) AS p25, quantile_cont(committed_capital_usd, 0.5) AS p50,
   quantile_cont(committed_capital_usd, 0.75) AS p75 FROM dim_fund GROUP BY 1""")(
     lambda x: dist.percentiles(x.t.dim_fund, ["vintage_year"], "committed_capital_usd", {"p25": 0.25, "p50": 0.5, "p75": 0.75}))
-query("ag_percentile_interp", """SELECT target, concurrency, query_name, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95,
-  quantile_cont(latency_ms, 0.99) AS p99 FROM benchmark_raw WHERE success GROUP BY 1, 2, 3""")(
-    lambda x: dist.percentiles(x.t.benchmark_raw.where("success"), ["target", "concurrency", "query_name"], "latency_ms",
-                               {"p50": 0.5, "p95": 0.95, "p99": 0.99}))
+query("ag_percentile_interp", f"""SELECT target, concurrency, query_name, {rnd("quantile_cont(latency_ms, 0.5)", 6)} AS p50_ms,
+  {rnd("quantile_cont(latency_ms, 0.95)", 6)} AS p95_ms, {rnd("quantile_cont(latency_ms, 0.99)", 6)} AS p99_ms FROM benchmark_raw WHERE success GROUP BY 1, 2, 3""")(
+    lambda x: latency.percentiles(x.t.benchmark_raw.where("success"), ["target", "concurrency", "query_name"], "latency_ms", latency.PERCENTILES))
 query("ag_approx_percentile")(
     lambda x: x.t.benchmark_raw.groupBy("target").agg(F.coalesce(
         F.percentile_approx(F.when(F.col("query_name") != "error", F.col("latency_ms")), 0.5),
