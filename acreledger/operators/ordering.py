@@ -49,8 +49,8 @@ def case_order(col: str, order: Sequence[str]) -> Column:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n pseudo-random rows that do not depend on partitioning: order by a seeded hash."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """n pseudo-random rows that do not depend on partitioning: smallest seeded digests of the key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), F.col(key)).limit(n)
 
 
 def id_pool(df: DataFrame, col: str, n: int = 500) -> DataFrame:

@@ -133,12 +133,10 @@ query("fn_concat_ws_set", """SELECT fund_id, array_to_string(list_sort(list(DIST
     lambda x: x.t.properties.groupBy("fund_id").agg(s.joined_set(F.collect_set("property_type")).alias("types")))
 
 
-@query("fn_memo_text")
-def _(x):
-    g = x.t.gl_raw
-    return g.select("transaction_id", synth.memo_text(F.col("account_code"), F.col("amount"), F.col("counterparty_id"),
-                                                F.pmod(F.xxhash64("transaction_id"), F.lit(100)) < 5).alias("memo_text"))
-
+query("fn_memo_text", """SELECT transaction_id, concat_ws(' ', 'Posting', account_code, 'of', format('{:,.2f}', abs(amount)), 'with', counterparty_id)
+  || CASE WHEN category = 'capex' THEN '. ' || repeat('Supporting detail retained on file. ', 8) ELSE '' END AS memo_text FROM gl_raw""")(
+    lambda x: x.t.gl_raw.select("transaction_id", synth.memo_text(
+        F.col("account_code"), F.col("amount"), F.col("counterparty_id"), F.col("category") == "capex").alias("memo_text")))
 
 # ------------------------------------------------------------ joins
 query("jn_left_equi", """SELECT f.fund_id, fund_name, investor_id, commitment_amount FROM funds f LEFT JOIN investors i ON i.fund_id = f.fund_id""")(
@@ -333,7 +331,8 @@ query("so_topk_limit", "SELECT transaction_id, property_id, amount FROM silver_g
     lambda x: so.top_k(x.silver("gl_transactions").select("transaction_id", "property_id", "amount"), [F.desc("amount"), F.col("transaction_id")], 100))
 query("so_topk_per_group", "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY arena_id ORDER BY revenue DESC) AS rnk FROM prop_revenue) r WHERE rnk <= 3")(
     lambda x: so.top_per_group(prop_revenue(x), ["arena_id"], [F.desc("revenue")], 3))
-query("so_random_sample")(lambda x: so.sample_rows(flt.measured(x.t.benchmark_raw).select("iteration", "target", "query_name", "total_latency_ms"), "iteration", 5000))
+query("so_random_sample", """SELECT iteration, target, query_name, total_latency_ms FROM benchmark_raw WHERE success AND NOT is_warmup AND total_latency_ms IS NOT NULL
+  ORDER BY md5(iteration || ':42'), iteration LIMIT 5000""")(lambda x: so.sample_rows(flt.measured(x.t.benchmark_raw).select("iteration", "target", "query_name", "total_latency_ms"), "iteration", 5000))
 query("so_id_pool", "SELECT DISTINCT fund_id FROM funds ORDER BY fund_id LIMIT 500")(lambda x: so.id_pool(x.t.funds, "fund_id", 500))
 
 # ------------------------------------------------------------ set operations

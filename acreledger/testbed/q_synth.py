@@ -103,7 +103,19 @@ query("gen_properties", "SELECT * FROM s_properties")(lambda x: generated(x)["pr
 query("gen_gl", "SELECT * FROM s_gl")(lambda x: generated(x)["gl"])
 
 
-@query("gen_gl_wide")
+RATES = {"USD": (1.0, 1.0), "EUR": (1.05, 1.15), "GBP": (1.20, 1.35), "CAD": (0.70, 0.78)}
+define("s_wide", f"""SELECT *, concat_ws(' ', 'Posting', account_code, 'of', format('{{:,.2f}}', abs(amount)), 'with', counterparty_id)
+      || CASE WHEN {un("id", 123)} < 5e-2 THEN '. ' || repeat('Supporting detail retained on file. ', 8) ELSE '' END AS memo_text,
+    {pid("REF", dr("id", 124), 10)} AS reference_id, CASE WHEN {un("id", 125)} < 3e-1 THEN {pid("EXT", dr("id", 126), 10)} END AS external_ref_id,
+    {rnd(rng("currency", RATES, un("id", 127)), 4)} AS fx_rate_to_usd, CASE WHEN approval_status <> 'pending' THEN 'USR-' || ({dr("id", 128)} % 500) END AS approver_id,
+    CASE WHEN approval_status <> 'pending' THEN CAST(transaction_date + CAST({dr("id", 129)} % 10 AS INT) AS DATE) END AS approval_date,
+    'CC-' || lpad(CAST({dr("id", 130)} % 20 AS VARCHAR), 3, '0') AS cost_center, 'D' || ({dr("id", 131)} % 12) AS department_code,
+    'Counterparty ' || ({dr("id", 120)} % 5000) AS counterparty_name
+  FROM (SELECT *, {pick(un("id", 121), synth.CURRENCIES, synth.CURRENCY_WEIGHTS)} AS currency, {pick(un("id", 122), synth.APPROVALS, synth.APPROVAL_WEIGHTS)} AS approval_status,
+      'CP-' || ({dr("id", 120)} % 5000) AS counterparty_id FROM (SELECT *, CAST(substr(transaction_id, 5) AS BIGINT) AS id FROM s_gl) a) b""")
+
+
+@query("gen_gl_wide", "SELECT * EXCLUDE (id) FROM s_wide")
 def _(x):
     n_arenas = x.t.supplier.agg(F.floor(F.count(F.lit(1)) / 5).cast("long")).scalar()
     return synth.gl_wide(ids(x.t.orders, "o_orderkey"), n_arenas)
