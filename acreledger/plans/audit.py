@@ -40,7 +40,7 @@ def recent_activity(log: DataFrame, needle: str, hours: int, as_of: str, k: int
                    "user_email", "service_name", "action_name", "source_ip_address", "request_params", "status_code")
 
 
-def grant_changes(log: DataFrame, needle: str, days: int, as_of: str, service: str = "unityCatalog", k: int | None = 50) -> DataFrame:
+def grant_changes(log: DataFrame, needle: str, days: int, as_of: str, service: str, k: int | None = 50) -> DataFrame:
     """Permission changes; ``k=None`` gives the whole quarter instead of the newest rows."""
     rows = lookback(log, "event_time", f"{days} DAYS", as_of).where(
         (F.col("service_name") == service) & F.col("action_name").isin(GRANT_ACTIONS))
@@ -53,7 +53,7 @@ def tenant_access(log: DataFrame, needle: str, as_of: str, days: int = 90) -> Da
     return _report(rows, "user_email", "service_name", "action_name", "source_ip_address", "status_code")
 
 
-def schema_changes(log: DataFrame, needle: str, as_of: str, days: int = 90, service: str = "unityCatalog") -> DataFrame:
+def schema_changes(log: DataFrame, needle: str, as_of: str, service: str, days: int = 90) -> DataFrame:
     rows = lookback(log, "event_time", f"{days} DAYS", as_of).where(
         (F.col("service_name") == service) & F.col("action_name").isin(SCHEMA_ACTIONS))
     return _report(contains_any(rows, ["request_params"], needle), "user_email", "action_name", "request_params")

@@ -27,7 +27,13 @@ Star = Mapping[str, DataFrame]
 # Quartile labels and report constants.
 QUARTILES = ["Q1", "Q2", "Q3", "Q4"]
 RATE_SCALE = 100_000
-MICRO = 1_000_000
+# the report stays below 100 columns, the limit of whole-stage code generation
+REPORT_FUND_COLUMNS = [
+    "fund_id", "fund_name", "fund_type_name", "is_closed_end", "vintage_year", "market_cycle_phase", "peer_cohort_size",
+    "holding_strategy_name", "risk_profile", "invest_strategy_name", "typical_hold_years", "pref_return_pct", "gp_carry_pct",
+    "waterfall_type", "mgmt_fee_rate", "mgmt_fee_basis", "base_currency", "committed_capital_usd", "inception_date", "arena_name",
+    "arena_region",
+]
 
 
 def for_fund(df: DataFrame, fund_id: str | None) -> DataFrame:
@@ -271,7 +277,7 @@ def fund_rollup(s: Star, as_of: str, entity_types: Sequence[str], fund_id: str |
         F.col("role_name").alias("audit_user_role"), F.col("event_count").alias("audit_event_count"))
     # fund-level context first (small), then one join to the property rows
     funds = (
-        fund_metadata(s, fund_id)
+        fund_metadata(s, fund_id).select(*REPORT_FUND_COLUMNS)
         .join(vintage_cohorts(s), "vintage_year", "left").withColumn("peer_quartile", committed_quartile())
         .join(fx, "base_currency", "left").join(ledger, "fund_id", "left").join(docs, "fund_id", "left")
     )

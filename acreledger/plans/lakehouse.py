@@ -7,20 +7,24 @@ Parquet tables with pushed-down tenant and month filters.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from acreledger.plans import gold, silver
+from acreledger.plans import fund_metrics, gold, latency, pcap, silver
 from acreledger.sources.storage import shared_dir
-from acreledger.sources.writers import write_clustered
+from acreledger.sources.writers import write_clustered, write_parquet
 
-# Layout columns of the large tables.
+# Layout columns of the large tables.  Tenant and date prune; the
+# last column lets the range partitioner split a tenant that holds most rows.
 CLUSTERING = {
-    "silver_gl_transactions": ["arena_id", "transaction_date"],
-    "gold_property_financials": ["arena_id", "month"],
-    "gold_gl_monthly_summary": ["arena_id", "month"],
+    "silver_gl_transactions": ["arena_id", "transaction_date", "transaction_id"],
+    "gold_property_financials": ["arena_id", "month", "property_id"],
+    "gold_gl_monthly_summary": ["arena_id", "month", "fund_id"],
+    "gold_fund_attribution_period": ["fund_id", "period_id", "property_id"],
+    "gold_investor_pcap": ["investor_id", "fund_id", "period_id"],
 }
 
 
@@ -31,20 +35,21 @@ class Lakehouse:
     """
 
     _built: dict[str, dict[str, StructType]] = {}
+    _lock = threading.RLock()
 
-    def __init__(self, spark: SparkSession, raw: Callable[[str], DataFrame], input_id: str, as_of: str):
-        self.spark, self.raw, self.as_of = spark, raw, as_of
-        tag = hashlib.md5(f"{input_id}|{as_of}".encode()).hexdigest()[:12]
+    def __init__(self, spark: SparkSession, raw: Mapping[str, DataFrame], input_id: str, as_of: str, report_as_of: str | None = None):
+        self.spark, self.raw, self.as_of, self.report_as_of = spark, raw, as_of, report_as_of or as_of
+        tag = hashlib.md5(f"{input_id}|{as_of}|{self.report_as_of}".encode()).hexdigest()[:12]
         self.root = f"{shared_dir(spark)}/acreledger/{spark.sparkContext.applicationId}/{tag}"
 
     def recipes(self) -> Mapping[str, Callable[[], DataFrame]]:
         t = self.table
         return {
-            "silver_arenas": lambda: silver.arenas(self.raw("arenas")),
-            "silver_funds": lambda: silver.funds(self.raw("funds")),
-            "silver_investors": lambda: silver.investors(self.raw("investors")),
-            "silver_properties": lambda: silver.properties(self.raw("properties")),
-            "silver_gl_transactions": lambda: silver.gl_transactions(self.raw("gl_raw")),
+            "silver_arenas": lambda: silver.arenas(self.raw["arenas"]),
+            "silver_funds": lambda: silver.funds(self.raw["funds"]),
+            "silver_investors": lambda: silver.investors(self.raw["investors"]),
+            "silver_properties": lambda: silver.properties(self.raw["properties"]),
+            "silver_gl_transactions": lambda: silver.gl_transactions(self.raw["gl_raw"]),
             "gold_fund_performance": lambda: gold.fund_performance(
                 t("silver_funds"), t("silver_properties"), t("silver_investors")),
             "gold_property_financials": lambda: gold.property_financials(
@@ -54,21 +59,25 @@ class Lakehouse:
             "gold_arena_overview": lambda: gold.arena_overview(
                 t("silver_arenas"), t("silver_funds"), t("silver_properties"), t("silver_investors"),
                 t("silver_gl_transactions"), self.as_of),
+            "gold_fund_attribution_period": lambda: fund_metrics.attribution_period(self.raw, self.report_as_of),
+            "gold_investor_pcap": lambda: pcap.investor_pcap(self.raw),
+            "benchmark_summary": lambda: latency.summary_lockstep(self.raw["benchmark_raw"]),
         }
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, recipe: Callable[[], DataFrame] | None = None, cluster: list[str] | None = None) -> DataFrame:
-        built = self._built.setdefault(self.root, {})
-        if name not in built:
-            df = (recipe or self.recipes()[name])()
-            keys = cluster or CLUSTERING.get(name)
-            if keys:
-                write_clustered(df, self.path(name), keys)
-            else:
-                df.write.mode("overwrite").parquet(self.path(name))
-            built[name] = df.schema
+    def table(self, name: str) -> DataFrame:
+        with self._lock:
+            built = self._built.setdefault(self.root, {})
+            if name not in built:
+                df = self.recipes()[name]()
+                keys = CLUSTERING.get(name)
+                if keys:
+                    write_clustered(df, self.path(name), keys)
+                else:
+                    write_parquet(df, self.path(name))
+                built[name] = df.schema
         return self.spark.read.schema(built[name]).parquet(self.path(name))
 
     def update(self) -> dict[str, str]:

@@ -373,7 +373,7 @@ FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) days""")
 # ---------------------------------------------------------------- audit, usage, catalog
 _bind("audit_flat", """
 SELECT event_id, ts AS event_time, concat('u', user_id, '@example.org') AS user_email,
-  CASE user_id % 3 WHEN 0 THEN 'unityCatalog' WHEN 1 THEN 'sql' ELSE 'accounts' END AS service_name,
+  CASE user_id % 3 WHEN 0 THEN 'catalog' WHEN 1 THEN 'sql' ELSE 'accounts' END AS service_name,
   CASE event_type WHEN 'signup' THEN 'grantPermission' WHEN 'view' THEN 'login'
        WHEN 'click' THEN 'alterTable' WHEN 'purchase' THEN 'updatePermissions' ELSE 'tokenLogin' END AS action_name,
   concat('10.0.0.', user_id % 250) AS source_ip_address, props AS request_params,

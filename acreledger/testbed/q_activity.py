@@ -34,7 +34,7 @@ WORST, NAMES = "error", ["click", "view"]
 
 def summary(x):
     """The summary table as the result loader stores it: written once, then read."""
-    return x.lake.table("benchmark_summary", lambda: latency.summary_lockstep(x.t.benchmark_raw))
+    return x.lake.table("benchmark_summary")
 
 
 def buckets(x):
@@ -131,16 +131,16 @@ query("aud_recent_activity", f"""SELECT event_id, event_time, user_email, servic
   FROM audit_flat WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 72 HOUR AND (request_params LIKE '%9%' OR CAST(status_code AS STRING) LIKE '%9%')
   ORDER BY event_time DESC, event_id LIMIT 200""")(lambda x: audit.recent_activity(log(x), "9", 72, NOW))
 query("aud_grant_changes", f"""SELECT event_id, event_time, user_email, action_name, request_params, status_code FROM audit_flat
-  WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND service_name = 'unityCatalog'
+  WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND service_name = 'catalog'
   AND action_name IN ('updatePermissions','grantPermission','revokePermission') AND request_params LIKE '%7%'""")(
-    lambda x: audit.grant_changes(log(x), "7", 90, NOW, k=None))
+    lambda x: audit.grant_changes(log(x), "7", 90, NOW, "catalog", k=None))
 query("aud_tenant_access", f"""SELECT event_id, event_time, user_email, service_name, action_name, source_ip_address, status_code FROM audit_flat
   WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND request_params LIKE '%"k": 42%'""")(
     lambda x: audit.tenant_access(log(x), '"k": 42', NOW))
 query("aud_schema_changes", f"""SELECT event_id, event_time, user_email, action_name, request_params FROM audit_flat
-  WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND service_name = 'unityCatalog'
+  WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND service_name = 'catalog'
   AND action_name IN ('createTable','alterTable','dropTable','updateTable') AND request_params LIKE '%3%'""")(
-    lambda x: audit.schema_changes(log(x), "3", NOW))
+    lambda x: audit.schema_changes(log(x), "3", NOW, "catalog"))
 query("aud_failed_logins", f"""SELECT event_id, event_time, user_email, service_name, action_name, source_ip_address, status_code FROM audit_flat
   WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND status_code BETWEEN 400 AND 499 AND action_name IN ('tokenLogin','login','samlLogin')""")(
     lambda x: audit.failed_logins(log(x), NOW))

@@ -323,10 +323,10 @@ query("so_order_desc", "SELECT fund_id, strategy, aum FROM funds")(
 query("so_nulls_first", "SELECT table_name, column_name, tag_name FROM (SELECT table_name, NULL AS column_name, tag_name FROM table_tags UNION ALL SELECT table_name, column_name, tag_name FROM column_tags) u ORDER BY table_name, column_name NULLS FIRST, tag_name LIMIT 100")(
     lambda x: so.union_padded(x.t.column_tags, x.t.table_tags).select("table_name", "column_name", "tag_name").orderBy(
         "table_name", F.asc_nulls_first("column_name"), "tag_name").limit(100))
-query("so_case_order", """SELECT table_name, table_type FROM info_tables ORDER BY CASE table_type WHEN 'MATERIALIZED_VIEW' THEN 1 WHEN 'STREAMING_TABLE' THEN 2
-  WHEN 'MANAGED' THEN 3 ELSE 4 END, table_name LIMIT 300""")(
-    lambda x: so.top_k(x.t.info_tables.select("table_name", "table_type"),
-                       [so.case_order("table_type", ["MATERIALIZED_VIEW", "STREAMING_TABLE", "MANAGED"]), F.col("table_name")], 300))
+query("so_case_order", """SELECT table_name, table_type, CASE table_type WHEN 'MATERIALIZED_VIEW' THEN 1 WHEN 'STREAMING_TABLE' THEN 2
+  WHEN 'MANAGED' THEN 3 ELSE 4 END AS position FROM info_tables ORDER BY position, table_name""")(
+    lambda x: x.t.info_tables.select("table_name", "table_type", so.case_order("table_type", audit.TABLE_TYPE_ORDER).alias("position")).orderBy(
+        "position", "table_name"))
 query("so_topk_limit", "SELECT transaction_id, property_id, amount FROM silver_gl ORDER BY amount DESC, transaction_id LIMIT 100")(
     lambda x: so.top_k(x.silver("gl_transactions").select("transaction_id", "property_id", "amount"), [F.desc("amount"), F.col("transaction_id")], 100))
 query("so_topk_per_group", "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY arena_id ORDER BY revenue DESC) AS rnk FROM prop_revenue) r WHERE rnk <= 3")(

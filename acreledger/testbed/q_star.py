@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import functions as F
-
 from acreledger.plans import fund_metrics as fm
 from acreledger.plans import pcap
-from acreledger.testbed.binding import BINDINGS
 from acreledger.testbed.registry import HI, LO, STAR_AS_OF, c, define, mavg, msum, mwhere, query, rnd
 
 ENTITY_TYPES = ["signup", "purchase", "error", "view"]
 ENTITY_SQL = "('signup','purchase','error','view')"
 
 
-class Star(Mapping):
-    """The finance star as name -> DataFrame, bound lazily."""
-
-    def __init__(self, x):
-        self._t = x.t
-
-    def __getitem__(self, name):
-        return getattr(self._t, name)
-
-    def __iter__(self):
-        return iter(BINDINGS)
-
-    def __len__(self):
-        return len(BINDINGS)
-
-
 def star_query(name, sql=None):
     def register(fn):
-        return query(name, sql)(lambda x: fn(Star(x)))
+        return query(name, sql)(lambda x: fn(x.t))
 
     return register
 
@@ -214,9 +193,7 @@ FROM g_attr g JOIN dim_fund f ON f.fund_id = g.fund_id AND is_current JOIN dim_f
 LEFT JOIN ref_holding_strategy h ON h.strategy_code = f.holding_strategy_code JOIN dim_property p ON p.property_id = g.property_id
 JOIN dim_property_type pt ON pt.property_type_code = p.property_type_code WHERE period_end <= DATE '{STAR_AS_OF}'""")
 def _(x):
-    s = Star(x)
-    gold = x.lake.table("gold_fund_attribution_period", lambda: fm.attribution_period(s, STAR_AS_OF), ["fund_id", "period_id"])
-    return fm.attribution_report(gold, s, STAR_AS_OF)
+    return fm.attribution_report(x.gold("fund_attribution_period"), x.t, STAR_AS_OF)
 
 
 # ------------------------------------------------------------ statement pieces
@@ -366,6 +343,4 @@ JOIN dim_fund f ON f.fund_id = g.fund_id AND f.is_current JOIN dim_fund_type ft
 JOIN dim_period p ON p.period_id = g.period_id JOIN dim_waterfall_tier w ON w.tier_id = g.waterfall_tier_id
 WHERE period_start >= DATE '{LO}' AND period_end <= DATE '{HI}'""")
 def _(x):
-    s = Star(x)
-    gold = x.lake.table("gold_investor_pcap", lambda: pcap.investor_pcap(s), ["investor_id", "fund_id"])
-    return pcap.pcap_report(gold, s, LO, HI)
+    return pcap.pcap_report(x.gold("investor_pcap"), x.t, LO, HI)

@@ -30,7 +30,7 @@ class Context:
         self.spark = spark
         key = (id(spark), spark.sparkContext.applicationId, sf_dir)
         self.t = self._tables.setdefault(key, Tables(spark, sf_dir))
-        self.lake = Lakehouse(spark, lambda name: getattr(self.t, name), self.t.sf_dir, AS_OF)
+        self.lake = Lakehouse(spark, self.t, self.t.sf_dir, AS_OF, STAR_AS_OF)
 
     def gold(self, name: str) -> DataFrame:
         return self.lake.table(f"gold_{name}")

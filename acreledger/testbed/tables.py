@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from acreledger.testbed.binding import BASE_TABLES, BINDINGS, WORD, with_ctes
 
 
-class Tables:
+class Tables(Mapping):
     """Base tables as temp views, bound tables as SELECTs over them; each is resolved once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -29,6 +31,15 @@ class Tables:
                 self.base(name).createOrReplaceTempView(name)
         return self.spark.sql(body)
 
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter([*BASE_TABLES, *BINDINGS])
+
+    def __len__(self) -> int:
+        return len(BASE_TABLES) + len(BINDINGS)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

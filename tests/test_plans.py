@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from acreledger.plans import audit, fund_metrics, gold, latency, pcap, silver, synth, workload
-from acreledger.testbed.q_star import Star
 from acreledger.testbed.registry import HI, LO, STAR_AS_OF, Context
 
 SF = "/root/testdata/sf0.001"
@@ -100,7 +99,7 @@ def test_ledger_is_conserved(ctx):
 
 
 def test_statement_equals_precomputed_statement(ctx):
-    s = Star(ctx)
+    s = ctx.t
     full = pcap.statement(s, LO, HI).where("waterfall_tier_id IS NOT NULL").select(
         "investor_id", "fund_id", "waterfall_tier_id", "opening_balance_usd", F.col("total_contributions_usd").alias("c"),
         F.col("computed_ending_balance_usd").alias("e"))
@@ -114,12 +113,12 @@ def test_statement_equals_precomputed_statement(ctx):
 
 
 def test_statement_rows_are_unique(ctx):
-    rows = pcap.statement(Star(ctx), LO, HI)
+    rows = pcap.statement(ctx.t, LO, HI)
     assert rows.groupBy("investor_id", "fund_id", "period_id", "waterfall_tier_id").count().where("count > 1").count() == 0
 
 
 def test_rollup_agrees_with_its_precomputed_form(ctx):
-    s = Star(ctx)
+    s = ctx.t
     key = ["fund_id", "property_id", "period_id"]
     full = fund_metrics.fund_rollup(s, STAR_AS_OF, ["signup"]).select(*key, "dpi", "tvpi", "property_pl_usd")
     assert full.groupBy(*key).count().where("count > 1").count() == 0
