@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from acreledger.session import configure
 from acreledger.testbed.binding import BASE_TABLES, BINDINGS, WORD, with_ctes
 
 
@@ -13,8 +14,7 @@ class Tables(Mapping):
     """Base tables as temp views, bound tables as SELECTs over them; each is resolved once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark = spark
+        self.spark = configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
 
