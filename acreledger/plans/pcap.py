@@ -42,7 +42,7 @@ def before(df: DataFrame, col: str, day: str) -> DataFrame:
 def period_setup(s: Star, lo: str, hi: str) -> DataFrame:
     rows = s["dim_period"].where(
         (F.col("period_start") >= as_date(lo)) & (F.col("period_end") <= as_date(hi)) & (F.col("period_type_code") == "QUARTERLY"))
-    return rows.join(s["ref_fiscal_period_type"], "period_type_code").join(
+    return attach_literal(rows, s["ref_fiscal_period_type"], "period_type_code", "QUARTERLY", "inner").join(
         s["ref_calendar_quarter"], F.col("fiscal_quarter") == F.col("quarter_num")).select(
         "period_id", "period_label", "period_start", "period_end", "fiscal_year", "fiscal_quarter", "period_type_name", "quarter_label")
 

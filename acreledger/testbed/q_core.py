@@ -125,7 +125,7 @@ def _(x):
 
 
 @query("q4_top10_properties", f"""
-SELECT * FROM (SELECT *, rank() OVER (ORDER BY revenue_ttm DESC) AS revenue_rank FROM (
+SELECT * FROM (SELECT *, CAST(rank() OVER (ORDER BY revenue_ttm DESC) AS INT) AS revenue_rank FROM (
   SELECT property_id, property_name, property_type, fund_name, {msum("revenue")} AS revenue_ttm, {msum("noi")} AS noi_ttm,
     {mavg("occupancy_rate")} AS avg_occupancy
   FROM gold_property WHERE arena_id = '{TENANT}' AND month >= DATE '{AS_OF}' - INTERVAL 12 MONTH GROUP BY ALL) t) r
@@ -163,7 +163,7 @@ define("annual_revenue", f"""SELECT g.property_id, fiscal_year, {mwhere("amount"
 
 
 @query("q7_yoy_growth", """
-SELECT * FROM (SELECT *, rank() OVER (PARTITION BY fiscal_year ORDER BY yoy_growth DESC) AS rnk FROM (
+SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY fiscal_year ORDER BY yoy_growth DESC) AS INT) AS rnk FROM (
   SELECT *, (rev - prev_rev) / NULLIF(prev_rev, 0) AS yoy_growth FROM (
     SELECT *, LAG(rev) OVER (PARTITION BY property_id ORDER BY fiscal_year) AS prev_rev FROM annual_revenue) l) g
   WHERE yoy_growth IS NOT NULL) r

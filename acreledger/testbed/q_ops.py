@@ -278,9 +278,9 @@ def fund_flow(x):
     return x.t.order_flow.groupBy("fund_id", "period_id").agg(m.money_sum("amount_usd").alias("flow"))
 
 
-query("wn_rank_global", "SELECT *, rank() OVER (PARTITION BY arena_id ORDER BY revenue DESC) AS rnk FROM prop_revenue")(
+query("wn_rank_global", "SELECT *, CAST(rank() OVER (PARTITION BY arena_id ORDER BY revenue DESC) AS INT) AS rnk FROM prop_revenue")(
     lambda x: dist.value_ranks(prop_revenue(x), ["arena_id"], "revenue"))
-query("wn_rank_partition", """SELECT * FROM (SELECT *, rank() OVER (PARTITION BY fiscal_year ORDER BY net DESC) AS rnk FROM prop_year) r WHERE rnk <= 50""")(
+query("wn_rank_partition", """SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY fiscal_year ORDER BY net DESC) AS INT) AS rnk FROM prop_year) r WHERE rnk <= 50""")(
     lambda x: so.top_per_group(prop_year(x), ["fiscal_year"], [F.desc("net")], 50))
 query("wn_lag", "SELECT *, LAG(net) OVER (PARTITION BY property_id ORDER BY fiscal_year) AS prev_net FROM prop_year")(
     lambda x: so.lag_within(prop_year(x), ["property_id"], ["fiscal_year"], "net", "prev_net"))
@@ -329,7 +329,7 @@ query("so_case_order", """SELECT table_name, table_type, CASE table_type WHEN 'M
         "position", "table_name"))
 query("so_topk_limit", "SELECT transaction_id, property_id, amount FROM silver_gl ORDER BY amount DESC, transaction_id LIMIT 100")(
     lambda x: so.top_k(x.silver("gl_transactions").select("transaction_id", "property_id", "amount"), [F.desc("amount"), F.col("transaction_id")], 100))
-query("so_topk_per_group", "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY arena_id ORDER BY revenue DESC) AS rnk FROM prop_revenue) r WHERE rnk <= 3")(
+query("so_topk_per_group", "SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY arena_id ORDER BY revenue DESC) AS INT) AS rnk FROM prop_revenue) r WHERE rnk <= 3")(
     lambda x: so.top_per_group(prop_revenue(x), ["arena_id"], [F.desc("revenue")], 3))
 query("so_random_sample", """SELECT iteration, target, query_name, total_latency_ms FROM benchmark_raw WHERE success AND NOT is_warmup AND total_latency_ms IS NOT NULL
   ORDER BY md5(iteration || ':42'), iteration LIMIT 5000""")(lambda x: so.sample_rows(flt.measured(x.t.benchmark_raw).select("iteration", "target", "query_name", "total_latency_ms"), "iteration", 5000))
@@ -384,7 +384,14 @@ query("pub_reconcile_counts", """SELECT 'funds' AS table_name, (SELECT COUNT(*)
                             {"funds": fund_new(x), "silver_gl": x.silver("gl_transactions")}))
 query("pub_pk_check", "SELECT property_id, month, COUNT(*) AS row_count FROM (SELECT property_id, date_trunc('month', transaction_date)::DATE AS month FROM gl_raw) g GROUP BY 1, 2 HAVING COUNT(*) > 1")(
     lambda x: pub.pk_violations(x.t.gl_raw.select("property_id", s.month_date(F.col("transaction_date")).alias("month")), ["property_id", "month"]))
+
+
+def pk_report(df, pk):
+    out = pub.pk_violations(df, pk)
+    return out.withColumn("month", F.to_date("month")) if "month" in pk else out
+
+
 GOLD_SQL = {"gold_fund_performance": "gold_fund", "gold_property_financials": "gold_property", "gold_investor_portfolio": "gold_investor",
             "gold_gl_monthly_summary": "gold_gl", "gold_arena_overview": "gold_arena"}
 for _table, _pk in gold.PRIMARY_KEYS.items():
-    query(f"pub_pk_check_{_table}", f"SELECT {', '.join(_pk)}, COUNT(*) AS row_count FROM {GOLD_SQL[_table]} GROUP BY {', '.join(_pk)} HAVING COUNT(*) > 1")(lambda x, t=_table, k=_pk: pub.pk_violations(x.lake.table(t), k))
+    query(f"pub_pk_check_{_table}", f"SELECT {', '.join(_pk)}, COUNT(*) AS row_count FROM {GOLD_SQL[_table]} GROUP BY {', '.join(_pk)} HAVING COUNT(*) > 1")(lambda x, t=_table, k=_pk: pk_report(x.lake.table(t), k))
