@@ -52,13 +52,14 @@ class Lakehouse:
             "silver_gl_transactions": lambda: silver.gl_transactions(self.raw["gl_raw"]),
             "gold_fund_performance": lambda: gold.fund_performance(
                 t("silver_funds"), t("silver_properties"), t("silver_investors")),
+            "silver_gl_monthly": lambda: gold.ledger_base(t("silver_gl_transactions"), self.as_of),
             "gold_property_financials": lambda: gold.property_financials(
-                t("silver_properties"), t("silver_funds"), t("silver_gl_transactions")),
+                t("silver_properties"), t("silver_funds"), t("silver_gl_monthly")),
             "gold_investor_portfolio": lambda: gold.investor_portfolio(t("silver_investors"), t("silver_funds")),
-            "gold_gl_monthly_summary": lambda: gold.gl_monthly_summary(t("silver_gl_transactions"), t("silver_funds")),
+            "gold_gl_monthly_summary": lambda: gold.gl_monthly_summary(t("silver_gl_monthly"), t("silver_funds")),
             "gold_arena_overview": lambda: gold.arena_overview(
                 t("silver_arenas"), t("silver_funds"), t("silver_properties"), t("silver_investors"),
-                t("silver_gl_transactions"), self.as_of),
+                t("silver_gl_monthly"), self.as_of),
             "gold_fund_attribution_period": lambda: fund_metrics.attribution_period(self.raw, self.report_as_of),
             "gold_investor_pcap": lambda: pcap.investor_pcap(self.raw),
             "benchmark_summary": lambda: latency.summary_lockstep(self.raw["benchmark_raw"]),
