@@ -53,6 +53,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return _one_per_key(df, keys, order, descending=True)
 
 
+def approx_median(df: DataFrame, keys: Sequence[str], value: str, keep: Column, accuracy: int = 10_000, alias: str = "median_ms") -> DataFrame:
+    """Sketched median over the rows that satisfy ``keep``; over all rows of a group where none does.
+
+    One pass with bounded state per group; the rank error is rows / accuracy.
+    """
+    half = F.lit(0.5)
+    return df.groupBy(*keys).agg(F.coalesce(
+        F.percentile_approx(F.when(keep, F.col(value)), half, F.lit(accuracy)),
+        F.percentile_approx(value, half, F.lit(accuracy))).alias(alias))
+
+
 def with_group_value(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Attach group aggregates to each row: aggregate, then join back.
 

@@ -238,10 +238,10 @@ query("ag_percentile_cont", """SELECT vintage_year, quantile_cont(committed_capi
 query("ag_percentile_interp", f"""SELECT target, concurrency, query_name, {rnd("quantile_cont(latency_ms, 0.5)", 6)} AS p50_ms,
   {rnd("quantile_cont(latency_ms, 0.95)", 6)} AS p95_ms, {rnd("quantile_cont(latency_ms, 0.99)", 6)} AS p99_ms FROM benchmark_raw WHERE success GROUP BY 1, 2, 3""")(
     lambda x: latency.percentiles(x.t.benchmark_raw.where("success"), ["target", "concurrency", "query_name"], "latency_ms", latency.PERCENTILES))
-query("ag_approx_percentile")(
-    lambda x: x.t.benchmark_raw.groupBy("target").agg(F.coalesce(
-        F.percentile_approx(F.when(F.col("query_name") != "error", F.col("latency_ms")), 0.5),
-        F.percentile_approx("latency_ms", 0.5)).alias("median_ms")))
+# the sketch's rank error is rows / accuracy, below one row here, so the nearest-rank value is exact
+query("ag_approx_percentile", """SELECT target, COALESCE(quantile_disc(latency_ms, 0.5) FILTER (query_name <> 'error'), quantile_disc(latency_ms, 0.5)) AS median_ms
+  FROM benchmark_raw GROUP BY 1""")(
+    lambda x: ag.approx_median(x.t.benchmark_raw, ["target"], "latency_ms", F.col("query_name") != "error", accuracy=1_000_000))
 query("ag_coalesce_sum", f"""SELECT a.fund_id, COALESCE({msum("call_amount_usd")}, 0e0) AS called FROM dim_fund a
   LEFT JOIN fact_capital_call k ON k.fund_id = a.fund_id GROUP BY 1""")(
     lambda x: jn.join_parts(x.t.dim_fund.select("fund_id"), [(x.t.fact_capital_call.groupBy("fund_id").agg(
