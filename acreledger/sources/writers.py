@@ -28,9 +28,9 @@ def write_partitioned(df: DataFrame, path: str, cols: Sequence[str]) -> None:
     )
 
 
-def write_json_single(df: DataFrame, path: str) -> None:
-    """One JSON file with explicit nulls; meant for small dimensions only."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json_compact(df: DataFrame, path: str) -> None:
+    """JSON with explicit nulls.  AQE merges output to its target size: one file for a small dimension, more for a large one."""
+    df.hint("rebalance").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_json_by_month(df: DataFrame, path: str, date_col: str) -> None:
@@ -38,8 +38,9 @@ def write_json_by_month(df: DataFrame, path: str, date_col: str) -> None:
     df.withColumn("month_key", F.date_format(date_col, "yyyy_MM")).hint("rebalance", "month_key").write.mode("overwrite").partitionBy("month_key").json(path)
 
 
-def write_csv_header(df: DataFrame, path: str, files: int = 4) -> None:
-    df.coalesce(files).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+def write_csv_header(df: DataFrame, path: str) -> None:
+    """CSV with header and quote escapes, in as few files as the data size asks for."""
+    df.hint("rebalance").write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def write_clustered(df: DataFrame, path: str, cols: Sequence[str]) -> None:

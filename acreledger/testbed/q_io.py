@@ -30,7 +30,7 @@ def landing(x, name: str) -> str:
     path = f"{x.lake.root}/landing/{name}"
     if path not in LANDED:
         if name == "funds":
-            writers.write_json_single(x.t.funds, path)
+            writers.write_json_compact(x.t.funds, path)
         elif name == "investors":
             writers.write_csv_header(x.t.investors, path)
         elif name == "properties":
@@ -154,7 +154,7 @@ def _(x):
 @query("snk_json_single", "SELECT fund_id, CASE WHEN vintage_year > 2020 THEN status END AS status FROM funds")
 def _(x):
     path = fresh(x, "json")
-    writers.write_json_single(x.t.funds.select("fund_id", F.when(F.col("vintage_year") > 2020, F.col("status")).alias("status")), path)
+    writers.write_json_compact(x.t.funds.select("fund_id", F.when(F.col("vintage_year") > 2020, F.col("status")).alias("status")), path)
     return x.spark.read.json(path).select("fund_id", "status")
 
 

@@ -49,7 +49,7 @@ def test_append_casts_to_the_declared_schema(spark, tmp_path):
 
 def test_json_keeps_nulls(spark, tmp_path):
     path = str(tmp_path / "j")
-    writers.write_json_single(spark.createDataFrame([("a", None)], "k string, v string"), path)
+    writers.write_json_compact(spark.createDataFrame([("a", None)], "k string, v string"), path)
     files = list((tmp_path / "j").glob("*.json"))
     assert len(files) == 1 and files[0].read_text().strip() == '{"k":"a","v":null}'
 
@@ -57,7 +57,7 @@ def test_json_keeps_nulls(spark, tmp_path):
 def test_csv_round_trip_with_quotes(spark, tmp_path, rows):
     path = str(tmp_path / "c")
     df = spark.createDataFrame([('say "hi", you', 1.5), ("plain", None)], "n string, v double")
-    writers.write_csv_header(df, path, 1)
+    writers.write_csv_header(df, path)
     back = spark.read.option("header", "true").option("escape", '"').schema(df.schema).csv(path)
     assert rows(back) == rows(df)
 
@@ -115,7 +115,7 @@ def test_stream_equals_batch_for_silver(spark, tmp_path, rows):
     src = str(tmp_path / "in")
     df = spark.createDataFrame([("i1", "a1", "HNWI", "5.5"), (None, "a1", "PENSION", "1"), ("i2", "a1", "Pension", "x")],
                                "investor_id string, arena_id string, type string, commitment_amount string")
-    writers.write_csv_header(df, src, 1)
+    writers.write_csv_header(df, src)
     st.ingest(spark.readStream.option("header", "true").schema(df.schema).csv(src), silver.investors, str(tmp_path / "out"), str(tmp_path / "chk"))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(silver.investors(df)) == [("i1", "a1", "hnwi", 5.5), ("i2", "a1", "pension", None)]
 
@@ -155,3 +155,18 @@ def test_table_functions_match_lookups(spark, rows):
     assert spark.sql("SELECT * FROM query_gl_summary(p_start => '2024-01-15')").count() == 1
     assert rows(spark.sql("SELECT * FROM query_gl_summary(p_category => 'opex')")) == rows(dashboards.lookup_gl_summary(spark.table("tf_gl"), category="opex"))
     assert spark.sql("SELECT * FROM query_property_financials(p_fund => 'F', p_type => 'office')").count() == 1
+
+
+def test_latency_windows_close_behind_the_watermark(spark, tmp_path):
+    """Append mode gives a window once events pass its end plus the delay; late rows of a closed window are ignored."""
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    shape = "ts timestamp, success boolean, total_latency_ms double"
+    at = lambda m, s=0: dt.datetime(2024, 1, 1, 0, m, s)
+    drops = [[(at(0, 1), True, 10.0), (at(0, 20), True, 30.0), (at(0, 25), False, -1.0), (at(0, 40), True, 5.0)],
+             [(at(5), True, 1.0)], [(at(0, 2), True, 999.0), (at(9), True, 1.0)]]
+    for rows_in in drops:
+        spark.createDataFrame(rows_in, shape).coalesce(1).write.mode("append").parquet(src)
+        st.append_to(st.latency_windows(spark.readStream.schema(shape).parquet(src), "ts"), out, chk).awaitTermination()
+    got = sorted((r["window_start"].minute, r["window_start"].second, r["total"], r["error_count"], r["max_ms"], r["p50_approx_ms"])
+                 for r in spark.read.parquet(out).collect())
+    assert got == [(0, 0, 3, 1, 30.0, 10.0), (0, 30, 1, 0, 5.0, 5.0), (5, 0, 1, 0, 1.0, 1.0)]

@@ -15,9 +15,9 @@ def land(spark, raw, start, end):
 
 def test_update_is_incremental_and_repeatable(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
-    writers.write_json_single(synth.arenas(spark.range(4)), f"{raw}/arenas")
-    writers.write_json_single(synth.funds(spark.range(20)), f"{raw}/funds")
-    writers.write_csv_header(synth.investor_commitments(spark.range(200)), f"{raw}/investors", 2)
+    writers.write_json_compact(synth.arenas(spark.range(4)), f"{raw}/arenas")
+    writers.write_json_compact(synth.funds(spark.range(20)), f"{raw}/funds")
+    writers.write_csv_header(synth.investor_commitments(spark.range(200)), f"{raw}/investors")
     writers.write_parquet(synth.properties(spark.range(40)), f"{raw}/properties")
     land(spark, raw, 0, 600)
 
