@@ -42,7 +42,7 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         eq = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         cond = eq if cond is None else cond & eq
     if cond is None:
-        cond = F.lit(True)
+        raise ValueError("no join keys")
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 

@@ -15,9 +15,22 @@ from pyspark.sql import functions as F
 
 
 def left_equi(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """Left join to a side with one row per key (a dimension or an aggregate)."""
     return left.join(right, on, "left")
 
 
+def left_many(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """Left join to a side with many rows per key.
+
+    A hot key on the right of an outer join cannot be split.  Matches come from an
+    inner join, where AQE splits either side; rows without one from an anti-join
+    against the distinct keys.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    missing = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return left.join(right, keys).unionByName(missing, allowMissingColumns=True)
+
+
 def inner_equi(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     return left.join(right, on, "inner")
 
@@ -32,7 +45,7 @@ def snowflake(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str, str]])
 
 def left_before(left: DataFrame, right: DataFrame, on: list[str], date_col: str, before) -> DataFrame:
     """Left join whose ON clause also says right.date < before."""
-    return left.join(right.where(F.col(date_col) < before), on, "left")
+    return left_many(left, right.where(F.col(date_col) < before), on)
 
 
 def attach_literal(left: DataFrame, ref: DataFrame, key: str, code, how: str = "left") -> DataFrame:

@@ -140,7 +140,9 @@ query("fn_memo_text", """SELECT transaction_id, concat_ws(' ', 'Posting', accoun
 
 # ------------------------------------------------------------ joins
 query("jn_left_equi", """SELECT f.fund_id, fund_name, investor_id, commitment_amount FROM funds f LEFT JOIN investors i ON i.fund_id = f.fund_id""")(
-    lambda x: jn.left_equi(x.t.funds.select("fund_id", "fund_name"), x.t.investors.select("fund_id", "investor_id", "commitment_amount"), "fund_id"))
+    lambda x: jn.left_many(x.t.funds.select("fund_id", "fund_name"), x.t.investors.select("fund_id", "investor_id", "commitment_amount"), "fund_id"))
+query("jn_left_equi_dim", """SELECT g.transaction_id, g.fund_id, fund_name, amount FROM gl_raw g LEFT JOIN funds f ON f.fund_id = g.fund_id""")(
+    lambda x: jn.left_equi(x.t.gl_raw.select("transaction_id", "fund_id", "amount"), x.t.funds.select("fund_id", "fund_name"), "fund_id"))
 query("jn_inner_equi", "SELECT p.property_id, property_name, transaction_id, amount FROM gl_raw g JOIN properties p ON p.property_id = g.property_id")(
     lambda x: jn.inner_equi(x.t.gl_raw.select("property_id", "transaction_id", "amount"), x.t.properties.select("property_id", "property_name"), "property_id"))
 query("jn_inner_composite", """SELECT i.investor_id, i.fund_id, i.arena_id, fund_name FROM investors i JOIN funds f ON f.fund_id = i.fund_id AND f.arena_id = i.arena_id""")(

@@ -99,6 +99,12 @@ def test_attach_literal_keeps_rows_without_a_match(spark, rows):
     assert jn.attach_literal(left, ref, "code", "Z", "inner").count() == 0
 
 
+def test_left_many_equals_left_join(spark, rows):
+    left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, l int")
+    right = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "n"), ("c", "z")], "k string, r string")
+    assert rows(jn.left_many(left, right, "k")) == rows(left.join(right, "k", "left"))
+
+
 def test_rank_ties_and_short_groups(spark):
     df = spark.createDataFrame([("a", v) for v in (5, 5, 4, 3)] + [("b", 1)], "g string, v int")
     top = so.top_per_group(df, ["g"], [F.desc("v")], 2)
