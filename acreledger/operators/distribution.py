@@ -136,11 +136,12 @@ def percentiles(
     return sides.select(*keys, *out)
 
 
-def group_ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, salts: int = 64) -> DataFrame:
+def group_ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, salts: int = 1024) -> DataFrame:
     """Add ``rank_no`` (1..n in value order) and ``group_n`` to every row.
 
     Same result as row_number() over the whole group, but the sorted units are
-    (group, value, salt): even a group with one repeated value is spread.
+    (group, value, salt): even a group with one repeated value is spread over
+    ``salts`` units.
     """
     keys = list(keys)
     v = F.col(value).cast("double")

@@ -95,6 +95,7 @@ def cash_flow_history(calls: DataFrame, dists: DataFrame, fees: DataFrame, as_of
 
 
 def cumulative_flows(history: DataFrame) -> DataFrame:
+    """Period and running totals; takes the history or, sparing a shuffle, the flow rows themselves."""
     per = history.groupBy("fund_id", "period_id").agg(
         sum_where("flow_usd", F.col("flow_type") == "CONTRIBUTION").alias("contrib_usd"),
         sum_where("flow_usd", F.col("flow_type").startswith("DISTRIBUTION")).alias("dist_usd"),
@@ -243,7 +244,8 @@ def document_summary(s: Star, fund_id: str | None = None) -> DataFrame:
 # ------------------------------------------------------------ the composed report
 def _fund_period(s: Star, as_of: str, fund_id: str | None) -> DataFrame:
     """Flows, NAV and ratios side by side at (fund, period)."""
-    flows = cumulative_flows(cash_flow_history(s["fact_capital_call"], s["fact_distribution"], s["fact_fee_charge"], as_of, fund_id))
+    rows = flow_rows(s["fact_capital_call"], s["fact_distribution"], s["fact_fee_charge"])
+    flows = cumulative_flows(up_to(for_fund(rows, fund_id), "flow_date", as_of))
     nav = nav_series(s["fact_nav_snapshot"], as_of, fund_id)
     return with_ratios(flows.join(nav, ["fund_id", "period_id"], "left"))
 

@@ -110,8 +110,10 @@ def _(x):
 query("src_multiformat_batch", """SELECT 'funds' AS entity, COUNT(*) AS row_count FROM funds UNION ALL SELECT 'investors', COUNT(*) FROM investors
   UNION ALL SELECT 'properties', COUNT(*) FROM properties UNION ALL SELECT 'gl', COUNT(*) FROM gl_raw""")(
     lambda x: readers.landing_counts(x.spark, {
-        "funds": ("json", landing(x, "funds"), "*.json"), "investors": ("csv", landing(x, "investors"), "*.csv"),
-        "properties": ("parquet", landing(x, "properties"), "*.parquet"), "gl": ("parquet", landing(x, "gl"), "*.parquet")}))
+        "funds": ("json", landing(x, "funds"), "*.json", schemas.FUNDS),
+        "investors": ("csv", landing(x, "investors"), "*.csv", schemas.INVESTORS),
+        "properties": ("parquet", landing(x, "properties"), "*.parquet", schemas.PROPERTIES),
+        "gl": ("parquet", landing(x, "gl"), "*.parquet", x.t.gl_raw.schema)}))
 query("src_file_fallback_scan", "SELECT DISTINCT arena_id FROM funds ORDER BY arena_id LIMIT 500")(
     lambda x: readers.table_or_files(x.spark, "acre_absent_table", landing(x, "funds"), "arena_id"))
 
