@@ -214,6 +214,11 @@ def qps_gap(buckets: DataFrame, runs: DataFrame) -> DataFrame:
                          (F.col("achieved_qps") >= F.col("target_rate_qps")).alias("kept_pace"))
 
 
+def run_id_of(stamp: Column) -> Column:
+    """Run id of a result directory: 20240105_101530 -> 2024-01-05T10:15:30Z."""
+    return F.date_format(F.to_timestamp(stamp, "yyyyMMdd_HHmmss"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def derive_runs(raw: DataFrame, dir_col: str = "run_dir", tail_s: int = 30) -> DataFrame:
     """Run rows rebuilt from samples.  The directory stamp yyyyMMdd_HHmmss is the start (UTC)."""
     started = F.to_timestamp(F.col(dir_col), "yyyyMMdd_HHmmss")
@@ -222,7 +227,7 @@ def derive_runs(raw: DataFrame, dir_col: str = "run_dir", tail_s: int = 30) -> D
         F.max(F.coalesce("actual_start_offset_ms", F.lit(0.0))).alias("__max_ms"),
     )
     return offsets.select(
-        F.date_format(started, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("run_id"), started.alias("started_at"), "targets",
+        run_id_of(F.col(dir_col)).alias("run_id"), started.alias("started_at"), "targets",
         F.timestamp_seconds(F.unix_seconds(started) + F.floor(F.col("__max_ms") / F.lit(1000.0)) + tail_s).alias("ended_at"),
     )
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acreledger import schemas
-from acreledger.plans import dashboards, silver
+from acreledger.plans import dashboards, results, silver
 from acreledger.sources import readers, writers
 from acreledger.sources.storage import shared_dir
 from acreledger.streaming import pipeline as st
@@ -70,6 +70,27 @@ def test_results_csv_cells(spark, tmp_path):
     assert (row["concurrency"], row["latency_ms"], row["success"], row["error"], row["queue_time_ms"], row["is_warmup"]) == (5, None, True, None, None, False)
 
 
+def test_loading_a_result_directory_twice_keeps_one_copy(spark, tmp_path):
+    out = str(tmp_path / "tables")
+    for stamp, n in (("20240105_101530", 3), ("20240106_000000", 2), ("20240105_101530", 3)):
+        d = tmp_path / stamp
+        d.mkdir(exist_ok=True)
+        (d / "raw_results.csv").write_text(
+            "query_name,target,concurrency,iteration,thread_id,latency_ms,success,error,actual_start_offset_ms\n"
+            + "".join(f"q,{'wh' if i else 'pg'},5,{i},0,{10.5 + i},True,,{i * 1000}\n" for i in range(n)))
+        (d / "summary.csv").write_text("target,concurrency,query_name,total_queries,successful,failed,p50_ms,p95_ms,p99_ms,min_ms,max_ms,mean_ms,"
+                                       "throughput_qps,error_rate\nwh,5,q,3,3,0,1,2,3,1,3,2,0.5,0.0\n")
+        (d / "timeseries_buckets.csv").write_text("target,query_name,bucket_start_offset_s,bucket_end_offset_s,p50_ms,p95_ms,max_ms,achieved_qps,error_count,"
+                                                  "is_warmup\nwh,__all__,0,30,1,2,3,4.7,0,True\n")
+        run = results.load_results(spark, str(d), out, "scenario", 5).withColumn("ended_at", F.col("ended_at").cast("string")).first()
+    assert (run["run_id"], run["targets"], run["mode"], run["ended_at"]) == (
+        "2024-01-05T10:15:30Z", ["pg", "wh"], "sustained", "2024-01-05 10:16:02")
+    counts = {t: spark.read.parquet(f"{out}/{t}").count() for t in (*results.FILES, "benchmark_runs")}
+    assert counts == {"benchmark_raw": 5, "benchmark_summary": 2, "benchmark_summary_timeseries": 2, "benchmark_runs": 2}
+    raw = spark.read.parquet(f"{out}/benchmark_raw").where("run_id = '2024-01-05T10:15:30Z'").orderBy("iteration").first()
+    assert (raw["target"], raw["latency_ms"], raw["success"], raw["is_warmup"], raw["queue_time_ms"]) == ("pg", 10.5, True, False, None)
+
+
 def test_clustered_layout_prunes_files(spark, tmp_path):
     path = str(tmp_path / "cl")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
