@@ -37,6 +37,14 @@ def test_update_is_incremental_and_repeatable(spark, tmp_path):
     assert spark.read.parquet(f"{out}/bronze/gl_transactions").count() == 900
 
 
+    extra = synth.funds(spark.range(20, 22), 10).withColumn("esg_rating", F.lit("A"))
+    extra.write.mode("append").json(f"{raw}/funds")
+    after = {r["table_name"]: r["row_count"] for r in run_update(spark, out, "2026-01-01", raw, evolve=True).collect()}
+    assert after["gold_fund_performance"] == 22
+    bronze = spark.read.option("mergeSchema", "true").parquet(f"{out}/bronze/funds")
+    assert sorted(r["esg_rating"] or "" for r in bronze.collect()) == [""] * 20 + ["A", "A"]
+
+
 def test_shuffle_sizing(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
