@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from acreledger.llm.common import table
 
@@ -25,3 +26,50 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@register
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.simhash import classes
+
+    found = classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@register
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.decontam import contaminated, find
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+ORACLES["op6_decontamination"] = r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, row_number() OVER (), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), split AS (
+  SELECT kind, id, r, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM lowered
+), windows AS (
+  SELECT DISTINCT id AS item_id, least(13, len(w)) AS size, w[p : p + least(13, len(w)) - 1] AS win
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM split WHERE kind = 'b' AND len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), spots AS (
+  SELECT id, r, p, size, w[p : p + size - 1] AS win
+  FROM (SELECT id, r, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM split, sizes WHERE kind = 'd' AND len(w) >= size)
+), hits AS (
+  SELECT s.r, s.p, s.size, b.item_id FROM spots s JOIN windows b ON s.size = b.size AND s.win = b.win
+), covered AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + size)) AS q FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r
+)
+SELECT d.id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
+FROM split d LEFT JOIN covered c ON c.r = d.r LEFT JOIN named i ON i.r = d.r WHERE d.kind = 'd'
+"""
