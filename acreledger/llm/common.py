@@ -96,3 +96,67 @@ def fields(spec: str) -> T.StructType:
 def crc_rest(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null for null."""
     return F.crc32(F.col(quoted(column)).cast("string").cast("binary")) % n
+
+
+def bounded_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of the columns ``by``; no shuffle of the rows themselves.
+
+    The hashes of the smallest are read first; the sample is a filter on the
+    frame. All rows stay if they are few enough. Repeats of a row at the cut are
+    left out together.
+    """
+    hashed = F.xxhash64(*(F.col(quoted(c)) for c in by))
+    least = [r[0] for r in df.select(hashed.alias("h")).orderBy("h").limit(rows + 1).collect()]
+    return df if len(least) <= rows else df.filter(hashed < least[-1])
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, total_bytes: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """(text, label) of a bounded sample of the labelled documents for a fit on the driver, in a fixed order.
+
+    ``learn`` says by the key which labels may be learned from. At most ``rows``
+    documents (those with the smallest hash of their key), and of these the first
+    whose texts are ``total_bytes`` long together. A key with several labels has
+    the largest, a key with several texts the smallest; null labels, keys and
+    texts are left out.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col(quoted(key)).alias("k"), F.col(quoted(label)).cast("int").alias("y")).dropna()
+    known = known.filter(F.col("y").isin(0, 1)).withColumnRenamed("k", key).filter(learn).withColumnRenamed(key, "k").groupBy("k").agg(F.max("y").alias("y"))
+    # labels without a document are no loss: they are few, and the sample is a sample
+    chosen = [(r.k, r.y) for r in known.orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
+    if not chosen:
+        return []
+    wanted = spark.createDataFrame(chosen, T.StructType([T.StructField("k", known.schema["k"].dataType), T.StructField("y", T.IntegerType())]))
+    texts = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).dropna().join(F.broadcast(wanted), "k")
+    sizes = {r.k: r.n for r in texts.groupBy("k").agg(F.min(F.octet_length("t")).alias("n")).collect()}
+    fit, total = [], 0
+    for k, y in chosen:
+        if k in sizes and total + sizes[k] <= total_bytes:
+            fit.append((k, y))
+            total += sizes[k]
+    if not fit:
+        return []
+    few = spark.createDataFrame(fit, wanted.schema)
+    found = {r.k: (r.t, r.y) for r in texts.drop("y").join(F.broadcast(few), "k").withColumn("n", F.octet_length("t")).groupBy("k").agg(F.min(F.struct("n", "t"))["t"].alias("t"), F.max("y").alias("y")).collect()}
+    return [found[k] for k, _ in fit]
+
+
+def logistic(x):  # noqa: ANN001, ANN201
+    import numpy as np
+
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def newton_logistic(x, y, ridge: float = 1.0, rounds: int = 30):  # noqa: ANN001, ANN201
+    """Weights, the constant last, of a ridge-penalised logistic regression."""
+    import numpy as np
+
+    x = np.c_[x, np.ones(len(x))]
+    w, penalty = np.zeros(x.shape[1]), ridge * np.r_[np.ones(x.shape[1] - 1), 1e-3]
+    for _ in range(rounds):
+        p = logistic(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

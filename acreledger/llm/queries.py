@@ -73,3 +73,37 @@ SELECT d.id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0
        sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
 FROM split d LEFT JOIN covered c ON c.r = d.r LEFT JOIN named i ON i.r = d.r WHERE d.kind = 'd'
 """
+
+
+@register
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.langid import fit, held_out_fold, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predict(docs, fit(docs, ~held_out_fold()))
+    return found.select("doc_id", F.coalesce(held_out_fold(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.toxicity import fit, held_out_fold, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~held_out_fold()))
+    return found.select("doc_id", F.coalesce(held_out_fold(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.quality import fit, held_out_fold, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~held_out_fold()))
+    return found.select("doc_id", F.coalesce(held_out_fold(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
