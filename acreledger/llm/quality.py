@@ -68,11 +68,11 @@ def features(data: bytes) -> list[np.ndarray]:
     for n in ORDERS:
         if n > 2:
             gram = gram[:-1] << np.uint64(8) | letters[n - 1 :]
-        # no space but at the ends
+        # no space but at the ends, and not spaces alone
         middle = np.zeros(len(gram), dtype=np.int8)
         for k in range(1, n - 1):
             middle += inside[k : k + len(gram)]
-        ok = (middle == 0) & ~(space[: len(gram)] & space[n - 1 :])
+        ok = middle == 0 if n > 2 else ~(space[:-1] & space[1:])
         found.append(bucket(gram[ok], 2 + n))
     return found
 
