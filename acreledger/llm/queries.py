@@ -107,3 +107,39 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acreledger.llm.extract import extract
 
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@register
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.embeddings import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+ORACLES["op1_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fine AS (
+  SELECT vec_id, e FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 95e-2
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), low AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.vec_id) AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+FROM v JOIN low ON low.a = v.vec_id
+"""
+
+
+@register
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.sharding import shard
+
+    placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
