@@ -143,3 +143,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"))
