@@ -1,8 +1,9 @@
-"""Column builders shared by the conform, rollup and generator jobs."""
+"""Column builders shared by the conform and rollup jobs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ def period_label(d: Column) -> Column:
     return F.concat(F.lit("FY"), F.year(d), F.lit("_Q"), F.quarter(d))
 
 
+def quarter_number(period_id: Column) -> Column:
+    """Quarters since year zero of a period label."""
+    return F.substring(period_id, 3, 4).cast("int") * 4 + F.substring(period_id, 9, 1).cast("int")
+
+
 def case_ladder(value: Column, cuts: Sequence[Column], labels: Sequence[str]) -> Column:
     """First label whose cut is at or above the value, else the last label."""
     expr = F.when(value <= cuts[0], F.lit(labels[0]))
@@ -65,24 +71,25 @@ def padded_id(prefix: str, key: Column, width: int) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0")))
 
 
-def array_pick(c: Column, values: Sequence) -> Column:
-    """values[|c| % n] as an in-plan literal array."""
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.element_at(arr, (F.abs(c) % F.lit(len(values))).cast("int") + 1)
-
-
-def weighted_pick(u: Column, values: Sequence, weights: Sequence[float]) -> Column:
-    """Value whose cumulative weight first exceeds u in [0, 1)."""
-    if abs(sum(weights) - 1.0) > 1e-6:
-        raise ValueError("weights must sum to 1")
-    edges, total = [], 0.0
-    for w in weights[:-1]:
-        total += w
-        edges.append(total)
-    pick = F.lit(values[-1])
-    for edge, value in reversed(list(zip(edges, values))):
-        pick = F.when(u < F.lit(edge), F.lit(value)).otherwise(pick)
-    return pick
+def pick_by_key(key: Column, values: Sequence) -> Column:
+    """The value at the key's place, counted round the list; negative keys count too."""
+    choices = F.array(*map(F.lit, values))
+    return F.get(choices, F.pmod(key, F.lit(len(values))).cast("int"))
+
+
+def pick_by_share(u: Column, shares: dict) -> Column:
+    """The value in whose share of [0, 1) u falls; ``shares`` gives each value its size, summing to one."""
+    edges = list(accumulate(shares.values()))
+    if abs(edges[-1] - 1.0) > 1e-9:
+        raise ValueError("shares must sum to one")
+    passed = F.size(F.filter(F.array(*map(F.lit, edges[:-1])), lambda edge: edge <= u))
+    return F.element_at(F.array(*map(F.lit, shares)), passed + 1)
+
+
+def memo_text(account: Column, amount: Column, counterparty: Column, is_long: Column) -> Column:
+    """Templated memo; a share of rows carries a long narrative."""
+    base = F.concat_ws(" ", F.lit("Posting"), account, F.lit("of"), F.format_number(F.abs(amount), 2), F.lit("with"), counterparty)
+    return F.when(is_long, F.concat(base, F.lit(". "), F.repeat(F.lit("Supporting detail retained on file. "), 8))).otherwise(base)
 
 
 def clamp(c: Column, lo, hi) -> Column:

@@ -1,7 +1,6 @@
 """Join shapes of the ledger reports.
 
-Only sets with a checked row bound are force-broadcast (``attach_all``).
-Everywhere else Spark picks a broadcast from measured sizes
+Nothing is force-broadcast: Spark picks a broadcast from measured sizes
 (autoBroadcastJoinThreshold, and again at run time under AQE), and splits a hot
 key of a shuffled join otherwise.
 """
@@ -10,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,17 +52,12 @@ def attach_literal(left: DataFrame, ref: DataFrame, key: str, code, how: str = "
     return attach_all(left, ref.where(F.col(key) == F.lit(code)).drop(key), how)
 
 
-def attach_all(left: DataFrame, small: DataFrame, how: str = "inner", most: int = 1000) -> DataFrame:
-    """Every left row with every row of a set that is small by construction.
+def attach_all(left: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Every left row with every row of a set that is small by nature: reference rows, one-row aggregates, calendar windows.
 
-    For fixed reference rows, one-row aggregates and calendar windows only.  The
-    set is broadcast, at most ``most`` rows of it; a larger set fails the job
-    rather than losing rows.
+    Spark chooses the plan from the measured size; no size fails or loses rows.
     """
-    numbered = small.limit(most + 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    checked = numbered.withColumn("__one", F.when(F.col("__n") <= most, F.lit(1)).otherwise(
-        F.raise_error(F.lit(f"more than {most} rows to attach")).cast("int"))).drop("__n")
-    return left.withColumn("__one", F.lit(1)).join(F.broadcast(checked), "__one", how).drop("__one")
+    return left.join(small, F.lit(True), how)
 
 
 def attach_top1(left: DataFrame, right: DataFrame, order: Sequence[Column]) -> DataFrame:

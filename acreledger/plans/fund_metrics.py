@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreledger.functions.money import cents, from_cents, money_avg, money_sum, round_half_up, safe_ratio
-from acreledger.functions.scalars import case_ladder, period_label, power_proxy
+from acreledger.functions.scalars import case_ladder, period_label, power_proxy, quarter_number
 from acreledger.operators.aggregates import sum_where, with_group_value
 from acreledger.operators.distribution import null_safe, percentiles
 from acreledger.operators.joins import attach_top1, snowflake
@@ -27,6 +27,7 @@ Star = Mapping[str, DataFrame]
 # Quartile labels and report constants.
 QUARTILES = ["Q1", "Q2", "Q3", "Q4"]
 RATE_SCALE = 100_000
+REPORTING_CURRENCY = "USD"
 # the report stays below 100 columns, the limit of whole-stage code generation
 REPORT_FUND_COLUMNS = [
     "fund_id", "fund_name", "fund_type_name", "is_closed_end", "vintage_year", "market_cycle_phase", "peer_cohort_size",
@@ -243,8 +244,13 @@ def document_summary(s: Star, fund_id: str | None = None) -> DataFrame:
 
 # ------------------------------------------------------------ the composed report
 def _fund_period(s: Star, as_of: str, fund_id: str | None) -> DataFrame:
-    """Flows, NAV and ratios side by side at (fund, period)."""
-    rows = flow_rows(s["fact_capital_call"], s["fact_distribution"], s["fact_fee_charge"])
+    """Flows, NAV and ratios side by side at (fund, period).
+
+    The spine is every period of a fund with a flow or a NAV: a NAV adds an empty
+    flow, so that running totals carry into periods without one.
+    """
+    empty = s["fact_nav_snapshot"].select("fund_id", F.col("snapshot_date").alias("flow_date"), "period_id", F.lit("NONE").alias("flow_type"), F.lit(0.0).alias("flow_usd"))
+    rows = flow_rows(s["fact_capital_call"], s["fact_distribution"], s["fact_fee_charge"]).unionByName(empty)
     flows = cumulative_flows(up_to(for_fund(rows, fund_id), "flow_date", as_of))
     nav = nav_series(s["fact_nav_snapshot"], as_of, fund_id)
     return with_ratios(flows.join(nav, ["fund_id", "period_id"], "left"))
@@ -273,7 +279,7 @@ def fund_rollup(s: Star, as_of: str, entity_types: Sequence[str], fund_id: str |
     docs = for_fund(s["fact_document_metadata"], fund_id).join(
         s["dim_document_type"].select("doc_type_code"), "doc_type_code", "left_semi").groupBy("fund_id").agg(
         F.count(F.lit(1)).alias("doc_count"), F.sum("page_count").alias("doc_total_pages"))
-    fx = fx_stats(s, hi=as_of).select("base_currency", F.col("avg_rate").alias("fx_avg_rate"), F.col("rate_stddev").alias("fx_volatility"))
+    fx = fx_stats(s, hi=as_of).where(F.col("quote_currency") == REPORTING_CURRENCY).select("base_currency", F.col("avg_rate").alias("fx_avg_rate"), F.col("rate_stddev").alias("fx_volatility"))
     audit = audit_summary(s, entity_types, hi="9999-12-31").select(
         F.col("entity_type").alias("audit_entity_type"), F.col("event_type").alias("audit_event_type"),
         F.col("role_name").alias("audit_user_role"), F.col("event_count").alias("audit_event_count"))
@@ -298,8 +304,8 @@ def fund_rollup(s: Star, as_of: str, entity_types: Sequence[str], fund_id: str |
 
 # ------------------------------------------------------------ precomputed report
 def period_rates(s: Star) -> DataFrame:
-    """(base_currency, period_id, rate_delta): period average minus overall average."""
-    rates = s["fact_fx_rate"].withColumn("period_id", period_label(F.col("rate_date")))
+    """(base_currency, period_id, rate_delta): period average minus overall average of the rates to the reporting currency."""
+    rates = s["fact_fx_rate"].where(F.col("quote_currency") == REPORTING_CURRENCY).withColumn("period_id", period_label(F.col("rate_date")))
     per = rates.groupBy("base_currency", "period_id").agg(money_avg("rate", RATE_SCALE).alias("__p"))
     overall = rates.groupBy("base_currency").agg(money_avg("rate", RATE_SCALE).alias("__o"))
     return per.join(overall, "base_currency").select("base_currency", "period_id", (F.col("__p") - F.col("__o")).alias("rate_delta"))
@@ -307,34 +313,35 @@ def period_rates(s: Star) -> DataFrame:
 
 def fx_effect(amount: Column) -> Column:
     """Amount times the rate's deviation; zero for dollar funds and unquoted periods."""
-    return round_half_up(F.when(F.col("base_currency") == "USD", F.lit(0.0)).otherwise(
+    return round_half_up(F.when(F.col("base_currency") == REPORTING_CURRENCY, F.lit(0.0)).otherwise(
         F.coalesce(amount * F.col("rate_delta"), F.lit(0.0))), 2)
 
 
 def attribution_period(s: Star, as_of: str) -> DataFrame:
-    """gold_fund_attribution_period: one row per (fund, property, period)."""
+    """gold_fund_attribution_period: every (fund, property, period) with a valuation or an allocation."""
     fund = _fund_period(s, as_of, None)
-    last4 = Window.partitionBy("fund_id").orderBy("period_id").rowsBetween(-3, 0)
+    # four quarters by the calendar, whatever periods the fund skips
+    year = Window.partitionBy("fund_id").orderBy(quarter_number(F.col("period_id"))).rangeBetween(-3, 0)
     fund = fund.withColumns({
-        "__c4": F.sum(cents("contrib_usd")).over(last4), "__d4": F.sum(cents("dist_usd")).over(last4)})
+        "__c4": F.sum(cents("contrib_usd")).over(year), "__d4": F.sum(cents("dist_usd")).over(year)})
     trailing = safe_ratio(from_cents(F.col("__d4")) + F.col("net_nav"), from_cents(F.col("__c4")))
     meta = s["dim_fund"].select("fund_id", "vintage_year", "base_currency")
-    fund = fund.join(meta, "fund_id").withColumn("fund_irr_trailing_12m", round_half_up(power_proxy(trailing), 6))
-    # read by the two peer rankings and the final join: write it once
+    fund = fund.join(meta.drop("base_currency"), "fund_id").withColumn("fund_irr_trailing_12m", round_half_up(power_proxy(trailing), 6))
+    # read by the peer ranking and the final join: write it once
     fund = staged(fund, "fund_period")
-    cohort, cuts = ["vintage_year", "period_id"], {}
-    for name, col in (("irr", "irr_proxy"), ("moic", "tvpi")):
-        ps = {f"__{name}25": 0.25, f"__{name}50": 0.5, f"__{name}75": 0.75}
-        cuts[name] = percentiles(fund, cohort, col, ps)
+    cohort = ["vintage_year", "period_id"]
+    # exact percentiles of both ratios in one pass; a cohort has at most one row for each fund
+    at = F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75)))
+    cuts = fund.groupBy(*cohort).agg(F.percentile("irr_proxy", at).alias("__irr"), F.percentile("tvpi", at).alias("__moic"))
+    fund = null_safe(fund, cuts, cohort, "left")
     for name, col in (("irr", "irr_proxy"), ("moic", "tvpi")):
-        fund = null_safe(fund, cuts[name], cohort, "left")
-        label = case_ladder(F.col(col), [F.col(f"__{name}{p}") for p in (25, 50, 75)], QUARTILES)
+        label = case_ladder(F.col(col), [F.col(f"__{name}")[n] for n in range(3)], QUARTILES)
         fund = fund.withColumn(f"peer_quartile_{name}", F.when(F.col(col).isNotNull(), label))
     # read for the fund-period total and for the rows themselves
     facts = staged(_property_period(s, as_of, None), "property_period")
     rows = with_group_value(facts, ["fund_id", "period_id"], __total=money_sum("property_pl_usd"))
     return (
-        rows.join(fund, ["fund_id", "period_id"])
+        rows.join(fund, ["fund_id", "period_id"], "left").join(meta.select("fund_id", "base_currency"), "fund_id")
         .join(s["dim_period"].select("period_id", "period_label", "period_end"), "period_id", "left")
         .join(period_rates(s), ["base_currency", "period_id"], "left")
         .select(
@@ -343,7 +350,7 @@ def attribution_period(s: Star, as_of: str) -> DataFrame:
             F.col("tvpi").alias("tvpi_net"), F.col("dpi").alias("dpi_net"), F.col("rvpi").alias("rvpi_net"),
             round_half_up(safe_ratio(F.col("property_pl_usd"), F.col("__total")), 6).alias("property_contribution_pct"),
             F.col("property_pl_usd").alias("property_attribution_usd"), "peer_quartile_irr", "peer_quartile_moic",
-            round_half_up(F.col("__irr50"), 6).alias("vintage_cohort_median_irr"),
+            round_half_up(F.col("__irr")[1], 6).alias("vintage_cohort_median_irr"),
             F.col("value_change_usd").alias("gross_appreciation_usd"),
             fx_effect(F.col("property_pl_usd")).alias("fx_drag_usd"), "gross_nav", "net_nav")
     )

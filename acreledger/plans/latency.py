@@ -92,8 +92,9 @@ def summary_sustained(raw: DataFrame, duration_s: float, keys: Sequence[str] = (
 
 
 def timeseries(raw: DataFrame, bucket_s: int, warmup_s: int, total_s: int, keys: Sequence[str] = ("run_id", "target")) -> DataFrame:
-    """Tumbling buckets by start offset; buckets without a success are absent."""
-    rows = raw.where(F.col("actual_start_offset_ms") < total_s * 1000).withColumn(
+    """Tumbling buckets by start offset, up to the end of the last one begun; buckets without a success are absent."""
+    last_s = -(-total_s // bucket_s) * bucket_s
+    rows = raw.where(F.col("actual_start_offset_ms") < last_s * 1000).withColumn(
         "bucket_start_offset_s", F.floor(F.col("actual_start_offset_ms") / F.lit(bucket_s * 1000.0)).cast("int") * bucket_s)
     by = [*keys, "bucket_start_offset_s"]
     ok = F.col("success") & F.col("total_latency_ms").isNotNull()
@@ -119,11 +120,13 @@ def headline(summary: DataFrame, runs: DataFrame, exclude: str, mode: str = "sus
     keys = ["run_id", "target"]
     totals = summary.groupBy(*keys).agg(
         F.max("p95_ms").alias("p95_max_ms"), F.sum("successful").alias("total_samples"), F.sum("failed").alias("total_failures"))
-    others = summary.where(F.col("query_name") != exclude)
-    for col in ("p95", "p99"):
-        totals = null_safe(totals, percentiles(others, keys, f"{col}_ms", {"__mix": 0.5}), keys, "left")
-        totals = null_safe(totals, percentiles(summary, keys, f"{col}_ms", {"__any": 0.5}), keys, "left")
-        totals = totals.withColumn(f"{col}_median_ms", F.coalesce("__mix", "__any")).drop("__mix", "__any")
+    # both percentiles, with and without the worst query, as one keyed set: a single pass finds the four medians
+    shapes = F.explode(F.array(*(F.struct(F.lit(f"{c}_{k}").alias("__kind"), F.when(keep, F.col(f"{c}_ms")).alias("__ms"))
+                                 for c in ("p95", "p99") for k, keep in (("mix", F.col("query_name") != exclude), ("any", F.lit(True))))))
+    stacked = summary.select(*keys, shapes.alias("__s")).select(*keys, "__s.*").where("__ms IS NOT NULL")
+    medians = percentiles(stacked, [*keys, "__kind"], "__ms", {"__median": 0.5})
+    flat = medians.groupBy(*keys).agg(*(F.coalesce(*(F.max(F.when(F.col("__kind") == f"{c}_{k}", F.col("__median"))) for k in ("mix", "any"))).alias(f"{c}_median_ms") for c in ("p95", "p99")))
+    totals = null_safe(totals, flat, keys, "left")
     return runs.where(F.col("mode") == mode).select("run_id", "started_on", "target_rate_qps").join(totals, "run_id", "left")
 
 

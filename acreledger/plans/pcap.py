@@ -143,8 +143,13 @@ def valuations(s: Star, lo: str, hi: str) -> DataFrame:
 
 
 def waterfall_terms(s: Star, carry_code: str = CARRY_CODE) -> DataFrame:
-    """Every tier with the terms of one carry structure."""
-    return attach_literal(s["dim_waterfall_tier"], s["ref_carry_structure"], "carry_code", carry_code, "inner")
+    """Every tier with the terms of one carry structure and what funds of that structure have paid in it."""
+    tiers = attach_literal(s["dim_waterfall_tier"], s["ref_carry_structure"], "carry_code", carry_code, "inner")
+    funds = s["dim_fund"].where(F.col("carry_code") == carry_code).select("fund_id")
+    paid = s["fact_distribution"].join(funds, "fund_id").groupBy(F.col("waterfall_tier_id").alias("tier_id")).agg(
+        money_sum("amount_usd").alias("paid_usd"), F.count(F.lit(1)).alias("payments"))
+    return tiers.join(paid, "tier_id", "left").withColumns({
+        "paid_usd": F.coalesce("paid_usd", F.lit(0.0)), "payments": F.coalesce("payments", F.lit(0))})
 
 
 def tax_withholding(s: Star, period_distributions: DataFrame, jurisdiction: str = "US_FED", boxes: Sequence[str] = K1_BOXES) -> DataFrame:
@@ -255,7 +260,7 @@ def _activity(s: Star) -> DataFrame:
 
 
 def investor_pcap(s: Star) -> DataFrame:
-    """gold_investor_pcap: all investors, funds and periods with activity, by paid tier.
+    """gold_investor_pcap: all investors, funds and periods with activity, by paid tier (NULL in periods without a distribution).
 
     One pass: the facts are unioned and folded once to (investor, fund, period);
     opening balances are a running sum over that.
@@ -272,8 +277,8 @@ def investor_pcap(s: Star) -> DataFrame:
         *[total(*ids).alias(f"dist_{n}") for n, ids in TIER_GROUPS.items()],
         *[total(t).alias(n) for n, t in ALLOCATION_TYPES.items()],
         F.array_sort(F.collect_set(F.when(kind.isin(*all_tiers), kind))).alias("tiers"))
-    # opening counts all allocations with their sign as booked; closing nets expense
-    prior = F.col("calls") - F.col("dist") - F.col("fees") + F.col("income") + F.col("expense") + F.col("realized") + F.col("unrealized")
+    # expense lowers the balance in both, so that each period opens where the one before it closed
+    prior = F.col("calls") - F.col("dist") - F.col("fees") + F.col("income") - F.col("expense") + F.col("realized") + F.col("unrealized")
     earlier = Window.partitionBy(*GRAIN).orderBy("period_id").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("__prior", F.coalesce(F.sum(prior).over(earlier), F.lit(0)))
     per = per.join(s["dim_capital_account"].select(*GRAIN, "commitment_usd"), GRAIN).join(
@@ -282,7 +287,7 @@ def investor_pcap(s: Star) -> DataFrame:
     closing = opening + F.col("calls") - F.col("dist") + F.col("realized") + F.col("unrealized") + F.col("income") - F.col("expense") - F.col("fees")
     gain = from_cents(F.col("realized") + F.col("unrealized"))
     paid, out = from_cents(F.col("calls")), from_cents(F.col("dist"))
-    tier = F.explode(F.when(F.size("tiers") > 0, F.col("tiers")).otherwise(F.array(F.lit("ROC"))))
+    tier = F.explode_outer("tiers")
     return per.select(
         *GRAIN, "period_id", tier.alias("waterfall_tier_id"),
         from_cents(opening).alias("opening_balance_usd"), paid.alias("contributions_usd"),
@@ -305,6 +310,6 @@ def pcap_report(gold: DataFrame, s: Star, lo: str, hi: str, investor_id: str | N
         "fund_id", "fund_name", "vintage_year", "fund_type_name")
     tiers = s["dim_waterfall_tier"].select(F.col("tier_id").alias("waterfall_tier_id"), F.col("tier_name").alias("waterfall_tier"), "tier_order")
     return (
-        rows.join(periods, "period_id").join(investors, "investor_id").join(funds, "fund_id").join(tiers, "waterfall_tier_id")
+        rows.join(periods, "period_id").join(investors, "investor_id").join(funds, "fund_id").join(tiers, "waterfall_tier_id", "left")
         .orderBy("investor_id", "fund_id", "period_id", "tier_order")
     )

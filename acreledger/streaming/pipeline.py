@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from acreledger.functions.money import cents, from_cents
-from acreledger.functions.scalars import month_start
+from acreledger.functions.scalars import month_date
+from acreledger.operators.aggregates import dedupe
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, partition_by: list[str] | None = None) -> StreamingQuery:
@@ -39,33 +40,48 @@ def dedupe_within(stream: DataFrame, key: str, event_time: str, delay: str = "7
     return ts.dropDuplicatesWithinWatermark([key]).drop("__event_ts")
 
 
-def gl_monthly_delta(batch: DataFrame) -> DataFrame:
-    """Partial sums of one batch at ledger-summary grain."""
-    return (
-        batch.withColumn("month", month_start(F.col("transaction_date")))
-        .groupBy("arena_id", "fund_id", "category", "month")
-        .agg(F.sum(cents("amount")).alias("amount_cents"), F.count("transaction_id").alias("transaction_count"))
-    )
+PARTITION = ["arena_id", "month"]
 
 
-def gl_monthly_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Incremental ledger summary.
+def gl_monthly_stream(stream: DataFrame, path: str, checkpoint: str, summarise: Callable[[DataFrame], DataFrame], trigger: dict | None = None) -> StreamingQuery:
+    """Incremental ledger summary over deduplicated rows.
 
-    Each batch writes its partial sums under its own batch id, replacing the
-    directory on a retry, so history is never re-read and no batch counts twice.
+    Each batch lands its rows under its own batch id (replaced on a retry), then
+    recomputes the (tenant, month) partitions that it touches: its own, and those
+    of earlier copies of its transactions, which may lose a row to it. Partitions
+    that end up empty are overwritten by a row without a fund. ``summarise`` gets
+    the kept rows with their partition columns.
     """
+    rows, summary = f"{path}/rows", f"{path}/summary"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        gl_monthly_delta(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        landed = batch.withColumn("month", month_date(F.col("transaction_date")))
+        landed.write.mode("overwrite").parquet(f"{rows}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        known = spark.read.option("basePath", rows).parquet(rows)
+        new = known.where(F.col("batch_id") == batch_id).drop("batch_id")
+        known = known.where(F.col("batch_id") <= batch_id).drop("batch_id")
+        touched = known.join(new.select("transaction_id").distinct(), "transaction_id", "left_semi").select(*PARTITION).distinct()
+        ids = known.join(touched, PARTITION, "left_semi").select("transaction_id").distinct()
+        kept = dedupe(known.join(ids, "transaction_id", "left_semi"), "transaction_id", ["transaction_date", "amount"])
+        done = summarise(kept.join(touched, PARTITION, "left_semi"))
+        spark_rows = touched.join(done, PARTITION, "left").select(*[c for c in done.columns if c not in PARTITION], *PARTITION)
+        spark_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(summary)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def gl_monthly_read(deltas: DataFrame) -> DataFrame:
-    """Fold the partial sums into the ledger summary."""
-    n = F.sum("transaction_count")
-    return deltas.groupBy("arena_id", "fund_id", "category", "month").agg(
-        from_cents(F.sum("amount_cents")).alias("total_amount"), n.alias("transaction_count"),
-        (F.sum("amount_cents").cast("double") / n.cast("double") / F.lit(100.0)).alias("avg_transaction_amount"))
+def gl_monthly_totals(rows: DataFrame) -> DataFrame:
+    """Ledger summary of kept rows at (tenant, month, fund, category)."""
+    total, n = F.sum(cents("amount")), F.count("amount")
+    return rows.groupBy(*PARTITION, "fund_id", "category").agg(
+        from_cents(total).alias("total_amount"), F.count("transaction_id").alias("transaction_count"),
+        (total.cast("double") / n.cast("double") / F.lit(100.0)).alias("avg_transaction_amount"))
+
+
+def gl_monthly_read(summary: DataFrame) -> DataFrame:
+    """The summary without the marks of empty partitions."""
+    return summary.where("transaction_count IS NOT NULL")
 
 
 def latency_windows(stream: DataFrame, event_time: str, width: str = "30 seconds", delay: str = "1 minute", keys: list[str] | None = None) -> DataFrame:

@@ -69,19 +69,27 @@ SELECT {_id("PRP", "p_partkey", 6)} AS property_id, {ARENA} AS arena_id,
        CAST(DATE '1996-01-01' + CAST(p_partkey % 3650 AS INT) AS DATE) AS acquisition_date
 FROM part_fund JOIN supplier ON s_suppkey = fundkey""")
 
-# The k-th fund open to a nation's investors (k <= 3), so that commitments are
-# a linear join instead of all customer x fund pairs of the nation.
+# Funds of a nation, numbered from 0, and its number of funds.
 _bind("nation_fund", """
-SELECT s_nationkey, s_suppkey, s_name, k, count(*) OVER (PARTITION BY s_nationkey) AS n_open FROM (
-  SELECT s_nationkey, s_suppkey, s_name,
-         row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k
-  FROM supplier) ranked
-WHERE k <= 3""")
+SELECT s_nationkey, s_suppkey, s_name,
+       row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS fund_slot
+FROM supplier""")
+_bind("nation_size", """
+SELECT s_nationkey AS size_nationkey, count(*) AS n_open FROM supplier GROUP BY s_nationkey""")
+
+# One to three commitments of a customer, dealt over all funds of the nation: one
+# equi-join, and every fund has its turn.
+_bind("customer_turn", """
+SELECT *, 0 AS j FROM customer
+UNION ALL SELECT *, 1 AS j FROM customer WHERE c_custkey % 3 >= 1
+UNION ALL SELECT *, 2 AS j FROM customer WHERE c_custkey % 3 >= 2""")
 
 _bind("commitments", """
-SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, s_suppkey, s_nationkey, k,
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, s_suppkey, s_nationkey, j + 1 AS k,
        least(1 + c_custkey % 3, n_open) AS n_funds
-FROM customer JOIN nation_fund ON c_nationkey = s_nationkey AND k <= 1 + c_custkey % 3""")
+FROM (SELECT customer_turn.*, n_open, (c_custkey + j) % n_open AS turn_slot
+      FROM customer_turn JOIN nation_size ON c_nationkey = size_nationkey WHERE j < n_open) turns
+JOIN nation_fund ON c_nationkey = s_nationkey AND turn_slot = fund_slot""")
 
 _bind("investors", f"""
 SELECT {_id("INV", "c_custkey", 7)} AS investor_id, {ARENA} AS arena_id,
@@ -262,7 +270,7 @@ _values("ref_currency_pair", "pair_code, is_active", "('EURUSD',true),('GBPUSD',
 _values("dim_document_type", "doc_type_code, doc_type_name",
         ",".join(f"('src{i}','Document class {i}')" for i in range(20)))
 
-# each order is one investor cash flow into the investor's k-th fund
+# each order is one investor cash flow into one of the investor's funds
 _bind("order_flow", f"""
 SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS flow_date, o_orderpriority,
   o_totalprice AS amount_usd,
@@ -315,7 +323,7 @@ SELECT {FUND} AS fund_id,
   CAST(floor(l_extendedprice * 100e0 + 5e-1) AS BIGINT) * 10e0 AS gross_nav_usd,
   CAST(floor(l_extendedprice * 1000 * (1 - l_tax) * 100e0 + 5e-1) AS BIGINT) / 100e0 AS net_nav_usd,
   l_extendedprice AS nav_per_unit, CAST(l_quantity AS BIGINT) AS total_units
-FROM line_fund JOIN supplier ON s_suppkey = fundkey WHERE l_linenumber = 1""")
+FROM line_fund JOIN supplier ON s_suppkey = fundkey""")
 
 _bind("fact_gl_transaction", f"""
 SELECT {FUND} AS fund_id, concat('ACC-', l_linenumber) AS account_id,

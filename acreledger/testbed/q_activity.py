@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acreledger.plans import audit, latency
+from acreledger.plans import audit, integrity, latency
 from acreledger.testbed.registry import c, define, mavg, query, rnd
 
 # ------------------------------------------------------------ summaries
@@ -21,11 +21,11 @@ define("bsummary_base", f"""SELECT *, total_queries - successful AS failed,
 define("bsummary", """SELECT *, CAST(successful AS DOUBLE) / greatest(max_ms / 1000e0 * CAST(greatest(1, total_queries // concurrency) AS DOUBLE), 1e-3)
   AS throughput_qps FROM bsummary_base""")
 define("bbuckets", f"""SELECT run_id, target, '__all__' AS query_name, bucket_start_offset_s,
-    least(bucket_start_offset_s + 3600, 86400) AS bucket_end_offset_s, p50_ms, p95_ms, max_ms, achieved_qps, error_count,
-    bucket_start_offset_s + 3600 <= 7200 AS is_warmup FROM (
-  SELECT run_id, target, CAST(floor(actual_start_offset_ms / 3600000e0) AS INT) * 3600 AS bucket_start_offset_s,
+    least(bucket_start_offset_s + 30, 86400) AS bucket_end_offset_s, p50_ms, p95_ms, max_ms, achieved_qps, error_count,
+    bucket_start_offset_s + 30 <= 7200 AS is_warmup FROM (
+  SELECT run_id, target, CAST(floor(actual_start_offset_ms / 30000e0) AS INT) * 30 AS bucket_start_offset_s,
     {rnd("quantile_cont(total_latency_ms, 0.5) FILTER (success)", 6)} AS p50_ms, {rnd("quantile_cont(total_latency_ms, 0.95) FILTER (success)", 6)} AS p95_ms,
-    MAX(total_latency_ms) FILTER (success) AS max_ms, CAST(COUNT(*) FILTER (success) AS DOUBLE) / 3600e0 AS achieved_qps,
+    MAX(total_latency_ms) FILTER (success) AS max_ms, CAST(COUNT(*) FILTER (success) AS DOUBLE) / 30e0 AS achieved_qps,
     COUNT(*) FILTER (NOT success) AS error_count, COUNT(*) FILTER (success) AS ok
   FROM benchmark_raw WHERE actual_start_offset_ms < 86400000 GROUP BY 1, 2, 3) b WHERE ok > 0""")
 
@@ -38,7 +38,7 @@ def summary(x):
 
 
 def buckets(x):
-    return latency.timeseries(x.t.benchmark_raw, 3600, 7200, 86400)
+    return latency.timeseries(x.t.benchmark_raw, 30, 7200, 86400)
 
 
 query("lat_summary", "SELECT * EXCLUDE (throughput_qps) FROM bsummary")(
@@ -167,3 +167,16 @@ query("cat_tags_union", """SELECT * FROM (SELECT 'TABLE' AS level, table_name, N
 query("cat_pipelines_recent", """SELECT pipeline_id, name, change_time FROM pipelines WHERE delete_time IS NULL
   AND (lower(name) LIKE '%ledger%' OR name ILIKE 'Synced table: ledger%') ORDER BY change_time DESC, pipeline_id LIMIT 50""")(
     lambda x: audit.pipelines_recent(x.t.pipelines, ["%ledger%", "Synced table: ledger%"]))
+
+# ------------------------------------------------------------ references of the ledger tables
+LINKS = [("funds", ["arena_id"], "arenas"), ("investors", ["fund_id"], "active_funds"), ("properties", ["fund_id"], "funds"),
+         ("gl", ["arena_id"], "arenas"), ("gl", ["fund_id"], "active_funds"), ("gl", ["property_id", "fund_id"], "properties"), ("dirty", ["arena_id"], "arenas")]
+SOURCES = {"arenas": "arenas", "funds": "funds", "active_funds": "(SELECT * FROM funds WHERE status = 'active') f", "investors": "investors",
+           "properties": "properties", "gl": "gl_raw", "dirty": "gl_dirty"}
+query("gen_integrity_check", " UNION ALL ".join(
+    [f"SELECT 'rows_{n}' AS check_name, COUNT(*) AS value FROM {t}" for n, t in SOURCES.items()]
+    + [f"""SELECT 'orphans_{a}_{"_".join(k)}', COUNT(*) FROM (SELECT * FROM {SOURCES[a]}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {SOURCES[b]}) y
+       WHERE {" AND ".join(f"x.{c} = y.{c}" for c in k)})""" for a, k, b in LINKS]))(
+    lambda x: integrity.integrity_report({
+        "arenas": x.t.arenas, "funds": x.t.funds, "active_funds": x.t.funds.where("status = 'active'"), "investors": x.t.investors,
+        "properties": x.t.properties, "gl": x.t.gl_raw, "dirty": x.t.gl_dirty}, LINKS))

@@ -247,19 +247,19 @@ query("ask_portfolio_summary", f"""SELECT * FROM (SELECT {msum("total_aum")} AS
 
 
 # ------------------------------------------------------------ table functions
-def _functions(x):
-    for name, table in (("acre_gold_fund", GF), ("acre_gold_property", GP), ("acre_gold_gl", GG)):
-        x.gold(table).createOrReplaceTempView(name)
-    dash.register_lookup_functions(x.spark, "acre_gold_fund", "acre_gold_property", "acre_gold_gl")
-    return x.spark
+def looked_up(x, lookup, table, arguments):
+    gold, view = x.gold(table), f"{lookup.name}_rows"
+    gold.createOrReplaceTempView(view)
+    lookup.create(gold, view)
+    return x.spark.sql(f"SELECT * FROM {lookup.name}({arguments})")
 
 
 query("tvf_fund_performance", """SELECT fund_name, strategy, total_aum, property_count, total_invested, current_portfolio_value,
   unrealized_gain_loss, investor_count FROM gold_fund WHERE strategy = 'core' AND total_aum >= 100000000""")(
-    lambda x: _functions(x).sql("SELECT * FROM query_fund_performance(p_strategy => 'core', p_min_aum => 100000000D)"))
+    lambda x: looked_up(x, dash.FUND_LOOKUP, GF, "p_strategy => 'core', p_min_aum => 100000000D"))
 query("tvf_property_financials", """SELECT property_name, property_type, fund_name, month, revenue, expenses, noi, occupancy_rate
   FROM gold_property WHERE property_type = 'large' AND month >= DATE '2000-06-01'""")(
-    lambda x: _functions(x).sql("SELECT * FROM query_property_financials(p_type => 'large', p_start => '2000-06-01')"))
+    lambda x: looked_up(x, dash.PROPERTY_LOOKUP, GP, "p_type => 'large', p_start => DATE '2000-06-01'"))
 query("tvf_gl_summary", """SELECT fund_name, category, month, total_amount, transaction_count, avg_transaction_amount
   FROM gold_gl WHERE category = 'capex' AND month >= DATE '2001-01-01'""")(
-    lambda x: dash.lookup_gl_summary(x.gold(GG), category="capex", start_month="2001-01-01"))
+    lambda x: looked_up(x, dash.LEDGER_LOOKUP, GG, "p_category => 'capex', p_start => DATE '2001-01-01'"))

@@ -241,13 +241,13 @@ query("st_dedupe", "SELECT DISTINCT transaction_id FROM gl_raw")(
     lambda x: run_to_table(x, "dedupe", st.dedupe_within(StreamTables(x, "lineitem").gl_raw, "transaction_id", "transaction_date", "3650 days").select("transaction_id")))
 
 
-@query("st_gl_monthly", f"""SELECT g.arena_id, g.fund_id, category, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
-  CAST(SUM(CAST(floor(amount * 100e0 + 5e-1) AS BIGINT)) AS DOUBLE) / 100e0 AS total_amount, COUNT(transaction_id) AS transaction_count,
-  CAST(SUM(CAST(floor(amount * 100e0 + 5e-1) AS BIGINT)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) / 100e0 AS avg_transaction_amount FROM gl_raw g GROUP BY 1, 2, 3, 4""")
+@query("st_gl_monthly", "SELECT * FROM gold_gl")
 def _(x):
     path = fresh(x, "glmonthly")
-    st.gl_monthly_stream(silver.gl_conform(StreamTables(x, "lineitem").gl_raw), f"{path}/deltas", f"{path}/checkpoint").awaitTermination()
-    return month_as_date(st.gl_monthly_read(x.spark.read.parquet(f"{path}/deltas")))
+    st.gl_monthly_stream(silver.gl_conform(StreamTables(x, "lineitem").gl_raw), path, f"{path}/checkpoint", st.gl_monthly_totals).awaitTermination()
+    found = st.gl_monthly_read(x.spark.read.parquet(f"{path}/summary"))
+    return month_as_date(found.join(x.t.funds.select("fund_id", "fund_name"), "fund_id", "left")).select(
+        "arena_id", "fund_id", "fund_name", "category", "month", "total_amount", "transaction_count", "avg_transaction_amount")
 
 
 @query("st_latency_30s", """SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CASE user_id % 2 WHEN 0 THEN 'warehouse' ELSE 'postgres' END AS target,

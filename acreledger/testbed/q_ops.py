@@ -12,7 +12,7 @@ from acreledger.operators import joins as jn
 from acreledger.operators import ordering as so
 from acreledger.operators import predicates as flt
 from acreledger.operators import publish as pub
-from acreledger.plans import audit, fund_metrics, gold, latency, silver, synth
+from acreledger.plans import audit, fund_metrics, gold, latency, silver
 from acreledger.testbed.registry import AS_OF, HI, LO, STAR_AS_OF, TENANT, c, define, mavg, msum, mwhere, query, rnd
 
 # ------------------------------------------------------------ filters
@@ -114,11 +114,11 @@ query("fn_concat_key", """SELECT table_catalog || '.' || table_schema || '.' ||
 query("fn_lpad_id", "SELECT o_orderkey, concat('TXN-', lpad(CAST(o_orderkey AS STRING), 12, '0')) AS id FROM orders")(
     lambda x: x.t.orders.select("o_orderkey", s.padded_id("TXN", F.col("o_orderkey"), 12).alias("id")))
 query("fn_array_pick", "SELECT o_orderkey, ['St','Ave','Blvd','Rd'][CAST(abs(o_orderkey * 1973) % 4 AS INT) + 1] AS suffix FROM orders")(
-    lambda x: x.t.orders.select("o_orderkey", s.array_pick(F.col("o_orderkey") * 1973, ["St", "Ave", "Blvd", "Rd"]).alias("suffix")))
+    lambda x: x.t.orders.select("o_orderkey", s.pick_by_key(F.col("o_orderkey") * 1973, ["St", "Ave", "Blvd", "Rd"]).alias("suffix")))
 query("fn_weighted_pick", """SELECT o_orderkey, CASE WHEN u < 0.1 THEN 'platinum' WHEN u < 0.4 THEN 'gold' ELSE 'silver' END AS tier
   FROM (SELECT o_orderkey, CAST(o_orderkey * 7919 % 10007 AS DOUBLE) / 10007e0 AS u FROM orders) q""")(
-    lambda x: x.t.orders.select("o_orderkey", s.weighted_pick(
-        ((F.col("o_orderkey") * 7919) % 10007).cast("double") / F.lit(10007.0), ["platinum", "gold", "silver"], [0.1, 0.3, 0.6]).alias("tier")))
+    lambda x: x.t.orders.select("o_orderkey", s.pick_by_share(
+        ((F.col("o_orderkey") * 7919) % 10007).cast("double") / F.lit(10007.0), {"platinum": 0.1, "gold": 0.3, "silver": 0.6}).alias("tier")))
 query("fn_clamp", "SELECT o_orderkey, least(greatest(o_totalprice, 50000e0), 300000e0) AS clamped FROM orders")(
     lambda x: x.t.orders.select("o_orderkey", s.clamp(F.col("o_totalprice"), 50000.0, 300000.0).alias("clamped")))
 query("fn_date_arith", """SELECT fund_id, call_date, CAST(call_date + 30 AS DATE) AS due_date, CAST(call_date - INTERVAL 12 MONTH AS DATE) AS year_before,
@@ -135,7 +135,7 @@ query("fn_concat_ws_set", """SELECT fund_id, array_to_string(list_sort(list(DIST
 
 query("fn_memo_text", """SELECT transaction_id, concat_ws(' ', 'Posting', account_code, 'of', format('{:,.2f}', abs(amount)), 'with', counterparty_id)
   || CASE WHEN category = 'capex' THEN '. ' || repeat('Supporting detail retained on file. ', 8) ELSE '' END AS memo_text FROM gl_raw""")(
-    lambda x: x.t.gl_raw.select("transaction_id", synth.memo_text(
+    lambda x: x.t.gl_raw.select("transaction_id", s.memo_text(
         F.col("account_code"), F.col("amount"), F.col("counterparty_id"), F.col("category") == "capex").alias("memo_text")))
 
 # ------------------------------------------------------------ joins

@@ -127,9 +127,15 @@ define("m_prop_period", """SELECT COALESCE(v.fund_id, a.fund_id) AS fund_id, COA
     COALESCE(v.period_id, a.period_id) AS period_id, period_value_usd, prior_value_usd, value_change_usd, property_pl_usd, realized_pl,
     unrealized_pl, income_pl, expense_pl
   FROM m_val v FULL OUTER JOIN m_attr a ON a.fund_id = v.fund_id AND a.property_id = v.property_id AND a.period_id = v.period_id""")
-define("m_fund_period", """SELECT m.*, gross_nav, n.net_nav, nav_per_unit, total_units, prior_net_nav, dpi, tvpi, rvpi, irr_proxy
-  FROM m_cum m LEFT JOIN m_nav n ON n.fund_id = m.fund_id AND n.period_id = m.period_id
-  LEFT JOIN m_ratio r ON r.fund_id = m.fund_id AND r.period_id = m.period_id""")
+define("m_spine", """SELECT fund_id, period_id FROM m_cum UNION SELECT fund_id, period_id FROM m_nav""")
+define("m_carried", f"""SELECT *, CAST(SUM({c("contrib_usd")}) OVER w AS DOUBLE) / 100e0 AS cumulative_contrib_usd,
+    CAST(SUM({c("dist_usd")}) OVER w AS DOUBLE) / 100e0 AS cumulative_dist_usd FROM (
+  SELECT s.fund_id, s.period_id, COALESCE(contrib_usd, 0e0) AS contrib_usd, COALESCE(dist_usd, 0e0) AS dist_usd, COALESCE(fee_usd, 0e0) AS fee_usd
+  FROM m_spine s LEFT JOIN m_cum m ON m.fund_id = s.fund_id AND m.period_id = s.period_id) f WINDOW w AS (PARTITION BY fund_id ORDER BY period_id)""")
+define("m_fund_period", f"""SELECT *, CASE WHEN tvpi >= 0 THEN {rnd("pow(tvpi, 25e-2) - 1", 6)} END AS irr_proxy FROM (
+  SELECT m.*, gross_nav, net_nav, nav_per_unit, total_units, prior_net_nav, cumulative_dist_usd / NULLIF(cumulative_contrib_usd, 0) AS dpi,
+    (cumulative_dist_usd + net_nav) / NULLIF(cumulative_contrib_usd, 0) AS tvpi, net_nav / NULLIF(cumulative_contrib_usd, 0) AS rvpi
+  FROM m_carried m LEFT JOIN m_nav n ON n.fund_id = m.fund_id AND n.period_id = m.period_id) r""")
 
 
 @star_query("q8_fund_rollup", f"""
@@ -142,7 +148,7 @@ SELECT x.fund_id, x.property_id, x.period_id, fund_name, fund_type_name, vintage
 FROM m_prop_period x LEFT JOIN m_fund_period fp ON fp.fund_id = x.fund_id AND fp.period_id = x.period_id
 JOIN (SELECT m.*, cohort_size, {QUARTILE}, fx.avg_rate AS fx_avg_rate, fx.rate_stddev AS fx_volatility, total_gl_usd, gl_revenue, gl_expense, gl_noi,
         gl_txn_count, doc_count, doc_total_pages, audit_entity_type, audit_event_count
-  FROM m_fund m LEFT JOIN m_cohort k USING (vintage_year) LEFT JOIN m_fx fx ON fx.base_currency = m.base_currency
+  FROM m_fund m LEFT JOIN m_cohort k USING (vintage_year) LEFT JOIN m_fx fx ON fx.base_currency = m.base_currency AND quote_currency = 'USD'
   LEFT JOIN (SELECT fund_id, {msum("total_gl_usd")} AS total_gl_usd, {msum("revenue_usd")} AS gl_revenue, {msum("expense_usd")} AS gl_expense,
       {msum("noi_usd")} AS gl_noi, CAST(SUM(txn_count) AS BIGINT) AS gl_txn_count FROM m_gl GROUP BY 1) g ON g.fund_id = m.fund_id
   LEFT JOIN (SELECT fund_id, COUNT(*) AS doc_count, CAST(SUM(page_count) AS BIGINT) AS doc_total_pages FROM fact_document_metadata
@@ -162,12 +168,13 @@ def _(s):
 
 # ------------------------------------------------------------ precomputed report
 define("m_rates", f"""SELECT base_currency, period_id, p - o AS rate_delta FROM (
-    SELECT base_currency, concat('FY', year(rate_date), '_Q', quarter(rate_date)) AS period_id, {mavg("rate", "100000e0")} AS p FROM fact_fx_rate GROUP BY 1, 2) a
-  JOIN (SELECT base_currency, {mavg("rate", "100000e0")} AS o FROM fact_fx_rate GROUP BY 1) b USING (base_currency)""")
+    SELECT base_currency, concat('FY', year(rate_date), '_Q', quarter(rate_date)) AS period_id, {mavg("rate", "100000e0")} AS p FROM fact_fx_rate WHERE quote_currency = 'USD' GROUP BY 1, 2) a
+  JOIN (SELECT base_currency, {mavg("rate", "100000e0")} AS o FROM fact_fx_rate WHERE quote_currency = 'USD' GROUP BY 1) b USING (base_currency)""")
 define("m_trail", f"""SELECT f.*, d.vintage_year, base_currency,
     (CAST(SUM({c("dist_usd")}) OVER w AS DOUBLE) / 100e0 + net_nav) / NULLIF(CAST(SUM({c("contrib_usd")}) OVER w AS DOUBLE) / 100e0, 0) AS last4
   FROM m_fund_period f JOIN dim_fund d ON d.fund_id = f.fund_id
-  WINDOW w AS (PARTITION BY f.fund_id ORDER BY f.period_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+  WINDOW w AS (PARTITION BY f.fund_id ORDER BY CAST(substr(f.period_id, 3, 4) AS INT) * 4 + CAST(substr(f.period_id, 9, 1) AS INT)
+    RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 define("m_peers", """SELECT vintage_year, period_id, quantile_cont(irr_proxy, 0.25) AS i25, quantile_cont(irr_proxy, 0.5) AS i50, quantile_cont(irr_proxy, 0.75) AS i75,
     quantile_cont(tvpi, 0.25) AS t25, quantile_cont(tvpi, 0.5) AS t50, quantile_cont(tvpi, 0.75) AS t75 FROM m_trail GROUP BY 1, 2""")
 
@@ -181,10 +188,11 @@ define("g_attr", f"""SELECT x.fund_id, x.property_id, x.period_id, period_label,
     {rnd("property_pl_usd / NULLIF(total_pl, 0)", 6)} AS property_contribution_pct, property_pl_usd AS property_attribution_usd,
     {_label("irr_proxy", "i")} AS peer_quartile_irr, {_label("tvpi", "t")} AS peer_quartile_moic, {rnd("i50", 6)} AS vintage_cohort_median_irr,
     value_change_usd AS gross_appreciation_usd,
-    {rnd("CASE WHEN f.base_currency = 'USD' THEN 0e0 ELSE COALESCE(property_pl_usd * rate_delta, 0e0) END", 2)} AS fx_drag_usd, gross_nav, net_nav
+    {rnd("CASE WHEN o.base_currency = 'USD' THEN 0e0 ELSE COALESCE(property_pl_usd * rate_delta, 0e0) END", 2)} AS fx_drag_usd, gross_nav, net_nav
   FROM (SELECT *, CAST(SUM({c("property_pl_usd")}) OVER (PARTITION BY fund_id, period_id) AS DOUBLE) / 100e0 AS total_pl FROM m_prop_period) x
-  JOIN m_trail f ON f.fund_id = x.fund_id AND f.period_id = x.period_id LEFT JOIN m_peers q ON q.vintage_year = f.vintage_year AND q.period_id = f.period_id
-  LEFT JOIN dim_period d ON d.period_id = x.period_id LEFT JOIN m_rates r ON r.base_currency = f.base_currency AND r.period_id = x.period_id""")
+  JOIN dim_fund o ON o.fund_id = x.fund_id
+  LEFT JOIN m_trail f ON f.fund_id = x.fund_id AND f.period_id = x.period_id LEFT JOIN m_peers q ON q.vintage_year = f.vintage_year AND q.period_id = f.period_id
+  LEFT JOIN dim_period d ON d.period_id = x.period_id LEFT JOIN m_rates r ON r.base_currency = o.base_currency AND r.period_id = x.period_id""")
 star_query("gold_fund_attribution_period", "SELECT * FROM g_attr")(lambda s: fm.attribution_period(s, STAR_AS_OF))
 
 
@@ -247,8 +255,11 @@ star_query("pcap_valuations", f"""SELECT v.* EXCLUDE (first_day), property_name,
     lambda s: pcap.valuations(s, LO, HI))
 star_query("pcap_gl_postings", gl_sql(f"transaction_date BETWEEN DATE '{LO}' AND DATE '{HI}' AND gl.fund_id IN (SELECT fund_id FROM dim_capital_account)"))(
     lambda s: fm.gl_attribution(s, LO, HI, funds=s["dim_capital_account"].select("fund_id").distinct()))
-star_query("waterfall_terms", """SELECT tier_id, tier_name, tier_order, beneficiary, pref_return_pct, gp_carry_pct, catchup_pct, waterfall_type
-  FROM dim_waterfall_tier CROSS JOIN ref_carry_structure WHERE carry_code = 'STD_80_20_8PREF'""")(pcap.waterfall_terms)
+star_query("waterfall_terms", f"""SELECT tier_id, tier_name, tier_order, beneficiary, pref_return_pct, gp_carry_pct, catchup_pct, waterfall_type,
+    COALESCE(paid_usd, 0e0) AS paid_usd, COALESCE(payments, 0) AS payments
+  FROM dim_waterfall_tier CROSS JOIN ref_carry_structure s LEFT JOIN (
+    SELECT waterfall_tier_id, {msum("amount_usd")} AS paid_usd, COUNT(*) AS payments FROM fact_distribution JOIN dim_fund USING (fund_id)
+    WHERE carry_code = 'STD_80_20_8PREF' GROUP BY 1) d ON waterfall_tier_id = tier_id WHERE s.carry_code = 'STD_80_20_8PREF'""")(pcap.waterfall_terms)
 star_query("tax_withholding_k1", f"""SELECT tax_jurisdiction_code, jurisdiction_name, jurisdiction_level, withholding_rate, k1_box_code, k1_box_name,
   {msum("tax_withholding_usd")} AS total_withholding_usd FROM dim_tax_jurisdiction CROSS JOIN ref_irs_k1_box CROSS JOIN fact_distribution
   WHERE tax_jurisdiction_code = 'US_FED' AND k1_box_code IN ('1','2','5','8','9a','11') AND distribution_date BETWEEN DATE '{LO}' AND DATE '{HI}' GROUP BY 1, 2, 3, 4, 5, 6""")(
@@ -314,7 +325,7 @@ KINDS = {"calls": "('CALL')", "fees": "('FEE')", "withheld": "('WITHHOLDING')",
 define("g_per", f"""SELECT investor_id, fund_id, period_id, {", ".join(f"CAST(SUM(CASE WHEN kind IN {k} THEN v ELSE 0 END) AS BIGINT) AS {n}" for n, k in KINDS.items())}
   FROM g_events GROUP BY 1, 2, 3""")
 define("g_open", """SELECT p.*, commitment_usd, f.base_currency, rate_delta,
-    COALESCE(SUM(calls - dist - fees + income + expense + realized + unrealized) OVER (PARTITION BY p.investor_id, p.fund_id ORDER BY p.period_id
+    COALESCE(SUM(calls - dist - fees + income - expense + realized + unrealized) OVER (PARTITION BY p.investor_id, p.fund_id ORDER BY p.period_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
   FROM g_per p JOIN dim_capital_account ca ON ca.investor_id = p.investor_id AND ca.fund_id = p.fund_id JOIN dim_fund f ON f.fund_id = p.fund_id
   LEFT JOIN m_rates r ON r.base_currency = f.base_currency AND r.period_id = p.period_id""")
@@ -324,7 +335,7 @@ def money(x: str) -> str:
     return f"CAST({x} AS DOUBLE) / 100e0"
 
 
-define("g_pcap", f"""SELECT g.investor_id, g.fund_id, g.period_id, COALESCE(t.tier, 'ROC') AS waterfall_tier_id, {money(f"{c('commitment_usd')} + prior")} AS opening_balance_usd,
+define("g_pcap", f"""SELECT g.investor_id, g.fund_id, g.period_id, t.tier AS waterfall_tier_id, {money(f"{c('commitment_usd')} + prior")} AS opening_balance_usd,
     {money("calls")} AS contributions_usd, {", ".join(f"{money(n)} AS distributions_{n}" for n in ("roc", "pref", "catchup", "carry"))},
     {", ".join(f"{money(n)} AS allocations_{n}" for n in ("income", "expense", "realized", "unrealized"))}, {money("fees")} AS fees_total,
     {rnd(f"CASE WHEN base_currency = 'USD' THEN 0e0 ELSE COALESCE({money('income + expense + realized + unrealized')} * rate_delta, 0e0) END", 2)} AS fx_adjustment_usd,
@@ -340,7 +351,7 @@ star_query("gold_investor_pcap", "SELECT * FROM g_pcap")(pcap.investor_pcap)
 @query("q8a_refactored", f"""SELECT g.*, period_label, investor_name, investor_type_name, fund_name, vintage_year, fund_type_name, tier_name AS waterfall_tier, tier_order
 FROM g_pcap g JOIN dim_investor i ON i.investor_id = g.investor_id AND i.is_current JOIN dim_investor_type it ON it.investor_type_code = i.investor_type_code
 JOIN dim_fund f ON f.fund_id = g.fund_id AND f.is_current JOIN dim_fund_type ft ON ft.fund_type_code = f.fund_type_code
-JOIN dim_period p ON p.period_id = g.period_id JOIN dim_waterfall_tier w ON w.tier_id = g.waterfall_tier_id
+JOIN dim_period p ON p.period_id = g.period_id LEFT JOIN dim_waterfall_tier w ON w.tier_id = g.waterfall_tier_id
 WHERE period_start >= DATE '{LO}' AND period_end <= DATE '{HI}'""")
 def _(x):
     return pcap.pcap_report(x.gold("investor_pcap"), x.t, LO, HI)

@@ -20,7 +20,7 @@ HEADLINE = [
     "q5_pnl_rollup_multi_month", "q6_investor_commitments", "q7_yoy_growth",
     "q8_fund_rollup", "gold_fund_attribution_period", "q8_refactored", "q8a_pcap_statement", "gold_investor_pcap", "q8a_refactored",
     "dash_noi_trend", "dash_top_properties", "ask_portfolio_summary", "pub_snapshot_diff",
-    "lat_summary", "lat_timeseries_30s", "lat_headline", "lat_cdf", "gen_gl", "st_gl_monthly",
+    "lat_summary", "lat_timeseries_30s", "lat_headline", "lat_cdf", "st_gl_monthly",
 ]
 
 

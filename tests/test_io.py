@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acreledger import schemas
+from acreledger.operators.aggregates import dedupe
 from acreledger.plans import dashboards, results, silver
 from acreledger.sources import readers, writers
 from acreledger.sources.storage import shared_dir
@@ -142,13 +143,19 @@ def test_stream_equals_batch_for_silver(spark, tmp_path, rows):
 
 
 def test_incremental_ledger_equals_batch(spark, tmp_path, rows):
+    """After each batch the summary equals that of all deduplicated rows, also where a later copy moves a transaction to another month."""
     src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
     for drop in range(3):
-        spark.createDataFrame(gl_rows(20, drop * 20), GL).write.mode("append").parquet(src)
-        st.gl_monthly_stream(spark.readStream.schema(GL).parquet(src), out, chk).awaitTermination()
-    got = st.gl_monthly_read(spark.read.parquet(out))
-    want = st.gl_monthly_read(st.gl_monthly_delta(spark.read.parquet(src)))
-    assert rows(got) == rows(want) and got.agg(F.sum("transaction_count")).first()[0] == 60
+        batch = spark.createDataFrame(gl_rows(20, drop * 15), GL)
+        if drop:
+            batch = batch.withColumn("transaction_date", F.add_months("transaction_date", -drop))
+        batch.write.mode("append").parquet(src)
+        st.gl_monthly_stream(spark.readStream.schema(GL).parquet(src), out, chk, st.gl_monthly_totals).awaitTermination()
+        got = st.gl_monthly_read(spark.read.parquet(f"{out}/summary"))
+        kept = dedupe(spark.read.parquet(src), "transaction_id", ["transaction_date", "amount"]).withColumn("month", F.trunc("transaction_date", "month"))
+        want = st.gl_monthly_totals(kept)
+        assert rows(got.select(*want.columns)) == rows(want)
+    assert got.agg(F.sum("transaction_count")).first()[0] == 50
 
 
 def test_stream_dedupe_boundary(spark, tmp_path):
@@ -170,12 +177,15 @@ def test_table_functions_match_lookups(spark, rows):
                           "month date, revenue double, expenses double, noi double, occupancy_rate double").createOrReplaceTempView("tf_property")
     spark.createDataFrame([("F", "opex", D(2024, 1, 1), 1.0, 1, 1.0), ("F", "capex", D(2024, 2, 1), 1.0, 1, 1.0)], "fund_name string, category string, "
                           "month date, total_amount double, transaction_count long, avg_transaction_amount double").createOrReplaceTempView("tf_gl")
-    dashboards.register_lookup_functions(spark, "tf_fund", "tf_property", "tf_gl")
-    assert spark.sql("SELECT * FROM query_fund_performance()").count() == 2
-    assert rows(spark.sql("SELECT * FROM query_fund_performance(p_strategy => 'core')")) == rows(dashboards.lookup_fund_performance(spark.table("tf_fund"), "core"))
-    assert spark.sql("SELECT * FROM query_gl_summary(p_start => '2024-01-15')").count() == 1
-    assert rows(spark.sql("SELECT * FROM query_gl_summary(p_category => 'opex')")) == rows(dashboards.lookup_gl_summary(spark.table("tf_gl"), category="opex"))
-    assert spark.sql("SELECT * FROM query_property_financials(p_fund => 'F', p_type => 'office')").count() == 1
+    for lookup, view in ((dashboards.FUND_LOOKUP, "tf_fund"), (dashboards.PROPERTY_LOOKUP, "tf_property"), (dashboards.LEDGER_LOOKUP, "tf_gl")):
+        lookup.create(spark.table(view), view)
+    ask = lambda lookup, given="": spark.sql(f"SELECT * FROM {lookup.name}({given})")
+    assert ask(dashboards.FUND_LOOKUP).count() == 2
+    assert rows(ask(dashboards.FUND_LOOKUP, "p_strategy => 'core'")) == rows(dashboards.FUND_LOOKUP.read(spark.table("tf_fund"), strategy="core"))
+    assert ask(dashboards.FUND_LOOKUP, "p_min_aum => 6").count() == 1
+    assert ask(dashboards.LEDGER_LOOKUP, "p_start => DATE '2024-01-15'").count() == 1
+    assert rows(ask(dashboards.LEDGER_LOOKUP, "p_category => 'opex'")) == rows(dashboards.LEDGER_LOOKUP.read(spark.table("tf_gl"), category="opex"))
+    assert ask(dashboards.PROPERTY_LOOKUP, "p_fund => 'F', p_type => 'office'").count() == 1
 
 
 def test_latency_windows_close_behind_the_watermark(spark, tmp_path):

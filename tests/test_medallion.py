@@ -1,24 +1,24 @@
 """Landing files to gold, twice, with new files and duplicates in between."""
 
+import ledger_rows
 from pyspark.sql import functions as F
 
-from acreledger.plans import synth
 from acreledger.plans.medallion import run_update
 from acreledger.session import PARTITION_BYTES, configure
 from acreledger.sources import writers
 
 
 def land(spark, raw, start, end):
-    gl = synth.gl_wide(spark.range(start, end), 4)
+    gl = ledger_rows.ledger(spark, start, end)
     gl.write.mode("append").partitionBy("year", "month").parquet(f"{raw}/gl_transactions")
 
 
 def test_update_is_incremental_and_repeatable(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
-    writers.write_json_compact(synth.arenas(spark.range(4)), f"{raw}/arenas")
-    writers.write_json_compact(synth.funds(spark.range(20)), f"{raw}/funds")
-    writers.write_csv_header(synth.investor_commitments(spark.range(200)), f"{raw}/investors")
-    writers.write_parquet(synth.properties(spark.range(40)), f"{raw}/properties")
+    writers.write_json_compact(ledger_rows.arenas(spark, 4), f"{raw}/arenas")
+    writers.write_json_compact(ledger_rows.funds(spark, 0, 20), f"{raw}/funds")
+    writers.write_csv_header(ledger_rows.investors(spark, 200), f"{raw}/investors")
+    writers.write_parquet(ledger_rows.properties(spark, 40), f"{raw}/properties")
     land(spark, raw, 0, 600)
 
     first = {r["table_name"]: r for r in run_update(spark, out, "2026-01-01", raw).collect()}
@@ -37,7 +37,7 @@ def test_update_is_incremental_and_repeatable(spark, tmp_path):
     assert spark.read.parquet(f"{out}/bronze/gl_transactions").count() == 900
 
 
-    extra = synth.funds(spark.range(20, 22), 10).withColumn("esg_rating", F.lit("A"))
+    extra = ledger_rows.funds(spark, 20, 22).withColumn("esg_rating", F.lit("A"))
     extra.write.mode("append").json(f"{raw}/funds")
     after = {r["table_name"]: r["row_count"] for r in run_update(spark, out, "2026-01-01", raw, evolve=True).collect()}
     assert after["gold_fund_performance"] == 22

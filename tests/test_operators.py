@@ -76,19 +76,23 @@ def test_padded_id_keeps_wide_keys(spark):
     assert (r["a"], r["b"]) == ("X-007", "X-12345")
 
 
-def test_weighted_pick_edges(spark):
+def test_pick_by_share_edges(spark):
     df = spark.createDataFrame([(0.0,), (0.0999,), (0.1,), (0.4,), (0.9999,)], "u double")
-    got = [r[0] for r in df.select(s.weighted_pick(F.col("u"), ["p", "g", "s"], [0.1, 0.3, 0.6])).collect()]
+    got = [r[0] for r in df.select(s.pick_by_share(F.col("u"), {"p": 0.1, "g": 0.3, "s": 0.6})).collect()]
     assert got == ["p", "p", "g", "s", "s"]
     with pytest.raises(ValueError):
-        s.weighted_pick(F.col("u"), ["a", "b"], [0.5, 0.6])
+        s.pick_by_share(F.col("u"), {"a": 0.5, "b": 0.6})
 
 
-def test_attach_all_refuses_large_sets(spark):
-    left, big = spark.range(3).withColumnRenamed("id", "l"), spark.range(50).withColumnRenamed("id", "r")
-    assert jn.attach_all(left, big).count() == 150
-    with pytest.raises(PySparkException):
-        jn.attach_all(left, big, most=10).collect()
+def test_pick_by_key_takes_any_long(spark):
+    df = spark.createDataFrame([(-(2**63),), (-1,), (0,), (4,)], "k long")
+    assert [r[0] for r in df.select(s.pick_by_key(F.col("k"), ["a", "b", "c", "d"])).collect()] == ["a", "d", "a", "a"]
+
+
+def test_attach_all_has_no_size_limit(spark):
+    left, big = spark.range(3).withColumnRenamed("id", "l"), spark.range(5000).withColumnRenamed("id", "r")
+    assert jn.attach_all(left, big).count() == 15_000
+    assert jn.attach_all(left, big.limit(0), "left").count() == 3
 
 
 def test_attach_literal_keeps_rows_without_a_match(spark, rows):
