@@ -18,7 +18,7 @@ from acreledger.llm.common import crc_rest, fields, labelled_texts, map_column
 
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 8, 8, 0.3
 ORDERS = (2, 3, 4)
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 * 1024 * 1024
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 12 * 1024 * 1024
 THRESHOLD = 0.3
 #: Bytes of a text that are hashed at a time; the pieces end between words and their sums add up.
 PIECE = 1 << 20
@@ -86,7 +86,7 @@ def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
     rows, back = np.unique(np.concatenate(kinds), return_inverse=True)
     weight = np.concatenate([np.full(len(k), 1 / len(k) / len(kinds)) for k in kinds])
-    return rows, np.bincount(back, weights=weight).astype(np.float32)
+    return rows.astype(np.int32), np.bincount(back, weights=weight).astype(np.float32)
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,7 +30,7 @@ NEGATIONS = "not never no nor cannot isn't aren't don't nicht kein keine nie nie
 REPORTS = "said says say told wrote claimed quoted called reported sagte schrieb behauptete nannte dit écrit affirme déclare dijo escribió llamó declaró".split()
 REACH = 4
 
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 48 * 1024 * 1024
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 12 * 1024 * 1024
 THRESHOLD = 0.7
 TABLE_ENTRIES = 300_000
 TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n|]")
@@ -198,46 +198,46 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> Lexicon:
 
     A word counts by the distinct neighbours it has been seen between, so that a
     passage copied into many texts counts once. The weight is the log odds of its
-    share of toxic and of other texts.
+    share of toxic and of other texts. Only words of toxic texts are counted.
     """
-    toxic, clean = [0], [0]
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    contexts: dict[str, set[int]] = defaultdict(set)
-    heads: dict[str, list[set]] = defaultdict(lambda: [set(), set(), set()])  # toxic texts, other texts, words of toxic texts
-    seen: set[int] = set()
-    for n, (text, y) in enumerate(zip(texts, labels, strict=True)):
-        if hash(text) in seen:
-            continue
-        seen.add(hash(text))
-        (toxic if y else clean)[0] += 1
+    toxic = list(dict.fromkeys(t for t, y in zip(texts, labels, strict=True) if y))
+    clean = list(dict.fromkeys(t for t, y in zip(texts, labels, strict=True) if not y))
+    bad: Counter[str] = Counter()
+    places: dict[str, set[int]] = defaultdict(set)  # one for each text at most
+    for text in toxic:
         found = tokens(text)
-        for i, w in enumerate(found):
-            if y and w not in ENDS:
-                contexts[w].add(hash((found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else "")))
-        for w in set(found) - ENDS:
-            counts[w][y] += 1
-            for size in range(3, min(len(w), 8)):
-                group = heads[w[:size]]
-                group[0 if y else 1].add(n)
-                if y:
-                    group[2].add(w)
+        for w, i in {w: i for i, w in enumerate(found) if w not in ENDS}.items():
+            bad[w] += 1
+            places[w].add(hash((found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else "")))
+    good: Counter[str] = Counter()
+    for text in clean:
+        good.update(bad.keys() & set(tokens(text)))
 
-    def odds(bad: float, good: float) -> float:
-        return math.log((bad + 0.25) / (toxic[0] + 0.5)) - math.log((good + 0.25) / (clean[0] + 0.5))
+    def odds(b: float, g: float) -> float:
+        return math.log((b + 0.25) / (len(toxic) + 0.5)) - math.log((g + 0.25) / (len(clean) + 0.5))
 
     words: dict[str, float] = {}
-    for w, (good, bad) in counts.items():
-        own = odds(min(bad, len(contexts[w])), good)
-        if len(contexts[w]) >= 4 and bad >= 3 and own >= 2.5:
+    for w, b in bad.items():
+        own = odds(min(b, len(places[w])), good[w])
+        if len(places[w]) >= 4 and own >= 2.5:
             words[w] = own
-        elif good >= 2 and own < 1.5:
+        elif good[w] >= 2 and own < 1.5:
             words[w] = 0.0  # known not to be one, whatever it begins with
+    # beginnings that several words of toxic texts share
+    forms: dict[str, list[str]] = defaultdict(list)
+    for w in bad:
+        if words.get(w, 1.0) > 0:
+            for size in range(3, min(len(w), 8)):
+                forms[w[:size]].append(w)
+    forms = {h: ws for h, ws in forms.items() if len(ws) >= 3 and len(set().union(*(places[w] for w in ws))) >= 5}
+    texts_bad, texts_good = Counter(), Counter()
+    for of, counted in ((toxic, texts_bad), (clean, texts_good)):
+        for text in of:
+            counted.update({h for w in set(tokens(text)) for size in range(3, min(len(w), 8)) if (h := w[:size]) in forms})
     beginnings: dict[str, float] = {}
-    for head, (bad, good, forms) in heads.items():
-        bare = [w for w in forms if words.get(w, 1.0) > 0]
-        places = len(set().union(*(contexts[w] for w in bare))) if len(bare) >= 3 and len(bad) >= 3 else 0
-        own = odds(min(len(bad), places), len(good))
-        if places >= 5 and own >= 3.5:
+    for head, ws in forms.items():
+        own = odds(min(texts_bad[head], len(set().union(*(places[w] for w in ws)))), texts_good[head])
+        if texts_bad[head] >= 3 and own >= 3.5:
             beginnings[head] = 0.8 * own
     return Lexicon(words, beginnings, tuple(sorted({len(h) for h in beginnings}, reverse=True)))
 
