@@ -72,3 +72,10 @@ def require_reconciled(report: DataFrame) -> DataFrame:
 def pk_violations(df: DataFrame, pk: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their row count."""
     return df.groupBy(*pk).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
+
+
+def key_report(df: DataFrame, name: str, pk: Sequence[str]) -> DataFrame:
+    """One row: the table's name, its distinct keys, its rows and how many keys have several rows."""
+    counted = df.groupBy(*pk).agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count_if(F.col("n") > 1).alias("duplicate_keys")).select(
+        F.lit(name).alias("table_name"), "keys", "row_count", "duplicate_keys")

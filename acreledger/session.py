@@ -19,6 +19,19 @@ RUNTIME = {
 PARTITION_BYTES = 192 * 1024 * 1024
 
 
+# a compressed column file becomes about four times as large in a shuffle
+EXPANSION = 4
+
+
+def input_listing(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Bytes of the files under a path, and a text that changes with them (names, sizes, times)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    entries = [(s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength(), s.getModificationTime()) for s in fs.listStatus(root)]
+    return sum(e[1] for e in entries), repr(sorted(entries))
+
+
 def configure(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
     """Apply the settings; size shuffles for ``shuffle_bytes`` of shuffled data if given.
 

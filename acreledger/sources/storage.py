@@ -13,13 +13,13 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and intermediate tables.
 
-    Only a session on one machine may run without it; then a temporary folder is
+    Only a session within one process may run without it; then a temporary folder is
     made and remembered in the session.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     root = spark.conf.get("acreledger.local.dir", None)
     if not root:

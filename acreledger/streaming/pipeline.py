@@ -21,6 +21,17 @@ def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def await_all(queries: list[StreamingQuery]) -> None:
+    """Wait for all; if one fails, stop the others before its error goes up."""
+    try:
+        for query in queries:
+            query.awaitTermination()
+    finally:
+        for query in queries:
+            if query.isActive:
+                query.stop()
+
+
 def microbatch(df: DataFrame, path: str, checkpoint: str, interval: str = "1 minute") -> StreamingQuery:
     return append_to(df, path, checkpoint, {"processingTime": interval})
 
@@ -108,6 +119,5 @@ def triggered_update(bronze: dict[str, tuple[DataFrame, Callable[[DataFrame], Da
     running = [
         (name, append_to(transform(stream), f"{out}/{name}", f"{checkpoint}/{name}")) for name, (stream, transform) in bronze.items()
     ]
-    for _, query in running:
-        query.awaitTermination()
+    await_all([query for _, query in running])
     return {name: f"{out}/{name}" for name, _ in running}

@@ -388,12 +388,9 @@ query("pub_pk_check", "SELECT property_id, month, COUNT(*) AS row_count FROM (SE
     lambda x: pub.pk_violations(x.t.gl_raw.select("property_id", s.month_date(F.col("transaction_date")).alias("month")), ["property_id", "month"]))
 
 
-def pk_report(df, pk):
-    out = pub.pk_violations(df, pk)
-    return out.withColumn("month", F.to_date("month")) if "month" in pk else out
-
-
 GOLD_SQL = {"gold_fund_performance": "gold_fund", "gold_property_financials": "gold_property", "gold_investor_portfolio": "gold_investor",
             "gold_gl_monthly_summary": "gold_gl", "gold_arena_overview": "gold_arena"}
 for _table, _pk in gold.PRIMARY_KEYS.items():
-    query(f"pub_pk_check_{_table}", f"SELECT {', '.join(_pk)}, COUNT(*) AS row_count FROM {GOLD_SQL[_table]} GROUP BY {', '.join(_pk)} HAVING COUNT(*) > 1")(lambda x, t=_table, k=_pk: pk_report(x.lake.table(t), k))
+    query(f"pub_pk_check_{_table}", f"""SELECT '{_table}' AS table_name, COUNT(*) AS keys, CAST(SUM(n) AS BIGINT) AS row_count,
+        COUNT(*) FILTER (n > 1) AS duplicate_keys FROM (SELECT COUNT(*) AS n FROM {GOLD_SQL[_table]} GROUP BY {', '.join(_pk)}) k""")(
+        lambda x, t=_table, k=_pk: pub.key_report(x.lake.table(t), t, k))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from acreledger.plans.lakehouse import Lakehouse
+from acreledger.session import input_listing
 from acreledger.testbed.binding import BINDINGS, with_ctes
 from acreledger.testbed.tables import Tables
 
@@ -28,9 +29,13 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-        self.t = self._tables.setdefault(key, Tables(spark, sf_dir))
-        self.lake = Lakehouse(spark, self.t, self.t.sf_dir, AS_OF, STAR_AS_OF)
+        # changed input files make new tables
+        listing = input_listing(spark, sf_dir)[1]
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, listing)
+        if key not in self._tables:
+            self._tables[key] = Tables(spark, sf_dir)
+        self.t = self._tables[key]
+        self.lake = Lakehouse(spark, self.t, f"{self.t.sf_dir}|{listing}", AS_OF, STAR_AS_OF)
 
     def gold(self, name: str) -> DataFrame:
         return self.lake.table(f"gold_{name}")

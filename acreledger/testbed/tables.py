@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acreledger.session import configure
+from acreledger.session import EXPANSION, configure, input_listing
 from acreledger.testbed.binding import BASE_TABLES, BINDINGS, WORD, with_ctes
 
 
@@ -14,8 +14,9 @@ class Tables(Mapping):
     """Base tables as temp views, bound tables as SELECTs over them; each is resolved once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        size, self.listing = input_listing(spark, self.sf_dir)
+        self.spark = configure(spark, EXPANSION * size)
         self._frames: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:

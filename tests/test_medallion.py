@@ -45,6 +45,23 @@ def test_update_is_incremental_and_repeatable(spark, tmp_path):
     assert sorted(r["esg_rating"] or "" for r in bronze.collect()) == [""] * 20 + ["A", "A"]
 
 
+def test_shuffle_sizing_grows_with_the_input(spark, tmp_path):
+    from acreledger.session import EXPANSION, input_listing
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a").write_bytes(b"x" * 1000)
+    small, listing = input_listing(spark, str(tmp_path))
+    (tmp_path / "t" / "b").write_bytes(b"x" * 5000)
+    large, other = input_listing(spark, str(tmp_path))
+    assert (small, large) == (1000, 6000) and listing != other
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        counts = [int(configure(spark, EXPANSION * n * PARTITION_BYTES).conf.get("spark.sql.shuffle.partitions")) for n in (small, large)]
+        assert counts == [4000, 24000]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_shuffle_sizing(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
