@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from acreledger import schemas
 from acreledger.functions.scalars import month_date
 from acreledger.plans import gold, silver
+from acreledger.plans.medallion import run_update
 from acreledger.sources import readers, writers
 from acreledger.sources.storage import shared_dir
 from acreledger.streaming import pipeline as st
@@ -226,6 +227,22 @@ def _(x):
     return gold.fund_performance(read["funds"], read["properties"], read["investors"])
 
 
+@query("st_medallion_update", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, COUNT(*) AS row_count, 0 AS duplicate_keys FROM {sql}" for name, sql in {
+        "gold_fund_performance": "gold_fund", "gold_property_financials": "gold_property", "gold_investor_portfolio": "gold_investor",
+        "gold_gl_monthly_summary": "gold_gl", "gold_arena_overview": "gold_arena"}.items()))
+def _(x):
+    """The whole update, landing files of all five entities to the five gold tables."""
+    raw = fresh(x, "raw")
+    writers.write_json_compact(x.t.arenas, f"{raw}/arenas")
+    writers.write_json_compact(x.t.funds, f"{raw}/funds")
+    writers.write_csv_header(x.t.investors, f"{raw}/investors")
+    writers.write_parquet(x.t.properties, f"{raw}/properties")
+    dated = x.t.gl_raw.withColumns({"year": F.year("transaction_date"), "month": F.month("transaction_date")})
+    writers.write_partitioned(dated, f"{raw}/gl_transactions", ["year", "month"])
+    return run_update(x.spark, fresh(x, "lake"), AS_OF, raw)
+
+
 @query("st_microbatch", "SELECT event_id, user_id, value FROM events")
 def _(x):
     path = fresh(x, "microbatch")
