@@ -84,7 +84,7 @@ def measured(df: DataFrame, latency: str = "total_latency_ms") -> DataFrame:
     return df.where(F.col("success") & ~F.col("is_warmup") & F.col(latency).isNotNull())
 
 
-def expect_or_drop(df: DataFrame, rules: dict[str, str], observation: Observation | None = None) -> DataFrame:
+def expect_or_drop(df: DataFrame, rules: dict[str, str], observation: Observation | str | None = None) -> DataFrame:
     """Keep rows that meet every rule; count violations per rule on the way.
 
     The counts ride along as observed metrics, so no second pass is needed.

@@ -1,6 +1,7 @@
 """Typed, validated entities from raw rows.  Each function maps DataFrame to
 DataFrame and works on batch and streaming input alike (the ledger is batch:
-its dedupe needs the full set)."""
+its dedupe needs the full set). ``seen`` names the metrics under which a stream
+reports how many rows broke each rule."""
 
 from __future__ import annotations
 
@@ -25,30 +26,30 @@ RULES = {
 }
 
 
-def arenas(raw: DataFrame) -> DataFrame:
+def arenas(raw: DataFrame, seen: str | None = None) -> DataFrame:
     typed = raw.withColumns({"arena_id": F.col("arena_id").cast("string"), "arena_name": F.col("arena_name").cast("string")})
-    return expect_or_drop(typed, RULES["arenas"])
+    return expect_or_drop(typed, RULES["arenas"], seen)
 
 
-def funds(raw: DataFrame) -> DataFrame:
+def funds(raw: DataFrame, seen: str | None = None) -> DataFrame:
     typed = raw.withColumns({
         "arena_id": F.col("arena_id").cast("string"),
         "aum": cast_or_null(F.col("aum"), "double"),
         "strategy": F.lower("strategy"),
     })
-    return expect_or_drop(typed, RULES["funds"])
+    return expect_or_drop(typed, RULES["funds"], seen)
 
 
-def investors(raw: DataFrame) -> DataFrame:
+def investors(raw: DataFrame, seen: str | None = None) -> DataFrame:
     typed = raw.withColumns({
         "arena_id": F.col("arena_id").cast("string"),
         "commitment_amount": cast_or_null(F.col("commitment_amount"), "double"),
         "type": F.lower("type"),
     })
-    return expect_or_drop(typed, RULES["investors"])
+    return expect_or_drop(typed, RULES["investors"], seen)
 
 
-def properties(raw: DataFrame) -> DataFrame:
+def properties(raw: DataFrame, seen: str | None = None) -> DataFrame:
     price = cast_or_null(F.col("acquisition_price"), "double")
     value = cast_or_null(F.col("current_valuation"), "double")
     typed = raw.withColumns({
@@ -59,7 +60,7 @@ def properties(raw: DataFrame) -> DataFrame:
         "occupancy_rate": cast_or_null(F.col("occupancy_rate"), "double"),
         "unrealized_gain": value - price,
     })
-    return expect_or_drop(typed, RULES["properties"])
+    return expect_or_drop(typed, RULES["properties"], seen)
 
 
 def gl_conform(raw: DataFrame) -> DataFrame:

@@ -37,12 +37,17 @@ def test_update_is_incremental_and_repeatable(spark, tmp_path):
     assert spark.read.parquet(f"{out}/bronze/gl_transactions").count() == 900
 
 
+    quality = spark.read.parquet(f"{out}/quality/rule_counts")
+    assert quality.count() == 3 * 10 and quality.agg(F.sum("violations")).first()[0] == 0
     extra = ledger_rows.funds(spark, 20, 22).withColumn("esg_rating", F.lit("A"))
+    extra.withColumn("fund_id", F.lit(None).cast("string")).write.mode("append").json(f"{raw}/funds")
     extra.write.mode("append").json(f"{raw}/funds")
     after = {r["table_name"]: r["row_count"] for r in run_update(spark, out, "2026-01-01", raw, evolve=True).collect()}
     assert after["gold_fund_performance"] == 22
     bronze = spark.read.option("mergeSchema", "true").parquet(f"{out}/bronze/funds")
-    assert sorted(r["esg_rating"] or "" for r in bronze.collect()) == [""] * 20 + ["A", "A"]
+    assert sorted(r["esg_rating"] or "" for r in bronze.collect()) == [""] * 20 + ["A"] * 4
+    broken = spark.read.parquet(f"{out}/quality/rule_counts").where("violations > 0").collect()
+    assert [tuple(r) for r in broken] == [("funds", "valid_fund_id", 2)]
 
 
 def test_shuffle_sizing_grows_with_the_input(spark, tmp_path):
