@@ -29,7 +29,7 @@ def pivot_sums(df: DataFrame, keys: Sequence[str], value: str, cases: dict[str,
 
 
 def distinct_list(df: DataFrame, keys: Sequence[str], col: str, alias: str) -> DataFrame:
-    """Sorted distinct values per group."""
+    """Sorted distinct values per group, held in one row: for values that are few by nature (funds of an investor, tiers of a period)."""
     return df.groupBy(*keys).agg(F.array_sort(F.collect_set(col)).alias(alias))
 
 

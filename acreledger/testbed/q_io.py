@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from acreledger import schemas
 from acreledger.functions.scalars import month_date
 from acreledger.plans import gold, silver
+from acreledger.plans.lakehouse import CLUSTERING
 from acreledger.plans.medallion import run_update
 from acreledger.sources import readers, writers
 from acreledger.sources.storage import shared_dir
@@ -178,7 +179,7 @@ def _(x):
 @query("snk_clustered", f"SELECT {GL_COLUMNS} FROM gl_raw WHERE arena_id = 'ARN-00009' AND transaction_date >= DATE '2001-01-01'")
 def _(x):
     path = fresh(x, "clustered")
-    writers.write_clustered(x.t.gl_raw, path, ["arena_id", "transaction_date"])
+    writers.write_clustered(x.t.gl_raw, path, CLUSTERING["silver_gl_transactions"])
     return x.spark.read.parquet(path).where("arena_id = 'ARN-00009' AND transaction_date >= DATE '2001-01-01'").select(*GL_LIST)
 
 
