@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch: bound what a Python worker holds, whatever the length of the texts.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 * 1024 * 1024
+BATCH_ROWS, BATCH_BYTES = 2000, 8 * 1024 * 1024
+#: What a Python worker keeps from task to task; an operator that keeps nothing empties it.
+KEPT: dict = {}
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -32,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Empty what this Python worker keeps. A function of the module, so that a task sent by value calls it here."""
+    KEPT.clear()
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -55,12 +62,13 @@ def with_results(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def map_column(df: DataFrame, column: str, results: T.StructType, job: Callable[[], Callable[[list], list[tuple]]]) -> DataFrame:
+def map_column(df: DataFrame, column: str, results: T.StructType, job: Callable[[], Callable[[list], list[tuple]]], keeps: bool = False) -> DataFrame:
     """Append result columns that Python computes from one column, batch by batch, where the rows are.
 
     ``job()`` runs once in each task and returns the function from a batch's
     values to one tuple a row. Other columns pass through as they are; input
-    columns with the name of a result are replaced.
+    columns with the name of a result are replaced. Only a job that ``keeps`` may
+    use KEPT; workers serve one operator after another.
     """
     names = [f.name for f in results]
     keep = with_results(df, names)
@@ -69,6 +77,8 @@ def map_column(df: DataFrame, column: str, results: T.StructType, job: Callable[
     schema = T.StructType([f for f in source.schema if f.name != value] + list(results))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         of = job()
         for batch in batches:
             rows = of(batch.column(len(keep)).to_pylist())

@@ -21,13 +21,14 @@ import re
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 
-from acreledger.llm.common import fields, map_column
+from acreledger.llm.common import KEPT, fields, map_column
 
 SPACE = "▁"
-#: Entries of a table in a worker: some 70 MB in all.
-TABLE_ENTRIES = 300_000
+#: Entries of a table in a worker: some 100 MB in all.
+TABLE_ENTRIES = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -267,14 +268,11 @@ class Codec:
         return self.unprefixed(self.surface(ids))
 
 
-CODECS: dict[str, Codec] = {}
-
-
 def codec(model: PieceModel) -> Codec:
-    if model.key not in CODECS:
-        CODECS.clear()
-        CODECS[model.key] = Codec(model)
-    return CODECS[model.key]
+    if model.key not in KEPT:
+        KEPT.clear()
+        KEPT[model.key] = Codec(model)
+    return KEPT[model.key]
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -291,11 +289,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         coder = codec(shared.value)
 
         def of(texts: list) -> list[tuple]:
-            return [([int(i) for i in ids.split()], decoded) for ids, decoded in map(coder.written, texts)]
+            return [(np.array(ids.split(), dtype=np.int32), decoded) for ids, decoded in map(coder.written, texts)]
 
         return of
 
-    return map_column(docs, text, fields("ids array<int>, decoded string"), job)
+    return map_column(docs, text, fields("ids array<int>, decoded string"), job, keeps=True)
 
 
 def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -314,4 +312,4 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> Data
 
         return lambda texts: list(map(one, texts))
 
-    return map_column(docs, text, fields("n_tokens long, ids_sha256 string, decoded_sha256 string"), job)
+    return map_column(docs, text, fields("n_tokens long, ids_sha256 string, decoded_sha256 string"), job, keeps=True)

@@ -32,7 +32,7 @@ REACH = 4
 
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 12 * 1024 * 1024
 THRESHOLD = 0.7
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 200_000
 TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n|]")
 ENDS = frozenset(".!?;:\n|")
 
