@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,37 @@ def bounded_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     return df if len(least) <= rows else df.filter(hashed < least[-1])
 
 
+def fair_shares(sizes: dict[str, int], rows: int) -> dict[str, int]:
+    """``rows`` dealt to groups of these sizes: equal shares, and what small groups leave goes to the larger ones."""
+    out = {}
+    for n, name in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        out[name] = min(sizes[name], rows // (len(sizes) - n))
+        rows -= out[name]
+    return out
+
+
+def distinct_sample(df: DataFrame, by: list[str], group: str, rows: int) -> list[tuple[str, int]]:
+    """(group, hash) of at most ``rows`` distinct values of the columns ``by``, which every group shares in.
+
+    Copies count once, so they neither fill nor empty a sample. A group gives
+    those with the smallest xxhash64 of ``by``. Only hashes are shuffled: of
+    evenly spread hashes those below a bound a little above the group's share
+    are ordered, so no task meets all hashes of a group.
+    """
+    pairs = df.select(F.col(quoted(group)).alias("g"), F.xxhash64(*(F.col(quoted(c)) for c in by)).alias("h")).distinct()
+    sizes = {r.g: r.n for r in pairs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {g: n for g, n in fair_shares(sizes, rows).items() if n}
+    if not shares:
+        return []
+    least, span = -(1 << 63), 1 << 64
+    # a share and six standard deviations: fewer hashes than the share are as good as never below the bound
+    bounds = [(g, n, min(-least - 1, least + int((n + 6 * n**0.5 + 20) / sizes[g] * span))) for g, n in shares.items()]
+    wide = df.sparkSession.createDataFrame(bounds, "g string, share long, most long")
+    low = pairs.join(F.broadcast(wide), "g").filter("h <= most")
+    ranked = low.withColumn("rank_", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter("rank_ <= share")
+    return sorted((r.g, r.h) for r in ranked.select("g", "h").collect())
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, total_bytes: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """(text, label) of a bounded sample of the labelled documents for a fit on the driver, in a fixed order.
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acreledger.llm.common import bounded_sample, crc_rest, fields, free_name, map_column, quoted
+from acreledger.llm.common import crc_rest, distinct_sample, fields, free_name, map_column, quoted
 
 UNKNOWN = "und"
 LETTERS = 62
@@ -123,46 +123,49 @@ def solve(z: np.ndarray, kernel: np.ndarray, y: np.ndarray, languages: int, ridg
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> Model:
-    """Fit on at most ``sample_rows`` rows with a language, of which up to ``landmarks`` whole texts come to the driver.
+    """Fit on at most ``sample_rows`` distinct (text, language) pairs, of which up to ``landmarks`` whole texts come to the driver.
 
-    ``learn`` says by the key which rows may be learned from. Landmarks are dealt
-    to the languages in turn. The kernels of the other sample texts are computed
-    where the texts are; the driver gets one vector of numbers for each.
+    ``learn`` says by the key which rows may be learned from. Every language has
+    its share of the sample; landmarks are dealt to the languages in turn. The
+    kernels of the other sample texts are computed where the texts are; the driver
+    gets one vector of numbers for each.
     """
     known = docs.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).alias("text"), F.col(quoted(lang)).cast("string").alias("lang"))
     known = known.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    sample = bounded_sample(known, ["text", "lang"], sample_rows)
-    ranks = sample.select("lang", F.xxhash64("text", "lang").alias("h")).collect()
+    pairs = distinct_sample(known, ["text", "lang"], "lang", sample_rows)
     by_lang: dict[str, list[int]] = {}
-    for r in sorted(ranks, key=lambda r: r.h):
-        by_lang.setdefault(r.lang, []).append(r.h)
+    for name, h in pairs:
+        by_lang.setdefault(name, []).append(h)
     languages = tuple(sorted(by_lang))
-    turns = sorted((n, name, h) for name, hs in by_lang.items() for n, h in enumerate(dict.fromkeys(hs)))[:landmarks]
+    turns = sorted((n, name, h) for name, hs in by_lang.items() for n, h in enumerate(hs))[:landmarks]
     empty = np.zeros(POINTS, dtype=np.uint8)
     if not languages:
         return Model((), empty, np.zeros(1 << 19, dtype=np.int32), np.zeros((0, 0), dtype=np.float32))
-    chosen = docs.sparkSession.createDataFrame([(h,) for *_, h in turns], "h long")
-    marks = sample.withColumn("h", F.xxhash64("text", "lang")).join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
+    spark = docs.sparkSession
+    hashed = known.withColumn("h", F.xxhash64("text", "lang"))
+    sample = hashed.join(F.broadcast(spark.createDataFrame(pairs, "lang string, h long")), ["lang", "h"])
+    chosen = spark.createDataFrame([(h,) for *_, h in turns], "h long")
+    marks = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
     texts = [r.text for r in marks]
     signs = alphabet(texts)
     place, z = landmark_columns(texts, signs)
     unit = z.T / np.sqrt(np.maximum(z.sum(axis=1), 1))
-    shared = docs.sparkSession.sparkContext.broadcast(Model(languages, signs, place, unit.astype(np.float32)))
+    shared = spark.sparkContext.broadcast(Model(languages, signs, place, unit.astype(np.float32)))
 
     def job():
         model = shared.value
 
         def of(values: list) -> list[tuple]:
-            out = []
-            for start in range(0, len(values), CHUNK):
-                x = model.presence(values[start : start + CHUNK])
+            found, once = {}, list(dict.fromkeys(values))
+            for start in range(0, len(once), CHUNK):
+                x = model.presence(once[start : start + CHUNK])
                 k = (x @ model.weights).astype(np.float64) / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1))[:, None]
-                out += [(row.tolist(),) for row in k]
-            return out
+                found |= zip(once[start : start + CHUNK], k.tolist(), strict=True)
+            return [(found[v],) for v in values]
 
         return of
 
-    rows = map_column(sample.withColumn("h", F.xxhash64("text", "lang")), "text", fields("k array<double>"), job).select("h", "lang", "k").collect()
+    rows = map_column(sample, "text", fields("k array<double>"), job).groupBy("h", "lang").agg(F.first("k").alias("k")).collect()
     rows.sort(key=lambda r: (r.h, r.lang))
     weights = solve(z, np.array([r.k for r in rows]), np.array([languages.index(r.lang) for r in rows]), len(languages), RIDGE)
     return Model(languages, signs, place, weights)

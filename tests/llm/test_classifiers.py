@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from acreledger.llm import langid, quality, queries, toxicity
-from acreledger.llm.common import bounded_sample
+from acreledger.llm.common import bounded_sample, distinct_sample, fair_shares
 
 SF = "/root/testdata/sf0.01"
 ODD = [(None, None, None), (1, "", "en"), (2, None, "de"), (3, "123 !!", None), (4, "é" * 70_000, "fr"), (4, "é" * 70_000, "fr"), (5, "ab", "en")]
@@ -148,3 +148,16 @@ def test_bounded_sample(spark):
     df = spark.range(500).selectExpr("id", "id % 3 AS same")
     assert bounded_sample(df, ["id"], 100).count() == 100
     assert bounded_sample(df, ["same"], 100).count() == 0 and bounded_sample(df, ["id"], 500).count() == 500
+
+
+def test_copies_never_empty_the_sample(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(200)] + [(200 + i, f"der hund {chr(97 + i)} und die katze", "de") for i in range(20)] + [(220 + i, f"the dog {chr(97 + i)} and the cat", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pairs = distinct_sample(docs, ["text", "lang"], "lang", 10)
+    assert len(set(pairs)) == 10 and [g for g, _ in pairs] == ["de"] * 5 + ["en"] * 5
+    every = docs.selectExpr("lang", "xxhash64(text, lang) AS h").distinct().collect()
+    assert pairs == sorted(x for g in ("de", "en") for x in sorted((r.lang, r.h) for r in every if r.lang == g)[:5])
+    model = langid.fit(docs, langid.F.lit(True), sample_rows=10)
+    assert model.languages == ("de", "en")
+    assert [x[0] for x in model.predict(["the cat and the dog", "die katze und der hund"])] == ["en", "de"]
+    assert fair_shares({"a": 2, "b": 100, "c": 50}, 30) == {"a": 2, "b": 14, "c": 14} and fair_shares({}, 3) == {}
