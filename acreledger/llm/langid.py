@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from acreledger.llm.common import crc_rest, distinct_sample, fields, free_name, map_column, quoted
 
 UNKNOWN = "und"
-LETTERS = 62
+#: Bits of a letter's number in an n-gram, and the mark of an n-gram's length above three of them.
+BITS, LENGTH = 20, 60
+#: Landmarks after a language's first are taken while all n-grams together are no more.
+GRAMS = 1 << 19
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE_ROWS, LANDMARKS, RIDGE = 3000, 160, 0.3
 CHUNK = 32
 POINTS = 0x110000
@@ -38,22 +42,52 @@ def code_points(text: str) -> np.ndarray:
 
 
 def spectrum(text: str, signs: np.ndarray) -> np.ndarray:
-    """N-grams of a text as numbers, each as often as it occurs: one, two and three signs of 6 bits after a leading one bit."""
-    c = signs[code_points(text)].astype(np.int32)
+    """N-grams of a text as numbers, each as often as it occurs: one, two and three signs of 20 bits below their number."""
+    c = signs[code_points(text)].astype(np.int64)
     if not c.any():
-        return np.zeros(0, dtype=np.int32)
+        return np.zeros(0, dtype=np.int64)
     c = np.r_[0, c, 0]
     c = c[(c > 0) | np.r_[True, c[:-1] > 0]]
-    two = (c[:-1] << 6) | c[1:]
-    three = (two[:-1] << 6) | c[2:]
-    return np.concatenate([c[c > 0] | 1 << 6, two | 1 << 12, three | 1 << 18])
+    two = (c[:-1] << BITS) | c[1:]
+    three = (two[:-1] << BITS) | c[2:]
+    return np.concatenate([c[c > 0] | 1 << LENGTH, two | 2 << LENGTH, three | 3 << LENGTH])
+
+
+class Places:
+    """Columns of sorted n-grams: a table by hash, and a binary search for n-grams whose hash several share."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        bits = max(10, (8 * len(grams)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table = np.full(1 << bits, -1, dtype=np.int32)
+        slots = self.slots(grams)
+        self.table[slots] = np.arange(len(grams))
+        found, times = np.unique(slots, return_counts=True)
+        self.table[found[times > 1]] = -2
+
+    def slots(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * MIX) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, grams: np.ndarray) -> np.ndarray:
+        """The column of each n-gram; for those of no landmark the one after the last."""
+        none = len(self.grams)
+        if not none:
+            return np.zeros(len(grams), dtype=np.int32)
+        out = self.table[self.slots(grams)]
+        several = np.flatnonzero(out == -2)
+        out[several] = np.searchsorted(self.grams, grams[several])
+        out[(out < 0) | (out >= none)] = none
+        known = np.flatnonzero(out < none)
+        out[known[self.grams[out[known]] != grams[known]]] = none
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    signs: np.ndarray      # code point -> 0 boundary, 1.. letters by frequency, 63 other letters
-    place: np.ndarray      # n-gram -> column, the last column for those of no landmark
+    signs: np.ndarray      # code point -> 0 boundary, 1.. the landmarks' letters, one more for other letters
+    place: Places          # n-gram -> column, the last column for those of no landmark
     weights: np.ndarray    # columns x languages
 
     def presence(self, texts: list[str]) -> np.ndarray:
@@ -79,34 +113,39 @@ class Model:
 
 
 def alphabet(texts: list[str]) -> np.ndarray:
-    """The most frequent letters get a sign each; all other letters share one."""
-    counts = np.zeros(POINTS, dtype=np.int64)
+    """Every letter of the texts gets a sign of its own; letters of none of them share one."""
+    seen = np.zeros(POINTS, dtype=bool)
     for t in texts:
-        c = code_points(t)
-        counts += np.bincount(c, minlength=POINTS) if len(c) > 5000 else 0
-        if len(c) <= 5000:
-            np.add.at(counts, c, 1)
+        seen[code_points(t)] = True
     letter = is_letter()
-    counts[~letter] = 0
-    signs = np.where(letter, LETTERS + 1, 0).astype(np.uint8)
-    top = np.argsort(-counts, kind="stable")[:LETTERS]
-    top = top[counts[top] > 0]
-    signs[top] = np.arange(1, len(top) + 1)
+    own = np.flatnonzero(seen & letter)
+    signs = np.where(letter, len(own) + 1, 0).astype(np.int32)
+    signs[own] = np.arange(1, len(own) + 1)
     return signs
 
 
-def landmark_columns(texts: list[str], signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def landmark_columns(texts: list[str], signs: np.ndarray) -> tuple[Places, np.ndarray]:
     """Columns of the landmarks' n-grams, and the landmarks' presence matrix."""
     sets = [np.unique(spectrum(t, signs)) for t in texts]
-    grams = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.int32)
-    place = np.full(1 << 19, len(grams), dtype=np.int32)
-    place[grams] = np.arange(len(grams))
-    z = np.zeros((len(texts), len(grams)), dtype=np.float32)
+    place = Places(np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.int64))
+    z = np.zeros((len(texts), len(place.grams)), dtype=np.float32)
     for i, s in enumerate(sets):
         z[i, place[s]] = 1
     return place, z
 
 
+def fitting(texts: list[tuple[str, str]], signs: np.ndarray, most: int = GRAMS) -> list[str]:
+    """Of (language, text) the first text of each language and, in the given order, those with which all n-grams are at most ``most``."""
+    grams, kept, met = np.zeros(0, dtype=np.int64), [], set()
+    for lang, text in texts:
+        union = np.union1d(grams, spectrum(text, signs))
+        if lang not in met or len(union) <= most:
+            grams = union
+            kept.append(text)
+        met.add(lang)
+    return kept
+
+
 def solve(z: np.ndarray, kernel: np.ndarray, y: np.ndarray, languages: int, ridge: float) -> np.ndarray:
     """Weights of n-grams from the kernel of sample texts with the landmarks ``z``."""
     size = np.sqrt(np.maximum(z.sum(axis=1, dtype=np.float64), 1))
@@ -138,16 +177,18 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         by_lang.setdefault(name, []).append(h)
     languages = tuple(sorted(by_lang))
     turns = sorted((n, name, h) for name, hs in by_lang.items() for n, h in enumerate(hs))[:landmarks]
-    empty = np.zeros(POINTS, dtype=np.uint8)
+    empty = np.zeros(POINTS, dtype=np.int32)
     if not languages:
-        return Model((), empty, np.zeros(1 << 19, dtype=np.int32), np.zeros((0, 0), dtype=np.float32))
+        return Model((), empty, Places(np.zeros(0, dtype=np.int64)), np.zeros((0, 0), dtype=np.float32))
     spark = docs.sparkSession
     hashed = known.withColumn("h", F.xxhash64("text", "lang"))
     sample = hashed.join(F.broadcast(spark.createDataFrame(pairs, "lang string, h long")), ["lang", "h"])
     chosen = spark.createDataFrame([(h,) for *_, h in turns], "h long")
     marks = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
-    texts = [r.text for r in marks]
-    signs = alphabet(texts)
+    of_hash = {r.h: r.text for r in marks}
+    texts = [(name, of_hash[h]) for _, name, h in turns]
+    signs = alphabet([t for _, t in texts])
+    texts = fitting(texts, signs)
     place, z = landmark_columns(texts, signs)
     unit = z.T / np.sqrt(np.maximum(z.sum(axis=1), 1))
     shared = spark.sparkContext.broadcast(Model(languages, signs, place, unit.astype(np.float32)))

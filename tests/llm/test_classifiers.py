@@ -161,3 +161,38 @@ def test_copies_never_empty_the_sample(spark):
     assert model.languages == ("de", "en")
     assert [x[0] for x in model.predict(["the cat and the dog", "die katze und der hund"])] == ["en", "de"]
     assert fair_shares({"a": 2, "b": 100, "c": 50}, 30) == {"a": 2, "b": 14, "c": 14} and fair_shares({}, 3) == {}
+
+
+def test_letters_of_all_scripts_stay_distinct():
+    blocks = {"en": 97, "ru": 0x430, "ko": 0xAC00, "th": 0xE01, "zh": 0x4E00}
+    texts = {k: " ".join("".join(chr(first + (i * 7 + j * 3) % 26) for j in range(5)) for i in range(40)) for k, first in blocks.items()}
+    signs = langid.alphabet(list(texts.values()))
+    for t in texts.values():
+        assert len(set(langid.spectrum(t, signs).tolist())) == len(brute_spectrum(t))
+    place, z = langid.landmark_columns(list(texts.values()), signs)
+    model = langid.Model(tuple(texts), signs, place, np.ones((z.shape[1], 1), dtype=np.float32))
+    shared = model.presence(list(texts.values())) @ z.T
+    for i, t in enumerate(texts.values()):
+        for j, u in enumerate(texts.values()):
+            assert shared[i, j] == len(brute_spectrum(t) & brute_spectrum(u))
+
+
+def test_scripts_beyond_62_letters_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    first = {"en": 97, "ru": 0x430, "ko": 0xAC00, "th": 0xE01, "zh": 0x4E00}
+    text = lambda lang: " ".join("".join(chr(first[lang] + int(x)) for x in rng.integers(0, 26, 4)) for _ in range(30))
+    rows = [(5 * i + n, text(lang), lang) for i in range(12) for n, lang in enumerate(first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, langid.F.lit(True))
+    assert [x[0] for x in model.predict([text(lang) for lang in first])] == list(first)
+
+
+def test_columns_by_hash_are_columns_by_search():
+    rng = np.random.default_rng(5)
+    grams = np.unique(rng.integers(0, 1 << 62, 5000))
+    place = langid.Places(grams)
+    asked = np.r_[grams, rng.integers(0, 1 << 62, 5000)]
+    known = set(grams.tolist())
+    assert (place.table == -2).any()
+    assert place[asked].tolist() == [int(np.searchsorted(grams, g)) if g in known else len(grams) for g in asked.tolist()]
+    assert langid.fitting([("a", "ab"), ("a", "cd"), ("b", "ef"), ("b", "ab")], langid.alphabet(["abcdef"]), 8) == ["ab", "ef"]
