@@ -5,7 +5,8 @@ labelled texts), threat words, target words, negations and reported speech. Four
 small transducers, one of each kind, are composed into one. It walks over the
 signs of a clause and gives weighted matches: an insult counts more near its
 target, less behind a negation or within reported speech; a threat word counts
-only together with a target. A logistic regression turns the scores of a text's
+only together with a target. The target may stand before or after them: the
+target transducer walks over the clause backwards first. A logistic regression turns the scores of a text's
 matched clauses into one score.
 """
 
@@ -41,12 +42,12 @@ Machine = tuple[State, Callable[[State, str], tuple[State, str, float]]]
 
 
 def countdown(opener: str, mark: str, factor: float) -> Machine:
-    """Marks an insult or threat within REACH words after an opening sign."""
+    """Marks an insult or threat within REACH words after an opening sign, unless it has the mark."""
 
     def step(state: int, sign: str) -> tuple[int, str, float]:
         if sign == opener:
             return REACH, sign, 0.0
-        hit = state > 0 and sign[:1] in "IT" and sign != ""
+        hit = state > 0 and sign[:1] in "IT" and sign != "" and mark not in sign
         return max(0, state - 1), sign + mark if hit else sign, factor if hit else 0.0
 
     return 0, step
@@ -102,9 +103,14 @@ def tabled(machine: Machine) -> Machine:
     return start, quick
 
 
+def targets() -> Machine:
+    """The target transducer; read from a clause's end to its start it marks what stands before a target."""
+    return countdown("G", "g", math.log(1.2))
+
+
 def grammar() -> Machine:
     """Target, negation and reported-speech transducers composed with the one that reads insults and threats off."""
-    return tabled(compose(compose(compose(countdown("G", "g", math.log(1.2)), countdown("N", "n", math.log(0.7))), latch("R", "r", math.log(0.85))), only_directed()))
+    return tabled(compose(compose(compose(targets(), countdown("N", "n", math.log(0.7))), latch("R", "r", math.log(0.85))), only_directed()))
 
 
 def fixed_signs() -> dict[str, str]:
@@ -144,6 +150,7 @@ class Scorer:
         self.fixed = fixed_signs()
         self.signs: dict[str, tuple[str, float]] = {}
         self.start, self.step = grammar()
+        self.back_start, self.back = tabled(targets())
 
     def sign(self, word: str) -> tuple[str, float]:
         weight = self.lexicon.weight(word)
@@ -168,14 +175,20 @@ class Scorer:
             first = i
             while first > 0 and found[first - 1] not in ENDS:
                 first -= 1
-            state, matches, at = self.start, [], first
-            while at < len(found) and found[at] not in ENDS:
-                name, weight = signs[at]
+            last = i
+            while last + 1 < len(found) and found[last + 1] not in ENDS:
+                last += 1
+            state, marked = self.back_start, []
+            for at in range(last, first - 1, -1):
+                state, name, factor = self.back(state, signs[at][0])
+                marked.append((name, factor))
+            state, matches = self.start, []
+            for at in range(first, last + 1):
+                name, before = marked.pop()
                 state, kind, factor = self.step(state, name)
                 if kind:
-                    matches.append((found[at], kind, (weight if name == "I" else 1.0) * math.exp(factor)))
-                at += 1
-            done = at
+                    matches.append((found[at], kind, (signs[at][1] if name[0] == "I" else 1.0) * math.exp(before + factor)))
+            done = last + 1
             if matches:
                 out.append((sum(m[2] for m in matches), matches))
         return out, len(found)

@@ -196,3 +196,15 @@ def test_columns_by_hash_are_columns_by_search():
     assert (place.table == -2).any()
     assert place[asked].tolist() == [int(np.searchsorted(grams, g)) if g in known else len(grams) for g in asked.tolist()]
     assert langid.fitting([("a", "ab"), ("a", "cd"), ("b", "ef"), ("b", "ab")], langid.alphabet(["abcdef"]), 8) == ["ab", "ef"]
+
+
+def test_grammar_finds_targets_on_both_sides():
+    scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 4.0}, {}, ()), None)
+    kinds = lambda t: [m[1] for _, ms in scorer.clauses(t)[0] for m in ms]
+    weight = lambda t: sum(s for s, _ in scorer.clauses(t)[0])
+    for threat in ("I will kill you", "hurt them", "destroy you", "we will not rest but burn the house of them"):
+        assert [k[:7] for k in kinds(threat)] == ["threatg"]
+        assert scorer.features(threat) > scorer.features("we walk with you")
+    assert kinds("idiot, you") == ["insultg"] and weight("idiot, you") == weight("you idiot") == weight("you idiot, you") > weight("idiot")
+    assert kinds("kill time. you") == kinds("kill a b c d you") == [] and kinds("kill a b c you") == ["threatg"]
+    assert kinds("never hurt them") == ["threatgn"]
