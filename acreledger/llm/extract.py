@@ -32,12 +32,17 @@ NOT_ARTICLE = frozenset(
     "sidebar sidebars footer masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments disqus respond replies reply discussion share sharing social related recommended recommendations pagination pager widget complementary contentinfo search hidden".split())
 HEADER_WORDS = frozenset(["header", "banner"])
+# Words that take a class name's meaning back, and those that say nothing but layout.
+NEGATED = frozenset("no not non has have with without".split())
+LAYOUT = frozenset("area bar block box button buttons column container inner item items left link links list outer panel post posts right row section slot unit widget widgets wrap wrapper".split())
 
+#: The share of the body's unlinked text with which a form or an element named as no article holds the article.
+MOST = 0.5
 #: The share of a parent's text that makes the parent the article as well.
 WIDEN = 0.7
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -45,6 +50,7 @@ WORD = re.compile(r"[a-z]+")
 class Node:
     name: str
     skipped: bool = False
+    why: str = ""
     items: list = field(default_factory=list)  # texts and child nodes in page order
     chars: int = 0
     tags: int = 0
@@ -54,22 +60,66 @@ class Node:
     total: float = 0.0
 
 
-def not_article(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is none of the article by its name or by its class, id, role or style."""
-    if name in SKIPPED and not (name == "header" and inside):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
+def names_other(token: str) -> bool:
+    """Whether a class, id or role names what is no article: its last word does, or its first before words of layout."""
+    parts = WORD.findall(token)
+    if not parts or not NEGATED.isdisjoint(parts):
         return False
+    if parts[-1] == "hidden":
+        return len(parts) == 1 or parts[:-1] in (["is"], ["visually"])
+    return parts[-1] in NOT_ARTICLE or parts[0] in NOT_ARTICLE and LAYOUT.issuperset(parts[1:])
+
+
+def not_article(name: str, attributes: str, inside: bool) -> str:
+    """Why an element is none of the article: ``cut`` by its name, hidden or style, ``named`` by class, id or role, ``form``; else empty."""
+    if name in SKIPPED and name != "form" and not (name == "header" and inside):
+        return "cut"
+    why = "form" if name == "form" else ""
+    if not attributes or name in ("html", "body", "article", "main"):
+        return why
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif key != "hidden" and not NOT_ARTICLE.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            return "cut"
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return "cut"
+        if key in ("class", "id", "role") and any(map(names_other, value.split())):
+            why = why or "named"
+    return why
+
+
+def keep_holders(root: Node) -> None:
+    """Take back the cut of forms and named elements that hold most of the body's unlinked text.
+
+    A named element stays cut where an article, a main element or a first heading
+    stands outside all that is cut: long comments, say.
+    """
+    plain: dict[Node, int] = {}
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append((node, link))
+        stack += [(c, link or c.name == "a") for c in node.items if isinstance(c, Node) and c.why != "cut"]
+    if not any(n.why for n, _ in order):
+        return
+    for node, link in reversed(order):
+        own = 0 if link else sum(len(" ".join(c.split())) for c in node.items if isinstance(c, str))
+        plain[node] = own + sum(plain[c] for c in node.items if isinstance(c, Node) and c.why != "cut")
+    found = True
+    while found:
+        found, marked, large, stack = False, False, [], [root]
+        while stack:
+            node = stack.pop()
+            marked = marked or node.name in ("article", "main", "h1")
+            for c in node.items:
+                if isinstance(c, Node):
+                    if not c.skipped:
+                        stack.append(c)
+                    elif c.why != "cut" and plain[c] > MOST * plain[root]:
+                        large.append(c)
+        for c in large:
+            if c.why == "form" or not marked:
+                c.skipped, found = False, True
 
 
 def parse(page: str) -> Node:
@@ -105,7 +155,8 @@ def parse(page: str) -> Node:
         if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
             close_alike(open_, name)
         inside = any(n.name in ("article", "main") for n in open_)
-        node = Node(name, open_[-1].skipped or not_article(name, attributes, inside))
+        why = not_article(name, attributes, inside)
+        node = Node(name, bool(why), why)
         open_[-1].items.append(node)
         if name in VOID or attributes.endswith("/"):
             continue
@@ -114,6 +165,7 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
             continue
         open_.append(node)
+    keep_holders(root)
     return root
 
 

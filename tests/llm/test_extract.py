@@ -47,3 +47,23 @@ def test_pages_give_their_documents(spark):
         doc = docs[int(re.search(r"\.(?:com|net|org)/[^/]+/(\d+)", r.url)[1])]
         assert r.text.split("\n", 1)[1] == "\n".join(x for x in (" ".join(line.split()) for line in doc.split("\n")) if x)
         assert r.n_chars == len(r.text)
+
+
+PROSE = [f"{LONG} Paragraph number {i} says it." for i in range(9)]
+
+
+def paragraphs(first, last):
+    return "".join(f"<p>{p}</p>" for p in PROSE[first:last])
+
+
+@pytest.mark.parametrize("start", ["<div class='overflow-hidden'>", "<div class='content no-sidebar'>", "<div class=has-sidebar>", "<div id=post-with-comments>", "<form action=x>", "<form><div class='page search'>", "<div class=discussion>", "<div class=share-price>"])
+def test_wrappers_of_the_article_stay(start):
+    page = f"<body><div class=ad-slot>buy now</div>{start}<h1>T</h1>{paragraphs(0, 4)}<div class=related-posts><p>{LONG}</p></div><select><option>o</select>"
+    assert main_text(page) == "\n".join(["T", *PROSE[:4]])
+
+
+def test_attribute_values_hide_nothing():
+    page = f"<body><p>{LONG} A <a href=/wiki/Hidden_Markov_model>model</a>, <i title='a hidden gem'>rare</i> <b data-class=ad>bold</b></p>{paragraphs(0, 3)}<p hidden=hidden>x</p><p class=hidden>x</p><p aria-hidden='true'>x</p>"
+    assert main_text(page) == "\n".join([f"{LONG} A model, rare bold", *PROSE[:3]])
+    comments = f"<body><div class=text><h1>T</h1>{paragraphs(0, 2)}</div><div class=comments>{paragraphs(2, 9)}</div>"
+    assert main_text(comments) == "\n".join(["T", *PROSE[:2]])
