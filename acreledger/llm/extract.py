@@ -25,6 +25,7 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 SKIPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video form button select option textarea input label nav header footer aside menu dialog map title noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "caption", "html", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 INLINE_FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span mark sub sup cite abbr q".split())
 # Words of class, id and role names that mark what is not the article.
 NOT_ARTICLE = frozenset(
@@ -223,8 +224,10 @@ def rate(root: Node) -> list[Node]:
 def main_element(root: Node) -> Node:
     """The element with the largest sum of child densities among those that reach the threshold of the body's path.
 
-    It is widened to the article or main element that holds it, and to parents
-    that have little text beside it (headings, say).
+    It is widened to the article or main element that holds it, to parents that
+    have little text beside it (headings, say), and to any parent up to the body
+    in which siblings reach the threshold as well; there other blocks before and
+    after the dense ones are cut, and link lists.
     """
     nodes = rate(root)
     body = next((n for n in nodes if n.name == "body"), root)
@@ -247,13 +250,38 @@ def main_element(root: Node) -> Node:
     marked = next((n for n in holders if n.name in ("article", "main")), None)
     if marked is not None:
         return marked
+    spare: list[Node] = []  # what is cut if a higher parent becomes the article
+    own = best
     for parent in holders[1:]:
-        if parent.name in ("#root", "html", "body") or best.chars < WIDEN * parent.chars:
-            break
-        best = parent
+        if parent.name not in ("#root", "html", "body") and not spare and own is best and best.chars >= WIDEN * parent.chars:
+            own = best = parent
+            continue
+        beside, dense_too = others(parent, own, threshold)
+        spare += beside
+        own = parent
+        if dense_too:
+            best = parent
+            for node in spare:
+                node.skipped = True
+            spare = []
     return best
 
 
+def others(parent: Node, own: Node, threshold: float) -> tuple[list[Node], bool]:
+    """The parent's children that don't belong with the article part ``own`` of it, and whether any block beside it is dense.
+
+    What stands between dense blocks belongs with them, as do headings before
+    the first, unless it is half links.
+    """
+    children = [c for c in parent.items if isinstance(c, Node) and not c.skipped and c.chars]
+    unlinked = {c for c in children if c is own or 2 * c.link_chars < c.chars}
+    dense = [i for i, c in enumerate(children) if c is own or c in unlinked and c.name in BLOCKS and c.density >= threshold and c.density > 0 and c.name not in HEADINGS]
+    first, last = dense[0], dense[-1]
+    while first and children[first - 1].name in HEADINGS:
+        first -= 1
+    return [c for i, c in enumerate(children) if not (first <= i <= last and c in unlinked)], len(dense) > 1
+
+
 def blocks(element: Node) -> list[str]:
     """The text of each block in page order, references decoded, white space made one space; none is empty."""
     out: list[str] = []

@@ -67,3 +67,14 @@ def test_attribute_values_hide_nothing():
     assert main_text(page) == "\n".join([f"{LONG} A model, rare bold", *PROSE[:3]])
     comments = f"<body><div class=text><h1>T</h1>{paragraphs(0, 2)}</div><div class=comments>{paragraphs(2, 9)}</div>"
     assert main_text(comments) == "\n".join(["T", *PROSE[:2]])
+
+
+@pytest.mark.parametrize(("start", "end"), [("", ""), ("<div id=all>", "</div>"), ("<div class=row><div>", "</div></div>")])
+@pytest.mark.parametrize("tag", ["section", "div class=part"])
+def test_articles_in_sibling_sections(start, end, tag):
+    close = f"</{tag.split()[0]}>"
+    links = "<ul>" + "".join(f"<li><a href={i}>some other page {i}</a>" for i in range(9)) + "</ul>"
+    parts = [f"{start}<{tag}><h2>Part {n}</h2>{paragraphs(a, b)}{close}{end}" for n, (a, b) in enumerate([(0, 5), (5, 8), (8, 9)])]
+    page = f"<body><div>{links}</div><h1>Title</h1>{parts[0]}{links}{parts[1]}{parts[2]}<div>{links}</div><div class=comments><p>{LONG}</p></div>"
+    want = ["Title", "Part 0", *PROSE[:5], "Part 1", *PROSE[5:8], "Part 2", PROSE[8]]
+    assert main_text(page) == "\n".join(want)
