@@ -55,8 +55,12 @@ NEAR, LEAST_REDUCTION, TOLERANCE = 0.6, 0.1, 0.1
 SHORT = 16
 LEVEL = 3
 TABLE_ENTRIES = 20_000
-SEGMENT = re.compile(r"[^\n]+")
-SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
+#: Words of the windows that are ranked from each place where a wording may start, besides the longest.
+WINDOWS = (5, 8, 16, 40)
+#: Words of a wording that are looked up at once.
+ANCHOR = 3
+# Fixed value: words that lead from one licence's name to another's.
+LINKS = frozenset("or and the under either".split())
 WORDS = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*")
 
 
@@ -104,6 +108,14 @@ class Scanner:
             content = "\n".join(wordings(i)).lower().encode()
             self.given[i] = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.found: dict[str, tuple | None] = {}
+        self.anchors: dict[tuple[str, ...], set[int]] = {}
+        for wording in (w for ws in self.wordings.values() for w, _ in ws):
+            # differences can't touch all of these: they are more than may differ, and none overlaps another
+            last = 2 * int(TOLERANCE * len(wording)) if len(wording) >= SHORT else 0
+            for at in range(0, min(ANCHOR * last, len(wording) - ANCHOR) + 1, ANCHOR):
+                self.anchors.setdefault(tuple(wording[at : at + ANCHOR]), set()).add(at)
+        self.names = {tuple(words(n)): i for i, ns in NAMES.items() for n in ns}
+        self.longest_name = max(map(len, self.names))
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """Licences by how much their wordings as a dictionary reduce the compressed block, the greatest reduction first."""
@@ -124,54 +136,88 @@ class Scanner:
         return best[1] if best else None
 
     def notice(self, block: str) -> tuple[str, int, list[str]] | None:
+        """The notice that a block starts with, of the licences that win the ranking of a window from its start."""
         if block not in self.found:
             if len(self.found) >= TABLE_ENTRIES:
                 self.found.clear()
-            ranks = self.ranked(block)
-            least = max(LEAST_REDUCTION, NEAR * ranks[0][0])
-            self.found[block] = self.confirmed(words(block), [i for r, i in ranks if r >= least])
+            ends = [m.end() for m in WORDS.finditer(block)]
+            ids: set[str] = set()
+            for n in (*(n for n in WINDOWS if n < len(ends)), len(ends)):
+                ranks = self.ranked(block[: ends[n - 1]])
+                least = max(LEAST_REDUCTION, NEAR * ranks[0][0])
+                ids |= {i for r, i in ranks if r >= least}
+            self.found[block] = self.confirmed(words(block), sorted(ids))
         return self.found[block]
 
-    def blocks(self, text: str | None) -> Iterator[tuple[int, str]]:
-        """(place, block): from each sentence with a cue, as many words as the longest wording can take up."""
-        if not text:
-            return
+    def starts(self, found: list[str]) -> list[int]:
+        """Word places at which a wording may start: some of its words stand as far behind as in the wording."""
+        out = set()
+        for i, key in enumerate(zip(*(found[k:] for k in range(ANCHOR)), strict=False)):
+            out |= {i - at for at in self.anchors.get(key, ()) if i >= at}
+        return sorted(out)
+
+    def spans(self, text: str) -> tuple[list[re.Match], list[str]]:
+        """The words of a text with their places; none without a cue."""
         low = text.lower()
-        if not any(c in low for c in CUES):
-            return
-        for line in SEGMENT.finditer(text):
-            if not any(c in line[0].lower() for c in CUES):
-                continue
-            starts = [0, *(m.end() for m in SENTENCE.finditer(line[0]))]
-            for a, b in zip(starts, [*starts[1:], len(line[0])], strict=True):
-                if any(c in line[0][a:b].lower() for c in CUES):
-                    begin, end = line.start() + a, line.start() + a
-                    for n, m in enumerate(WORDS.finditer(text, begin)):
-                        end = m.end()
-                        if n + 1 >= self.longest * (1 + TOLERANCE):
-                            break
-                    yield begin, text[begin : max(end, line.start() + b)]
+        spans = list(WORDS.finditer(text)) if any(c in low for c in CUES) else []
+        return spans, [m[0].lower() for m in spans]
+
+    def blocks(self, text: str | None) -> Iterator[tuple[int, str]]:
+        """(place, block): from each word at which a wording may start, as many words as the longest wording can take up."""
+        spans, found = self.spans(text or "")
+        for i in self.starts(found):
+            yield spans[i].start(), self.block(text, spans, i)
+
+    def block(self, text: str, spans: list[re.Match], i: int) -> str:
+        last = min(len(spans), i + int(self.longest * (1 + TOLERANCE)) + 1) - 1
+        return text[spans[i].start() : spans[last].end()]
+
+    def more_names(self, spans: list[re.Match], found: list[str], text: str, at: int) -> Iterator[tuple[str, int, int]]:
+        """(licence, first word, words) of names that follow a notice by ``or``, ``and`` or a stroke."""
+        while True:
+            first = at
+            while first < len(found) and found[first] in LINKS:
+                first += 1
+            if first >= len(found) or at == 0:
+                return
+            gap = text[spans[at - 1].end() : spans[first].start()]
+            if not {"or", "and"} & set(found[at:first]) and gap.strip() not in ("/", "|"):
+                return
+            if re.search(r"[.!?;:]\s|\n\s*\n", gap):
+                return
+            n = next((n for n in range(self.longest_name, 0, -1) if tuple(found[first : first + n]) in self.names), 0)
+            if not n:
+                return
+            yield self.names[tuple(found[first : first + n])], first, n
+            at = first + n
 
     def scan(self, text: str | None) -> list[dict]:
-        """Notices of a whole text: licence, place, words and differences; a sentence within a notice found before gives none of its own."""
-        out, done = [], -1
+        """Notices of a whole text: licence, place, words and differences; of those that overlap the longest, with the fewest differences."""
+        spans, found = self.spans(text or "")
+        place = {m.start(): i for i, m in enumerate(spans)}
+        all_ = []
         for begin, block in self.blocks(text):
-            if begin < done:
+            if notice := self.notice(block):
+                all_.append((place[begin], notice))
+                # words before a notice that lacks its first ones are none of it
+                ahead = next((n for n, w in enumerate(notice[2]) if w[0] == "-"), len(notice[2]))
+                if ahead and (closer := self.notice(self.block(text, spans, place[begin] + ahead))):
+                    all_.append((place[begin] + ahead, closer))
+        all_.sort(key=lambda x: (-x[1][1], len(x[1][2]), x[0]))
+        chosen: list[tuple[int, tuple]] = []
+        taken = bytearray(len(spans))
+        for i, notice in all_:
+            end = i + notice[1]
+            if any(taken[i:end]):
                 continue
-            found = self.notice(block)
-            # the wider block may hide a short notice among other words: rank its first sentence alone
-            first = SENTENCE.split(block.split("\n", 1)[0], maxsplit=1)[0]
-            alone = self.notice(first) if first != block else None
-            found = max((f for f in (found, alone) if f), key=lambda f: (f[1], -len(f[2])), default=None)
-            if found:
-                last = begin
-                for n, m in enumerate(WORDS.finditer(block)):
-                    if n == found[1]:
-                        break
-                    last = begin + m.end()
-                done = last
-                out.append({"license": found[0], "place": begin, "words": found[1], "differences": found[2]})
-        return out
+            taken[i:end] = b"\1" * (min(end, len(spans)) - i)
+            chosen.append((i, notice))
+            if notice[1] < SHORT:
+                for license_id, first, n in self.more_names(spans, found, text, end):
+                    if not any(taken[first : first + n]):
+                        taken[first : first + n] = b"\1" * n
+                        chosen.append((first, (license_id, n, [])))
+        return [{"license": x[0], "place": spans[i].start(), "words": x[1], "differences": x[2]} for i, x in sorted(chosen)]
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

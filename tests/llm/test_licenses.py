@@ -60,3 +60,37 @@ def test_query_as_brute_force(spark):
     got = queries.QUERIES["op10_license_scans"](spark, sf).collect()
     assert {r.doc_id: (r.n_notices, r.licenses) for r in got} == {k: (len(v), ",".join(sorted({x[0] for x in v}))) for k, v in want.items()}
     assert sum(r.n_notices for r in got) > 10
+
+
+def search(text):
+    """Every word place against every wording, without anchors or compression."""
+    found = licenses.words(text)
+    return {c[0] for i in range(len(found)) if (c := SCANNER.confirmed(found[i:], sorted(NAMES)))}
+
+
+@pytest.mark.parametrize("license_id", sorted(NAMES))
+def test_wordings_inside_sentences(license_id):
+    for wording in wordings(license_id):
+        text = f"Copyright (c) 2024 Some People and others who wrote the program in the years before and it is {wording} and so on as everybody who reads it knows well enough"
+        assert {n["license"] for n in SCANNER.scan(text)} == {license_id} == search(text), wording
+        assert [text[n["place"] :].startswith(wording[:5]) for n in SCANNER.scan(text)] == [True]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("This project is licensed under the MIT License", ["MIT"]),
+    ("Copyright (c) 2024 X, licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+    ("The code is released under the MIT License", ["MIT"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0", ["MIT", "BSD-3-Clause", "GPL-2.0"]),
+    ("dual licensed under the MIT License and the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("Licensed under MIT/Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("Licensed under the MIT License. And MIT is a school", ["MIT"]),
+])
+def test_notices_inside_sentences_and_dual_licences(text, want):
+    assert [n["license"] for n in SCANNER.scan(text)] == want
+
+
+def test_changed_notice_inside_a_sentence():
+    mit = licenses.TEXTS["MIT"][0].replace("Permission is hereby", "Permission hereby").replace(" merge,", "")
+    found = SCANNER.scan(f"We say that {mit} and so on")
+    assert [(n["license"], set(n["differences"])) for n in found] == [("MIT", {"-is", "-merge"})]
