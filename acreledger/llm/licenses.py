@@ -47,6 +47,21 @@ TEXTS = {
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+GNU = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+CREATIVE = "This work is licensed under the Creative Commons {} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+for _id, _kind, _version in (("AGPL-3.0", "Affero ", "3"), ("LGPL-3.0", "Lesser ", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("GPL-3.0", "", "3"), ("GPL-2.0", "", "2")):
+    TEXTS[_id] = [*TEXTS.get(_id, [GNU.format("program", _kind, _version)]), GNU.format("library", _kind, _version)]
+for _id, _kind in (("CC-BY-4.0", "Attribution"), ("CC-BY-NC-4.0", "Attribution-NonCommercial"), ("CC-BY-ND-4.0", "Attribution-NoDerivatives"), ("CC-BY-SA-4.0", "Attribution-ShareAlike")):
+    TEXTS[_id] = [CREATIVE.format(_kind, _id[3:-4].lower())]
+TEXTS["CC0-1.0"] = ["To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.", "has waived all copyright and related or neighboring rights to"]
+TEXTS["BSD-2-Clause"] = [BSD.format(*n) + AS_IS for n in (("1. ", "2. "), ("", ""))]
+TEXTS["BSD-3-Clause"] += [BSD.format(*n) + n[2] + TEXTS["BSD-3-Clause"][0] for n in (("1. ", "2. ", "3. "), ("", "", ""))]
+#: Words that tell licences apart; they may not differ from a wording.
+TELLING = frozenset("affero lesser library noncommercial noderivatives sharealike nc nd sa".split())
 CUES = ("licen", "copyright", "permission", "redistribut", "free software", "warrant", "spdx", "released under", "distributed under")
 
 #: Winners of the ranking reduce a block by this share of the best reduction, and by this least; words of a wording that may differ.
@@ -77,7 +92,7 @@ def differences(wording: list[str], block: list[str]) -> list[str] | None:
     """Words that a block, read from its start, lacks (-) or adds (+) against a wording; None if too many or telling ones.
 
     Short wordings, which hold little but a licence's name, must be there as they
-    are. A number or a word with a digit must never differ.
+    are. A number, a word with a digit or one that tells licences apart must never differ.
     """
     most = int(TOLERANCE * len(wording)) if len(wording) >= SHORT else 0
     if block[: len(wording)] == wording:
@@ -91,7 +106,7 @@ def differences(wording: list[str], block: list[str]) -> list[str] | None:
         if kind != "equal":
             tail = kind == "insert" and a == len(wording)  # what follows the notice
             out += [f"-{w}" for w in wording[a:b]] + ([] if tail else [f"+{w}" for w in part[c:d]])
-    if len(out) > 2 * most or any(ch.isdigit() for w in out for ch in w):
+    if len(out) > 2 * most or any(ch.isdigit() for w in out for ch in w) or not TELLING.isdisjoint(w[1:] for w in out):
         return None
     return out
 

@@ -94,3 +94,23 @@ def test_changed_notice_inside_a_sentence():
     mit = licenses.TEXTS["MIT"][0].replace("Permission is hereby", "Permission hereby").replace(" merge,", "")
     found = SCANNER.scan(f"We say that {mit} and so on")
     assert [(n["license"], set(n["differences"])) for n in found] == [("MIT", {"-is", "-merge"})]
+
+
+def test_every_licence_has_a_notice_text():
+    assert set(licenses.TEXTS) == set(NAMES)
+
+
+def test_headers_that_differ_in_a_word():
+    header = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for kind, version, want in (("Affero", "3", ["AGPL-3.0"]), ("Lesser", "3", ["LGPL-3.0"]), ("Lesser", "2.1", ["LGPL-2.1"]), ("Library", "2", []), ("Affero", "2", []), ("", "2", ["GPL-2.0"]), ("", "3", ["GPL-3.0"])):
+        for thing in ("program", "library"):
+            assert [n["license"] for n in SCANNER.scan(f"It says: {header.format(thing, kind, version)} You should")] == want, (kind, version, thing)
+    mixed = licenses.TEXTS["CC-BY-SA-4.0"][0].replace("ShareAlike", "NonCommercial-ShareAlike").replace("by-sa", "by-nc-sa")
+    assert SCANNER.scan(mixed) == []
+
+
+def test_bsd_texts():
+    two, three = licenses.TEXTS["BSD-2-Clause"][0], licenses.TEXTS["BSD-3-Clause"][1]
+    assert [n["license"] for n in SCANNER.scan(two.replace(" 2.", "\n   2."))] == ["BSD-2-Clause"]
+    assert [n["license"] for n in SCANNER.scan(three.replace("the copyright holder nor", "Foo Inc nor"))] == ["BSD-3-Clause"]
+    assert [n["license"] for n in SCANNER.scan("Permitted. " + two.split("THIS")[0] + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software.")] == []
