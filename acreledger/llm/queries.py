@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreledger.llm.common import table
+from acreledger.llm.mixing_sql import taken_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +152,84 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"))
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), positive AS (
+  SELECT anchor_id, id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+@register
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+ORACLES["op12_mixing"] = taken_sql()
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acreledger.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, words, array_to_string(w[i : i + words - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split), (SELECT unnest([1, 2, 3]) AS words) WHERE i + words - 1 <= len(w)
+), f AS (
+  SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10
+), total AS (
+  SELECT lang, count(*) AS n FROM grams WHERE words = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.words, c.phrase, c.f AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS front, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS rest
+  FROM f c, (SELECT unnest([1, 2]) AS k) WHERE k < c.words
+), scored AS (
+  SELECT c.lang, c.words, c.phrase, c.a, c.k, l.f AS l, r.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.front AND l.words = c.k JOIN f r ON r.lang = c.lang AND r.phrase = c.rest AND r.words = c.words - c.k
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[1 + o : 2 + o], ' ') AS phrase, max(f) AS longer FROM f, (SELECT unnest([0, 1]) AS o) WHERE words = 3 GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, s.score
+  FROM lowest s LEFT JOIN inside i ON s.words = 2 AND i.lang = s.lang AND i.phrase = s.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
