@@ -38,19 +38,23 @@ def wide(x: str, salt: int, below: str) -> str:
     return f"(({hashed(x, f'{salt}L')}) * 2147483648L + {hashed(x, f'{salt + 7}L')}) % {below}"
 
 
-def permuted(x: str, size: str, key: str) -> str:
-    """SQL of the place of x in a pseudorandom permutation of 0 to size - 1, one for each key below PRIME.
+def permuted(rows: DataFrame, x: str, size: str, key: str) -> DataFrame:
+    """Replace column x, 0 to size - 1, by its place in a pseudorandom permutation, one for each key below PRIME.
 
     Swap or not: in each round x and its partner (a round number less x, modulo
     size) change places or not, as a bit of the larger one's hash says. Partners
-    are mutual, so every round is a permutation whatever the size.
+    are mutual, so every round is a permutation whatever the size. A round is three
+    projections, which Spark leaves apart, so that each value is computed once, in generated code.
     """
-    partner = f"pmod(({key} * 31L + r * r * {CONSTANT}L) % {PRIME}L * 2147483648L + ({key} + r * {FACTOR}L) % {PRIME}L - x, {size})"
-    # an array of one element names a value, so that it is computed once
-    y = f"(greatest(x, p) % {PRIME}L + greatest(x, p) div {PRIME}L * 31L + {key} + r * 7919L) % {PRIME}L"
-    bit = f"transform(array({y}), y -> (y * y % {PRIME}L * y + {FACTOR}L * y) % {PRIME}L div 65536L % 2L)[0]"
-    step = f"transform(array({partner}), p -> if({bit} = 1L, p, x))[0]"
-    return f"aggregate(sequence(1L, {ROUNDS}L), {x}, (x, r) -> {step})"
+    others = [c for c in rows.columns if c != x]
+    for r in range(1, ROUNDS + 1):
+        turn = f"({key} * 31L + {r * r * CONSTANT}L) % {PRIME}L * 2147483648L + ({key} + {r * FACTOR}L) % {PRIME}L"
+        rows = rows.selectExpr(*others, x, f"pmod({turn} - {x}, {size}) AS partner_")
+        y = f"(greatest({x}, partner_) % {PRIME}L + greatest({x}, partner_) div {PRIME}L * 31L + {key} + {r * 7919}L) % {PRIME}L"
+        rows = rows.selectExpr(*others, x, "partner_", f"{y} AS y_")
+        bit = f"(y_ * y_ % {PRIME}L * y_ + {FACTOR}L * y_) % {PRIME}L div 65536L % 2L"
+        rows = rows.selectExpr(*others, f"if({bit} = 1L, partner_, {x}) AS {x}")
+    return rows
 
 
 def located(points: DataFrame, value: str, intervals: DataFrame, low: str, high: str, total: int, how: str) -> DataFrame:
@@ -150,8 +154,10 @@ def draw_slots(sources: DataFrame, seed: int) -> DataFrame:
     moved = located(numbered, "over", takers, "lack_from", "lack_to", over, "left")
     moved = moved.select("id", "shard", F.coalesce("taker", "place").alias("place"), F.coalesce(F.expr("has + over - lack_from"), F.col("j")).alias("j"))
     moved = moved.join(totals.select("place", "blocks"), "place").withColumn("pass", F.expr("j div blocks"))
-    moved = moved.withColumn("key", F.expr(hashed(f"place * {PASSES + 1}L + pass", f"{seed + 99}L"))).withColumn("nth", F.expr("j % blocks"))
-    return moved.select("shard", F.expr(f"id % {shard_slots}L").alias("slot"), "place", F.col("pass").cast("int").alias("pass"), F.expr(permuted("nth", "blocks", "key")).alias("block"))
+    moved = moved.withColumn("key", F.expr(hashed(f"place * {PASSES + 1}L + pass", f"{seed + 99}L"))).withColumn("block", F.expr("j % blocks"))
+    placed = permuted(moved.select("id", "shard", "place", "pass", "blocks", "key", "block"), "block", "blocks", "key")
+    # written, since a filter that a join puts on the block would be pushed through the rounds, doubling at each
+    return staged(placed.select("shard", F.expr(f"id % {shard_slots}L").alias("slot"), "place", F.col("pass").cast("int").alias("pass"), "block"), "slots")
 
 
 def pieces(laid: DataFrame, block: int) -> DataFrame:
