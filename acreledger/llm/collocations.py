@@ -9,19 +9,22 @@ holds the words, and the largest entries that a phrase is the beginning or the
 end of say whether a longer phrase subsumes it.
 
 No stripe is gathered whole: the empty prefix and prefixes that are frequent in a
-sample are cut into parts by a hash of the next word, and a part travels as rows
-that the merge sums up. The sample decides nothing but the number of parts.
+sample are cut into parts by a hash of the next word, and parts travel in bundles
+by bucket. The sample decides nothing but the numbers of parts and buckets.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +34,14 @@ from acreledger.sources.storage import staged
 #: Letters A-Z in lower case; every sign that ends a piece becomes a full stop, which no word holds.
 SIGNS = bytes.maketrans(bytes(range(65, 91)) + b",;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b"." * 9)
 #: Word positions after which a task hands on its stripes; rows of an output batch; bytes that are split at once.
-POSITIONS, ROWS, SLICE = 4_000_000, 50_000, 1 << 20
+POSITIONS, ROWS, SLICE = 4_000_000, 1000, 1 << 20
+#: Entries of a bucket, about; buckets of the sample and at least; an odd factor for hashing.
+BUCKET, SAMPLE_BUCKETS, FACTOR = 400_000, 16, 0x9E3779B97F4A7C15
 #: Parts of the empty prefix; documents of the sample; a prefix above 1/HOT of the sample's entries is cut.
 PARTS, SAMPLE_ROWS, HOT = 4096, 2000, 1024
 GAP, STOP = re.compile(rb"[ \t.]"), pa.array([b"."], pa.binary())
-STRIPES = "lang string, prefix string, part int, next array<string>, n array<long>"
+STRIPES = "lang string, prefix string, total long, size long, next array<string>, n array<long>"
+ZSTD, UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def split(text: str) -> Iterator[pa.Array]:
@@ -74,45 +80,94 @@ def counted(ids: np.ndarray, own: int, size: int, words: int) -> Iterator[tuple[
         made = [*made, (pairs // size, pairs % size)]
 
 
-def tables(lang: str, found: list[pa.Array], own: int, words: int, parts: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """The stripes of words, as split() gives them, as rows of STRIPES; ``parts``: the number of parts of hot prefixes."""
+def bundles(lang: str, found: list[pa.Array], own: int, words: int, parts: dict[str, int], buckets: int) -> Iterator[tuple[str, int, bytes]]:
+    """(lang, bucket, bundle): the stripes of words, as split() gives them, bundled by a hash of prefix and part.
+
+    ``parts``: the number of parts of hot prefixes.
+    """
     coded = pa.concat_arrays([STOP, *found]).dictionary_encode()  # so that the stop is number 0
     ids, names = coded.indices.to_numpy()[1:], coded.dictionary.to_pylist()
-    text = pa.concat_arrays([pa.array([None], pa.binary()), coded.dictionary[1:]])
+    text = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary[1:]])
+    crc = np.array([zlib.crc32(w) for w in names], np.uint64)
     for length, (made, prefix, following, n) in enumerate(counted(ids, own, len(names), words)):
         if not len(prefix):
             continue
-        spelled = text
+        spelled, code = text, crc
         for left, right in made:
             spelled = pc.binary_join_element_wise(spelled.take(pa.array(left)), text.take(pa.array(right)), b" ")
+            code = code[left] * np.uint64(FACTOR) + crc[right]
+        if length == 0:
+            spelled, code = pa.array([b""], pa.binary()), np.zeros(1, np.uint64)
         part = np.zeros(len(prefix), np.int64)
         starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
         ends = np.r_[starts[1:], len(prefix)]
         if length == 0:
             cut = [(0, len(prefix), PARTS)]
         else:
-            hot = pc.index_in(spelled.take(pa.array(prefix[starts])), value_set=pa.array([k.encode() for k in parts], pa.binary())).to_numpy(zero_copy_only=False)
+            hot = pc.index_in(spelled.take(pa.array(prefix[starts])), value_set=pa.array([k.encode() for k in parts], pa.binary())).to_numpy(zero_copy_only=False).astype(float)
             many = list(parts.values())
-            cut = [(starts[i], ends[i], many[int(hot[i])]) for i in np.flatnonzero(~np.isnan(hot.astype(float)))]
+            cut = [(starts[i], ends[i], many[int(hot[i])]) for i in np.flatnonzero(~np.isnan(hot))]
         for a, b, p in cut:
-            part[a:b] = [zlib.crc32(names[w]) % p if w else 0 for w in following[a:b].tolist()]
+            part[a:b] = (crc[following[a:b]] % np.uint64(p)).astype(np.int64)
             order = a + np.argsort(part[a:b], kind="stable")
             part[a:b], following[a:b], n[a:b] = part[order], following[order], n[order]
         starts = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
-        ends = np.r_[starts[1:], len(prefix)]
-        for i in range(0, len(starts), ROWS):
-            a, b = starts[i], ends[min(i + ROWS, len(starts)) - 1]
-            rows = starts[i : i + ROWS]
-            cuts = pa.array(np.r_[rows, b] - a, pa.int32())
-            key = pa.array([""] * len(rows)) if length == 0 else spelled.take(pa.array(prefix[rows])).cast(pa.string())
-            lists = [pa.ListArray.from_arrays(cuts, x) for x in (text.take(pa.array(following[a:b])).cast(pa.string()), pa.array(n[a:b], pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), key, pa.array(part[rows], pa.int32()), *lists], names=["lang", "prefix", "part", "next", "n"])
+        size = np.diff(np.r_[starts, len(prefix)])
+        mixed = (code[prefix[starts]] + part[starts].astype(np.uint64) * np.uint64(FACTOR)) * np.uint64(FACTOR)
+        bucket = ((mixed >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        starts, size, bucket = starts[order], size[order], bucket[order]
+        entry = np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(len(prefix))
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        rows = np.r_[first, len(starts)]
+        entries = np.r_[0, np.cumsum(size)][rows]
+        joined = [pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values), b"\n") for cuts, values in ((rows, spelled.take(pa.array(prefix[starts]))), (entries, text.take(pa.array(following[entry]))))]
+        n = n[entry].astype(np.int64)
+        for i, at in enumerate(first):
+            columns = joined[0][i].as_py(), joined[1][i].as_py(), size[rows[i] : rows[i + 1]].astype(np.int64).tobytes(), n[entries[i] : entries[i + 1]].tobytes()
+            yield lang, int(bucket[at]), ZSTD.compress(struct.pack("<4q", *map(len, columns)) + b"".join(columns))
+
+
+def opened(bundle: bytes) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Prefixes, next words, entries of each prefix, counts."""
+    data, at, columns = UNZSTD.decompress(bundle), 32, []
+    for size in struct.unpack("<4q", data[:32]):
+        columns.append(data[at : at + size])
+        at += size
+    names = [pa.array(c.split(b"\n"), pa.binary()) for c in columns[:2]]
+    return *names, np.frombuffer(columns[2], np.int64), np.frombuffer(columns[3], np.int64)
+
+
+def added(bundled: list[bytes], least: int, kept: dict[str, int]) -> tuple[pa.Array, ...]:
+    """Stripes of one bucket added element by element: prefix, total, size (its different next words), and the next words
+    and counts of at least ``least``. Only the empty prefix, those that are ``kept`` and those of ``least`` in all stay."""
+    prefixes, following, sizes, counts = (list(x) for x in zip(*map(opened, bundled), strict=True))
+    left, right = pa.concat_arrays(prefixes).dictionary_encode(), pa.concat_arrays(following).dictionary_encode()
+    width, codes = len(right.dictionary), np.repeat(left.indices.to_numpy().astype(np.int64), np.concatenate(sizes))
+    pairs, where = np.unique(codes * width + right.indices.to_numpy(), return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, where, np.concatenate(counts))
+    prefix, nxt = pairs // width, pairs % width
+    starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+    size, total = np.diff(np.r_[starts, len(prefix)]), np.add.reduceat(n, starts)
+    names = left.dictionary.take(pa.array(prefix[starts]))
+    end = right.dictionary.index(b"").as_py()  # the end of a piece is no word
+    stays = (total >= least) | pc.is_in(names, value_set=pa.array([b"", *(k.encode() for k in kept)], pa.binary())).to_numpy(zero_copy_only=False)
+    large = (n >= least) & (nxt != end) & np.repeat(stays, size)
+    per = np.add.reduceat(large.astype(np.int64), starts)[stays]
+    offsets = pa.array(np.r_[0, np.cumsum(per)], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (right.dictionary.take(pa.array(nxt[large])).cast(pa.string()), pa.array(n[large]))]
+    return names.filter(pa.array(stays)).cast(pa.string()), pa.array(total[stays]), pa.array(size[stays]), *lists
 
 
-def stripes(texts: DataFrame, words: int, parts: dict[str, dict[str, int]]) -> DataFrame:
-    """STRIPES of (lang, text) rows, combined within a task up to POSITIONS words."""
+def merged(texts: DataFrame, words: int, parts: dict[str, dict[str, int]], buckets: int, least: int) -> DataFrame:
+    """Rows of STRIPES, a row for each prefix, for each part of one that is cut; from (lang, text) rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks combine up to POSITIONS words and hand on a compressed bundle for each
+    bucket that these reach; one shuffle of bundles by bucket; a task adds up bucket after bucket.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held: dict[str, list[pa.Array]] = {}
         size = 0
@@ -121,7 +176,9 @@ def stripes(texts: DataFrame, words: int, parts: dict[str, dict[str, int]]) -> D
             for lang, found in sorted(held.items()):
                 n = sum(map(len, found))
                 own = n if last else max(0, n - words + 1)
-                yield from tables(lang, found, own, words, parts.get(lang, {}))
+                rows = bundles(lang, found, own, words, parts.get(lang, {}), buckets)
+                while some := list(islice(rows, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "bucket", "bundle"])
                 held[lang] = [pa.concat_arrays(found)[own:].take(pa.array(range(n - own), pa.int64()))]  # a text may go on
 
         for batch in batches:
@@ -134,34 +191,32 @@ def stripes(texts: DataFrame, words: int, parts: dict[str, dict[str, int]]) -> D
                         size = 0
         yield from hand_on(True)
 
-    return texts.mapInArrow(run, STRIPES)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        rows = ((k, b) for batch in batches for *k, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (lang, _), group in groupby(rows, key=lambda r: r[0]):
+            columns = added([b for _, b in group], least, parts.get(lang, {}))
+            for i in range(0, len(columns[0]), ROWS):
+                some = [c[i : i + ROWS] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some[0]), pa.string()), *some], names=["lang", "prefix", "total", "size", "next", "n"])
+
+    dealt = texts.mapInArrow(build, "lang string, bucket int, bundle binary").repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return dealt.mapInArrow(add_up, STRIPES)
 
 
-def hot_prefixes(texts: DataFrame, words: int) -> dict[str, dict[str, int]]:
-    """Parts of the prefixes that hold more than 1/HOT of the stripe entries of a sample of documents; fewer than HOT of them."""
+def plan(texts: DataFrame, words: int) -> tuple[dict[str, dict[str, int]], int]:
+    """Parts of the prefixes that hold more than 1/HOT of the stripe entries of a sample of documents (fewer than HOT of
+    them), and the number of buckets. The result doesn't depend on either."""
     rows = texts.count()
     if not rows:
-        return {}
-    sizes = stripes(texts.sample(min(1.0, SAMPLE_ROWS / rows), seed=1), words, {}).filter("prefix <> ''").groupBy("lang", "prefix").agg(F.sum(F.size("next")).alias("size"))
-    sizes = sizes.checkpoint()
+        return {}, 1
+    share = min(1.0, SAMPLE_ROWS / rows)
+    sizes = merged(texts.sample(share, seed=1), words, {}, SAMPLE_BUCKETS, 1).groupBy("lang", "prefix").agg(F.sum("size").alias("size")).checkpoint()
     total = sizes.agg(F.sum("size")).first()[0] or 0
     found: dict[str, dict[str, int]] = {}
-    for r in sizes.filter(F.col("size") * HOT > F.lit(total)).collect():
+    for r in sizes.filter((F.col("prefix") != "") & (F.col("size") * HOT > F.lit(total))).collect():
         found.setdefault(r["lang"], {})[r["prefix"]] = -(-2 * r["size"] * HOT // total)
-    return found
-
-
-def merged(rows: DataFrame, least: int) -> DataFrame:
-    """Stripes of one (lang, prefix, part) added element by element: total, and the entries of at least ``least``.
-
-    One shuffle by the prefix; both aggregates run on its partitions. Prefixes
-    below ``least`` are left out, but not parts of a prefix, whose totals are summed up later.
-    """
-    entry = F.explode(F.arrays_zip("next", "n")).alias("e")
-    entries = rows.repartition("lang", "prefix", "part").select("lang", "prefix", "part", entry).select("lang", "prefix", "part", "e.next", "e.n")
-    sums = entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
-    large = F.when(F.col("next").isNotNull() & (F.col("n") >= least), F.struct("next", "n"))
-    return sums.groupBy("lang", "prefix", "part").agg(F.sum("n").alias("total"), F.collect_list(large).alias("entries"))
+    return found, max(SAMPLE_BUCKETS, int(total / share) // BUCKET)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = 3, least: int = 10) -> DataFrame:
@@ -169,16 +224,12 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", words
     all words occur in the row of the empty phrase (0 words)."""
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(quoted(lang)).cast("string"), F.lit("und")).alias("lang"), F.col(quoted(text)).alias("text")).filter("text IS NOT NULL")
-    parts = hot_prefixes(texts, words)
-    cut = docs.sparkSession.createDataFrame([(g, p) for g, of in parts.items() for p in of], "lang string, prefix string")
-    whole = merged(stripes(texts, words, parts), least)
-    # a part of a hot prefix may be small where the prefix is not
-    held = whole.join(F.broadcast(cut.withColumn("cut", F.lit(True))), ["lang", "prefix"], "left").filter(F.col("cut") | (F.col("prefix") == "") | (F.col("total") >= least))
-    held = staged(held.select("lang", "prefix", "total", "entries"), "stripes")
+    parts, buckets = plan(texts, words)
+    held = staged(merged(texts, words, parts, buckets, least), "stripes")
     size = F.when(F.col("prefix") == "", 0).otherwise(F.size(F.split("prefix", " ")))
     totals = held.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).filter((F.col("prefix") == "") | (F.col("f") >= least))
     totals = totals.select("lang", F.col("prefix").alias("phrase"), size.alias("words"), "f").filter("words <> 1")
-    longer = held.withColumn("words", size + 1).filter(F.col("words").isin(1, words)).select("lang", "prefix", "words", F.explode("entries").alias("e"))
+    longer = held.withColumn("words", size + 1).filter(F.col("words").isin(1, words)).select("lang", "prefix", "words", F.explode(F.arrays_zip("next", "n")).alias("e"))
     longer = longer.select("lang", F.when(F.col("words") == 1, F.col("e.next")).otherwise(F.concat_ws(" ", "prefix", "e.next")).alias("phrase"), "words", F.col("e.n").alias("f"))
     return staged(totals.unionAll(longer), "phrases")
 
