@@ -63,8 +63,8 @@ def test_hot_prefix_is_cut_and_counts_stay_whole(spark, monkeypatch):
     monkeypatch.setattr(module, "POSITIONS", 1000)
     rng = random.Random(5)
     rows = [(" ".join(f"of the w{rng.randint(0, 60)}" for _ in range(50)), "en") for _ in range(100)] + [("z z z z z z z " * 20, "en")] * 30
-    hot = module.hot_prefixes(frame(spark, rows).select("lang", "text"), 3)
-    assert hot["en"]["of the"] > 1
+    parts, buckets = module.plan(frame(spark, rows).select("lang", "text"), 3)
+    assert parts["en"]["of the"] > 1 and buckets >= module.SAMPLE_BUCKETS
     assert sorted(map(tuple, collocations(frame(spark, rows)).collect())) == brute(rows)
     got = {(r.lang, r.phrase): r.f for r in phrase_counts(frame(spark, rows)).filter("words > 0").collect()}
     assert got == {("en", " ".join(p)): c for p, c in counts_of(rows, 3)["en"].items() if c >= 10}
