@@ -1,4 +1,4 @@
-"""Streaming jobs: bronze ingest, silver conform, triggered updates and incremental rollups."""
+"""Streaming jobs: bronze ingest, silver conform, triggered updates and latency windows."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from acreledger.functions.money import cents, from_cents
-from acreledger.functions.scalars import month_date
-from acreledger.operators.aggregates import dedupe
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, partition_by: list[str] | None = None) -> StreamingQuery:
@@ -51,63 +48,12 @@ def dedupe_within(stream: DataFrame, key: str, event_time: str, delay: str = "7
     return ts.dropDuplicatesWithinWatermark([key]).drop("__event_ts")
 
 
-PARTITION = ["arena_id", "month"]
-# Fixed value: versions of the summary between two full ones.
-COMPACT_EVERY = 16
-
-
-def gl_monthly_stream(stream: DataFrame, path: str, checkpoint: str, summarise: Callable[[DataFrame], DataFrame], trigger: dict | None = None) -> StreamingQuery:
-    """Incremental ledger summary over deduplicated rows.
-
-    Each batch lands its rows under its own batch id (replaced on a retry), then
-    recomputes the (tenant, month) partitions that it touches: its own, and those
-    of earlier copies of its transactions, which may lose a row to it. Their new
-    content is written as a version of the summary, with a row without a fund for
-    a partition that ends up empty; readers take each partition's last version.
-    Every COMPACT_EVERY batches the version holds all partitions and older ones
-    are removed. ``summarise`` gets the kept rows with their partition columns.
-    """
-    rows, summary = f"{path}/rows", f"{path}/summary"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("month", month_date(F.col("transaction_date"))).write.mode("overwrite").parquet(f"{rows}/batch_id={batch_id}")
-        known = spark.read.option("basePath", rows).parquet(rows).where(F.col("batch_id") <= batch_id)
-        if batch_id == 0 or batch_id % COMPACT_EVERY == 0:
-            touched, copies = known.select(*PARTITION).distinct(), known
-        else:
-            new = known.where(F.col("batch_id") == batch_id).select("transaction_id").distinct()
-            touched = known.join(new, "transaction_id", "left_semi").select(*PARTITION).distinct()
-            copies = known.join(known.join(touched, PARTITION, "left_semi").select("transaction_id").distinct(), "transaction_id", "left_semi")
-        kept = dedupe(copies.drop("batch_id"), "transaction_id", ["transaction_date", "amount"])
-        done = summarise(kept.join(touched, PARTITION, "left_semi"))
-        touched.join(done, PARTITION, "left").write.mode("overwrite").parquet(f"{summary}/batch_id={batch_id}")
-        if batch_id and batch_id % COMPACT_EVERY == 0:
-            remove(spark, [f"{summary}/batch_id={n}" for n in range(max(0, batch_id - COMPACT_EVERY), batch_id)])
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def gl_monthly_totals(rows: DataFrame) -> DataFrame:
-    """Ledger summary of kept rows at (tenant, month, fund, category)."""
-    total, n = F.sum(cents("amount")), F.count("amount")
-    return rows.groupBy(*PARTITION, "fund_id", "category").agg(
-        from_cents(total).alias("total_amount"), F.count("transaction_id").alias("transaction_count"),
-        (total.cast("double") / n.cast("double") / F.lit(100.0)).alias("avg_transaction_amount"))
-
-
-def gl_monthly_read(summary: DataFrame) -> DataFrame:
-    """The last version of each partition, without the marks of empty ones."""
-    last = summary.groupBy(*PARTITION).agg(F.max("batch_id").alias("batch_id"))
-    return summary.join(last, [*PARTITION, "batch_id"], "left_semi").drop("batch_id").where("transaction_count IS NOT NULL")
-
-
 def latency_windows(stream: DataFrame, event_time: str, width: str = "30 seconds", delay: str = "1 minute", keys: list[str] | None = None) -> DataFrame:
     """Tumbling latency windows on a stream: volume, errors, worst and approximate percentiles.
 

@@ -13,6 +13,7 @@ from acreledger.plans.lakehouse import CLUSTERING
 from acreledger.plans.medallion import run_update
 from acreledger.sources import readers, writers
 from acreledger.sources.storage import shared_dir
+from acreledger.streaming import ledger
 from acreledger.streaming import pipeline as st
 from acreledger.testbed.binding import BINDINGS
 from acreledger.testbed.q_core import month_as_date
@@ -262,8 +263,8 @@ query("st_dedupe", "SELECT DISTINCT transaction_id FROM gl_raw")(
 @query("st_gl_monthly", "SELECT * FROM gold_gl")
 def _(x):
     path = fresh(x, "glmonthly")
-    st.gl_monthly_stream(silver.gl_conform(StreamTables(x, "lineitem").gl_raw), path, f"{path}/checkpoint", st.gl_monthly_totals).awaitTermination()
-    found = st.gl_monthly_read(x.spark.read.parquet(f"{path}/summary"))
+    ledger.gl_monthly_stream(silver.gl_conform(StreamTables(x, "lineitem").gl_raw), path, f"{path}/checkpoint").awaitTermination()
+    found = ledger.gl_monthly_read(x.spark, path)
     return month_as_date(found.join(x.t.funds.select("fund_id", "fund_name"), "fund_id", "left")).select(
         "arena_id", "fund_id", "fund_name", "category", "month", "total_amount", "transaction_count", "avg_transaction_amount")
 

@@ -142,26 +142,6 @@ def test_stream_equals_batch_for_silver(spark, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(silver.investors(df)) == [("i1", "a1", "hnwi", 5.5), ("i2", "a1", "pension", None)]
 
 
-@pytest.mark.parametrize("compact_every", [2, 16])
-def test_incremental_ledger_equals_batch(spark, tmp_path, rows, monkeypatch, compact_every):
-    """After each batch the summary equals that of all deduplicated rows, also where a later copy moves a transaction to another month."""
-    monkeypatch.setattr(st, "COMPACT_EVERY", compact_every)
-    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
-    for drop in range(3):
-        batch = spark.createDataFrame(gl_rows(20, drop * 15), GL)
-        if drop:
-            batch = batch.withColumn("transaction_date", F.add_months("transaction_date", -drop))
-        batch.write.mode("append").parquet(src)
-        st.gl_monthly_stream(spark.readStream.schema(GL).parquet(src), out, chk, st.gl_monthly_totals).awaitTermination()
-        got = st.gl_monthly_read(spark.read.parquet(f"{out}/summary"))
-        kept = dedupe(spark.read.parquet(src), "transaction_id", ["transaction_date", "amount"]).withColumn("month", F.trunc("transaction_date", "month"))
-        want = st.gl_monthly_totals(kept)
-        assert rows(got.select(*want.columns)) == rows(want)
-    assert got.agg(F.sum("transaction_count")).first()[0] == 50
-    versions = sorted(p.name for p in (tmp_path / "out" / "summary").iterdir())
-    assert versions == (["batch_id=2"] if compact_every == 2 else ["batch_id=0", "batch_id=1", "batch_id=2"])
-
-
 def test_stream_dedupe_boundary(spark, tmp_path):
     """A copy inside the delay is dropped; one that comes after the watermark passed is seen as new."""
     src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
