@@ -39,13 +39,36 @@ def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], desce
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+# Fixed value: buckets of key hashes that a filter of repeated keys tells apart (at most so many rows are broadcast).
+REPEATED_BUCKETS = 1 << 20
+
+
+def repeated_buckets(df: DataFrame, key: str) -> DataFrame:
+    """Hash buckets that hold a key with several rows; at most REPEATED_BUCKETS rows.
+
+    Only key hashes are counted and shuffled, combined on the map side.
+    """
+    keys = df.groupBy(F.xxhash64(key).alias("__h")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return keys.select(F.pmod("__h", F.lit(REPEATED_BUCKETS)).alias("__bucket")).distinct()
+
+
 def dedupe(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order``, then by every other column.
 
+    Keys are counted first. Rows outside the buckets of repeated keys pass as they
+    are, without a sort or shuffle; only the others are ranked. A bucket may hold
+    keys that stand alone too, which ranking leaves alone: the more keys repeat,
+    the more rows are ranked, up to all. ``df`` is read three times, for the key
+    alone the first time; write it first if it is costly to make.
+
     Spark plans row_number() = 1 as a group limit before the shuffle: a map task
     passes on at most one row per key, so copies of a hot key never meet in one task.
     """
-    return _one_per_key(df, [key], order, descending=False)
+    buckets = F.broadcast(repeated_buckets(df, key))
+    tagged = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(REPEATED_BUCKETS)))
+    alone = tagged.join(buckets, "__bucket", "left_anti").drop("__bucket")
+    ranked = _one_per_key(tagged.join(buckets, "__bucket", "left_semi").drop("__bucket"), [key], order, descending=False)
+    return alone.unionAll(ranked)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
