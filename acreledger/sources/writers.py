@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acreledger.sources.versioned import Versioned
+
 
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -61,9 +63,11 @@ def replace_by_key(df: DataFrame, path: str, key: str) -> None:
     df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def publish_full(df: DataFrame, columns: dict[str, str], path: str) -> None:
-    """Replace a serving copy with a declared column list and types."""
-    df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()]).write.mode("overwrite").parquet(path)
+def publish_full(df: DataFrame, columns: dict[str, str], path: str) -> Versioned:
+    """Publish a serving copy with a declared column list and types as the next version; readers have the last one until it is complete."""
+    table = Versioned(df.sparkSession, path)
+    table.replace(df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()]))
+    return table
 
 
 def publish_jdbc(df: DataFrame, columns: dict[str, str], url: str, table: str, batch_size: int = 10_000, **options) -> None:

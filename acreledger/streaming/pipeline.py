@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-
 def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, partition_by: list[str] | None = None) -> StreamingQuery:
     """Append a stream to Parquet files.  Default trigger: everything available now, then stop."""
     writer = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
@@ -38,14 +37,21 @@ def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path:
     append_to(transform(stream), path, checkpoint).awaitTermination()
 
 
-def dedupe_within(stream: DataFrame, key: str, event_time: str, delay: str = "7 days") -> DataFrame:
-    """First arrival per key; state is dropped ``delay`` behind the newest event.
+def dedupe_within(stream: DataFrame, key: str, event_time: str, order: list[str], delay: str = "7 days") -> DataFrame:
+    """The first copy of each key by ``order``, then by every other column, among copies that follow within ``delay``.
 
-    A copy that arrives later than the delay passes again, so the batch dedupe
-    of silver stays the authority.
+    Copies of a key form a session: one that comes at most ``delay`` after another, in
+    event time, belongs to it. The session's row is state until the watermark,
+    ``delay`` behind the newest event, has passed the session's end; then it goes
+    out whole and the state is dropped. A copy behind the watermark is ignored, one
+    that begins a new session passes again, so the batch dedupe of silver stays the
+    authority. Rows without an event time pass as they are.
     """
-    ts = stream.withColumn("__event_ts", F.col(event_time).cast("timestamp")).withWatermark("__event_ts", delay)
-    return ts.dropDuplicatesWithinWatermark([key]).drop("__event_ts")
+    first = [*order, *[c for c in stream.columns if c not in order and c != key]]
+    timed = stream.withColumn("__event_ts", F.col(event_time).cast("timestamp")).withWatermark("__event_ts", delay)
+    sessions = timed.where("__event_ts IS NOT NULL").groupBy(F.session_window("__event_ts", delay), key).agg(F.min(F.struct(*first)).alias("__first"))
+    kept = sessions.select(key, "__first.*").select(*stream.columns)
+    return kept.unionByName(stream.where(F.col(event_time).isNull()))
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -54,20 +60,44 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+# Fixed value: size of a latency sketch; its rank error is below 1.4 % with 99 % confidence, none up to so many rows.
+SKETCH_K = 200
+QUANTILES = {"p50_approx_ms": 0.5, "p95_approx_ms": 0.95}
+
+
+def sketch_quantiles(sketch: str) -> list[Column]:
+    return [F.expr(f"kll_sketch_get_quantile_double({sketch}, {p}D)").alias(n) for n, p in QUANTILES.items()]
+
+
 def latency_windows(stream: DataFrame, event_time: str, width: str = "30 seconds", delay: str = "1 minute", keys: list[str] | None = None) -> DataFrame:
-    """Tumbling latency windows on a stream: volume, errors, worst and approximate percentiles.
+    """Tumbling latency windows on a stream: volume, errors, worst, approximate percentiles and their sketch.
 
-    Percentiles are sketched here: state stays bounded per window.  The batch
-    time series gives the exact ones.
+    The sketch of a window has a bounded size and stays a column, so windows can be
+    added up later (``rollup_windows``). In append mode a window goes out, and
+    leaves the state, when events pass its end plus the delay. A percentile is the
+    least value whose rank reaches the share, within the sketch's rank error; the
+    batch time series gives exact ones.
     """
     ok = F.when(F.col("success"), F.col("total_latency_ms"))
-    sketch = F.percentile_approx(ok, F.array(F.lit(0.5), F.lit(0.95)), F.lit(10_000))
+    sketch = F.expr(f"kll_sketch_agg_double(CASE WHEN success THEN CAST(total_latency_ms AS DOUBLE) END, {SKETCH_K})")
     rows = stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width), *(keys or [])).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("success")).alias("successful"), F.max(ok).alias("max_ms"), sketch.alias("__p"))
-    return rows.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(keys or []), "total", "successful",
-        (F.col("total") - F.col("successful")).alias("error_count"), "max_ms",
-        F.col("__p")[0].alias("p50_approx_ms"), F.col("__p")[1].alias("p95_approx_ms"))
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("success")).alias("successful"), F.max(ok).alias("max_ms"), sketch.alias("sketch"))
+    rows = rows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(keys or []), "total", "successful", "max_ms", "sketch")
+    return _with_percentiles(rows, keys or [])
+
+
+def _with_percentiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    found = [F.when(F.col("max_ms").isNotNull(), q).alias(n) for q, n in zip(sketch_quantiles("sketch"), QUANTILES, strict=True)]
+    return rows.select("window_start", "window_end", *keys, "total", "successful", (F.col("total") - F.col("successful")).alias("error_count"), "max_ms", *found, "sketch")
+
+
+def rollup_windows(windows: DataFrame, width: str, keys: list[str] | None = None) -> DataFrame:
+    """Longer windows from written ones, sketches merged: no event is read again."""
+    keys = keys or []
+    rows = windows.groupBy(F.window("window_start", width), *keys).agg(
+        F.sum("total").alias("total"), F.sum("successful").alias("successful"), F.max("max_ms").alias("max_ms"), F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
+    rows = rows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "total", "successful", "max_ms", "sketch")
+    return _with_percentiles(rows, keys)
 
 
 def triggered_update(bronze: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]], out: str, checkpoint: str) -> dict[str, str]:

@@ -142,15 +142,25 @@ def test_stream_equals_batch_for_silver(spark, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(silver.investors(df)) == [("i1", "a1", "hnwi", 5.5), ("i2", "a1", "pension", None)]
 
 
-def test_stream_dedupe_boundary(spark, tmp_path):
-    """A copy inside the delay is dropped; one that comes after the watermark passed is seen as new."""
+def test_stream_dedupe_keeps_the_first_row_of_a_session(spark, tmp_path):
+    """Copies inside the delay give one whole row, the first by date and amount, wherever it arrives; later ones pass again or are ignored."""
     src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
-    shape = "transaction_id string, transaction_date date"
-    drops = [[("t1", D(2024, 1, 1))], [("t1", D(2024, 1, 3)), ("t2", D(2024, 1, 3))], [("t3", D(2024, 3, 1))], [("t4", D(2024, 3, 2))], [("t1", D(2024, 3, 3))]]
+    shape = "transaction_id string, transaction_date date, amount double, note string"
+    drops = [[("t1", D(2024, 1, 3), 5.0, "second day"), ("n", None, 1.0, "no date")],
+             [("t1", D(2024, 1, 1), 9.0, "earlier day"), ("t1", D(2024, 1, 1), 4.0, "least amount"), ("t1", D(2024, 1, 1), 4.0, "least note"), ("t2", D(2024, 1, 8), 1.0, "b")],
+             [("t1", D(2024, 1, 10), 0.5, "within a week of the third")],
+             [("t3", D(2024, 3, 1), 1.0, "c")],  # the watermark passes
+             [("t1", D(2024, 1, 2), 0.1, "behind the watermark"), ("t1", D(2024, 2, 26), 7.0, "a new session")],
+             [("t4", D(2024, 6, 1), 1.0, "closing")]]
     for rows_in in drops:
         spark.createDataFrame(rows_in, shape).coalesce(1).write.mode("append").parquet(src)
-        st.append_to(st.dedupe_within(spark.readStream.schema(shape).parquet(src), "transaction_id", "transaction_date", "7 days"), out, chk).awaitTermination()
-    assert sorted(r["transaction_id"] for r in spark.read.parquet(out).collect()) == ["t1", "t1", "t2", "t3", "t4"]
+        stream = spark.readStream.schema(shape).parquet(src)
+        query = st.append_to(st.dedupe_within(stream, "transaction_id", "transaction_date", ["transaction_date", "amount"]), out, chk)
+        query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect() if r["transaction_date"])
+    assert got == [("t1", D(2024, 1, 1), 4.0, "least amount"), ("t1", D(2024, 2, 26), 7.0, "a new session"), ("t2", D(2024, 1, 8), 1.0, "b"), ("t3", D(2024, 3, 1), 1.0, "c")]
+    assert [r["transaction_id"] for r in spark.read.parquet(out).where("transaction_date IS NULL").collect()] == ["n"]
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 1  # the closing event alone
 
 
 def test_table_functions_match_lookups(spark, rows):
@@ -185,3 +195,25 @@ def test_latency_windows_close_behind_the_watermark(spark, tmp_path):
     got = sorted((r["window_start"].minute, r["window_start"].second, r["total"], r["error_count"], r["max_ms"], r["p50_approx_ms"])
                  for r in spark.read.parquet(out).collect())
     assert got == [(0, 0, 3, 1, 30.0, 10.0), (0, 30, 1, 0, 5.0, 5.0), (5, 0, 1, 0, 1.0, 1.0)]
+
+
+def test_sketched_percentiles_hold_their_rank_error_and_merge(spark, tmp_path):
+    """Two windows of 6,000 events each: ranks within 2 %, also of the window made from both; closed windows leave the state."""
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    shape = "ts timestamp, success boolean, total_latency_ms double"
+    base = dt.datetime(2024, 1, 1)
+    values = [float((i * 7919) % 12_000) for i in range(12_000)]
+    drops = [[(base + dt.timedelta(seconds=30 * (i % 2) + i % 29), True, v) for i, v in enumerate(values)], [(base + dt.timedelta(hours=1), True, 1.0)]]
+    for rows_in in drops:
+        spark.createDataFrame(rows_in, shape).coalesce(2).write.mode("append").parquet(src)
+        query = st.append_to(st.latency_windows(spark.readStream.schema(shape).parquet(src), "ts"), out, chk)
+        query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 1
+    windows = spark.read.parquet(out)
+    for half, r in enumerate(sorted(windows.collect(), key=lambda r: r["window_start"])):
+        own = sorted(values[half::2])
+        for p, found in ((0.5, r["p50_approx_ms"]), (0.95, r["p95_approx_ms"])):
+            assert abs(own.index(found) / len(own) - p) <= 0.02
+    both = st.rollup_windows(windows, "1 minute").collect()
+    assert len(both) == 1 and both[0]["total"] == 12_000 and both[0]["max_ms"] == max(values)
+    assert abs(both[0]["p95_approx_ms"] / 12_000 - 0.95) <= 0.02 and abs(both[0]["p50_approx_ms"] / 12_000 - 0.5) <= 0.02
