@@ -4,10 +4,11 @@ A group may hold a third of all rows, so no step sorts or buffers a raw group:
 
 1. rows shrink to (group, value, count) with map-side combine: a spike of equal
    values is one row from then on;
-2. a histogram over values cut to five significant digits gives, per group, how
-   many rows lie before each bucket.  Its size is bounded by the digits (9e4
-   buckets per power of ten), whatever the row count;
-3. only the buckets that hold a wanted rank are opened, to single values.
+2. values fall into buckets: first by five significant digits, then each bucket
+   that is too full into equal parts of the range its values really have, again
+   and again, so values however close to each other part in the end;
+3. a histogram gives, per group, how many rows lie before each bucket;
+4. only the buckets that hold a wanted rank are opened, to single values.
 
 Everything is a deterministic function of the data, so a task recomputed after
 an executor loss agrees with the ones that survived.
@@ -20,7 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acreledger.sources.storage import staged
+
 DIGITS = 5
+# Rows that one task should order, and parts that a full bucket is split into.
+BUCKET_ROWS, PARTS = 100_000, 256
 
 
 def coarse(v: Column, digits: int = DIGITS) -> Column:
@@ -57,6 +62,25 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def refined(units: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Write the units (keys, __v, ..., __b) and split buckets of more than BUCKET_ROWS until none can be split.
+
+    A full bucket's values, from their least to their greatest, are dealt to PARTS
+    equal ranges; the least and the greatest always part, so every round gets on.
+    A part is named by where it begins, which keeps the order of the buckets.
+    """
+    units = staged(units, "units")
+    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(PARTS))
+    while True:
+        sizes = units.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__units"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        full = sizes.where(F.col("__units") > F.lit(BUCKET_ROWS)).withColumn("__step", width).where("__step > 0 AND __step < double('infinity')")
+        if not full.take(1):
+            return units
+        parted = null_safe(units, staged(full.select(*keys, "__b", "__lo", "__step"), "full"), [*keys, "__b"], "left")
+        begins = F.col("__lo") + F.floor((F.col("__v") - F.col("__lo")) / F.col("__step")).cast("double") * F.col("__step")
+        units = staged(parted.withColumn("__b", F.coalesce(begins, F.col("__b"))).drop("__lo", "__step"), "units")
+
+
 def _bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, bucket): rows before the bucket, rows in it, rows of the group."""
     hist = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__in"))
@@ -85,7 +109,7 @@ def percentiles(
     if const:
         df = df.withColumn("__all", F.lit(1))
     ks = keys or const
-    counts = value_counts(df, ks, value)
+    counts = refined(value_counts(df, ks, value), ks)
     offsets = _bucket_offsets(counts, ks)
 
     n = F.col("__n")
@@ -108,7 +132,7 @@ def percentiles(
         .select(*ks, "__b", "__before", "__n", "__want")
     )
     opened = null_safe(counts, located, [*ks, "__b"])
-    # buckets opened here hold one value-range each, so these windows stay small
+    # a bucket holds BUCKET_ROWS values at most
     inside = Window.partitionBy(*ks, "__b").orderBy("__v")
     upto = F.col("__before") + F.sum("__c").over(inside)
     hits = (
@@ -136,21 +160,25 @@ def percentiles(
     return sides.select(*keys, *out)
 
 
-def group_ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, salts: int = 1024) -> DataFrame:
+def group_ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, salts: int | None = None) -> DataFrame:
     """Add ``rank_no`` (1..n in value order) and ``group_n`` to every row.
 
     Same result as row_number() over the whole group, but the sorted units are
-    (group, value, salt): even a group with one repeated value is spread over
-    ``salts`` units.
+    (group, value, salt): a repeated value is spread over as many units as its
+    most frequent value needs to leave BUCKET_ROWS rows to each.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
+    if salts is None:
+        most = df.groupBy(*keys, (v + F.lit(0.0)).alias("__v")).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 1
+        salts = -(-2 * most // BUCKET_ROWS)
     # "+ 0.0" folds -0.0 into 0.0 so that join keys and order agree
     rows = df.withColumns({
         "__v": v + F.lit(0.0),
         "__s": F.pmod(F.xxhash64(tiebreak), F.lit(salts)).cast("int"),
     })
-    pieces = rows.groupBy(*keys, "__v", "__s").agg(F.count(F.lit(1)).alias("__c")).withColumn("__b", coarse(F.col("__v")))
+    pieces = rows.groupBy(*keys, "__v", "__s").agg(F.count(F.lit(1)).alias("__c"))
+    pieces = refined(pieces.withColumn("__b", coarse(F.col("__v"))), keys)
     offsets = _bucket_offsets(pieces, keys).select(*keys, "__b", "__before", "__n")
     inside = Window.partitionBy(*keys, "__b").orderBy("__v", "__s")
     starts = null_safe(pieces, offsets, [*keys, "__b"]).select(
@@ -174,7 +202,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rnk
     keys = list(keys)
     rows = df.withColumn("__v", -F.col(value).cast("double") + F.lit(0.0))
     counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    filled = counts.where(F.col("__v").isNotNull()).withColumn("__b", coarse(F.col("__v")))
+    filled = refined(counts.where(F.col("__v").isNotNull()).withColumn("__b", coarse(F.col("__v"))), keys)
     offsets = _bucket_offsets(filled, keys).select(*keys, "__b", "__before")
     inside = Window.partitionBy(*keys, "__b").orderBy("__v")
     ranked = null_safe(filled, offsets, [*keys, "__b"]).select(

@@ -97,3 +97,31 @@ def test_coarse_is_monotone(spark, values):
     df = spark.createDataFrame([(v,) for v in sorted(values + extra)], "v double")
     cut = [r["c"] for r in df.select("v", coarse(F.col("v")).alias("c")).orderBy("v").collect()]
     assert cut == sorted(cut)
+
+
+def test_narrow_values_part_over_buckets(spark, monkeypatch):
+    """Thousands of values within a millionth of each other, around both signs, and clusters inside clusters: bit-exact, no full bucket."""
+    from acreledger.operators import distribution
+
+    monkeypatch.setattr(distribution, "BUCKET_ROWS", 50)
+    rng = random.Random(3)
+    values = {"narrow": [1.5 + rng.random() * 1e-6 for _ in range(3000)], "negative": [-7.25 - rng.random() * 1e-6 for _ in range(500)],
+              "nested": [2.0 + rng.random() * 10.0 ** -rng.randint(5, 15) for _ in range(2000)], "spike": [3.0] * 4000 + [3.0 + 1e-9 * i for i in range(200)], "zero": [-0.0, 0.0, 5e-324] * 30}
+    rows = [(i, g, v) for i, (g, v) in enumerate((g, v) for g, vs in values.items() for v in vs)]
+    df = spark.createDataFrame(rows, "id long, grp string, v double")
+    units = distribution.refined(distribution.value_counts(df, ["grp"], "v"), ["grp"])
+    sizes = units.groupBy("grp", "__b").agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).collect()
+    assert all(r["n"] <= 50 or r["lo"] == r["hi"] for r in sizes)
+    for g in values:  # buckets keep the order of the values
+        spans = sorted((r["__b"], r["lo"], r["hi"]) for r in sizes if r["grp"] == g)
+        assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+    ps = {"p05": 0.05, "p50": 0.5, "p99": 0.99}
+    for r in percentiles(df, ["grp"], "v", ps).collect():
+        assert all(r[n] == interpolate(values[r["grp"]], p) for n, p in ps.items())
+    ranks = group_ranks(df, ["grp"], "v", "id").collect()
+    order = sorted(ranks, key=lambda r: (r["grp"], r["rank_no"]))
+    want = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    assert [(r["grp"], r["v"]) for r in order] == [(g, v) for _, g, v in want]
+    assert all(sorted(r["rank_no"] for r in ranks if r["grp"] == g) == list(range(1, len(vs) + 1)) for g, vs in values.items())
+    seen = {(r["grp"], r["v"]): r["rnk"] for r in value_ranks(df, ["grp"], "v").collect()}
+    assert all(seen[g, v] == 1 + sum(x > v for x in values[g]) for g in ("nested", "negative") for v in values[g][::50])
