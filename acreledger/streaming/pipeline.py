@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from acreledger.sources.readers import FILES_PER_BATCH, read_csv_by_header
+
 
 def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, partition_by: list[str] | None = None) -> StreamingQuery:
     """Append a stream to Parquet files.  Default trigger: everything available now, then stop."""
@@ -32,6 +35,20 @@ def microbatch(df: DataFrame, path: str, checkpoint: str, interval: str = "1 min
     return append_to(df, path, checkpoint, {"processingTime": interval})
 
 
+def csv_by_header(spark: SparkSession, root: str, schema: T.StructType, path: str, checkpoint: str) -> StreamingQuery:
+    """Append landed CSV files, columns by each file's header, to ``path``/b0, b1, ... (one folder a batch; a repeated batch replaces its own).
+
+    The stream lists files; their rows are read batch by batch. Restart it with a wider schema when files bring more columns.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", FILES_PER_BATCH).load(root)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        names = [r[0] for r in batch.collect()]  # file names, FILES_PER_BATCH at most
+        read_csv_by_header(spark, names, schema).write.mode("overwrite").parquet(f"{path}/b{batch_id}")
+
+    return files.select("path").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
     """One bounded update: run ``transform`` over all unseen files and wait for it."""
     append_to(transform(stream), path, checkpoint).awaitTermination()

@@ -90,17 +90,26 @@ query("src_ingest_metadata", "SELECT fund_id, 'funds' AS landing FROM funds")(
         "fund_id", F.regexp_extract("_source_file", "landing/([a-z]+)/", 1).alias("landing")))
 
 
-@query("src_schema_evolution", "SELECT fund_id, status FROM funds WHERE vintage_year % 2 = 1 UNION ALL SELECT fund_id, NULL FROM funds WHERE vintage_year % 2 = 0")
+@query("src_schema_evolution", " UNION ALL ".join(
+    f"SELECT '{fmt}' AS format, fund_id, aum, CASE WHEN vintage_year % 2 = 1 THEN status END AS status FROM funds" for fmt in ("json", "csv", "parquet")))
 def _(x):
-    # first drop without `status`, second drop with it; one stream, restarted with the wider schema
-    path = fresh(x, "evolution")
+    """First files without `status`, then files with it (in CSV before the other columns); each stream is restarted with the logged schema."""
+    out = None
     known = x.t.funds.drop("status").schema
-    x.t.funds.where("vintage_year % 2 = 0").drop("status").write.mode("append").json(f"{path}/in")
-    st.append_to(x.spark.readStream.schema(known).json(f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    x.t.funds.where("vintage_year % 2 = 1").write.mode("append").json(f"{path}/in")
-    wide = readers.evolved_schema(x.spark, known, "json", f"{path}/in")
-    st.append_to(x.spark.readStream.schema(wide).json(f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return x.spark.read.schema(wide).parquet(f"{path}/out").select("fund_id", "status")
+    for fmt in ("json", "csv", "parquet"):
+        path = fresh(x, f"evolution-{fmt}")
+        log = readers.SchemaLog(x.spark, f"{path}/log")
+        for rows in (x.t.funds.where("vintage_year % 2 = 0").drop("status"), x.t.funds.where("vintage_year % 2 = 1").select("status", *known.names)):
+            rows.write.mode("append").format(fmt).options(**({"header": "true", "escape": '"'} if fmt == "csv" else {})).save(f"{path}/in")
+            schema = log.evolve(known, fmt, f"{path}/in")
+            if fmt == "csv":
+                st.csv_by_header(x.spark, f"{path}/in", schema, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+            else:
+                st.append_to(x.spark.readStream.schema(schema).format(fmt).load(f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+        found = x.spark.read.schema(schema).parquet(f"{path}/out" + ("/b*" if fmt == "csv" else ""))
+        found = found.select(F.lit(fmt).alias("format"), "fund_id", "aum", "status")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 @query("src_path_param", "SELECT COUNT(*) AS row_count FROM properties")

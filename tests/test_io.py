@@ -217,3 +217,33 @@ def test_sketched_percentiles_hold_their_rank_error_and_merge(spark, tmp_path):
     both = st.rollup_windows(windows, "1 minute").collect()
     assert len(both) == 1 and both[0]["total"] == 12_000 and both[0]["max_ms"] == max(values)
     assert abs(both[0]["p95_approx_ms"] / 12_000 - 0.95) <= 0.02 and abs(both[0]["p50_approx_ms"] / 12_000 - 0.5) <= 0.02
+
+
+def test_schema_log_opens_new_files_only(spark, tmp_path, monkeypatch):
+    """Each update infers from what has landed since, also after one that died before it noted its files; CSV columns go by header."""
+    opened, real = [], readers.infer_schema
+    monkeypatch.setattr(readers, "infer_schema", lambda *args: opened.append(len(args[3])) or real(*args))
+    known = "a string, b int"
+    drops = ["a string, b int", "b int, c string, a string", "a string, d string"]
+    for fmt in ("json", "csv", "parquet"):
+        src, log, out = str(tmp_path / fmt), readers.SchemaLog(spark, str(tmp_path / f"log-{fmt}")), str(tmp_path / f"out-{fmt}")
+        opened.clear()
+        for i, shape in enumerate(drops):
+            row = {"a": f"a{i}", "b": i, "c": "c", "d": "d"}
+            names = [c.split()[0] for c in shape.split(", ")]
+            spark.createDataFrame([tuple(row[n] for n in names)], shape).coalesce(1).write.mode("append").format(fmt).option("header", "true").save(src)
+            if i == 1:  # dies after the schema, before the files are noted
+                publish = log.schemas.replace
+                log.schemas.replace = lambda df, publish=publish: publish(df) and 1 / 0
+                with pytest.raises(ZeroDivisionError):
+                    log.evolve(spark.createDataFrame([], known).schema, fmt, src)
+                log.schemas.replace = publish
+            schema = log.evolve(spark.createDataFrame([], known).schema, fmt, src)
+            assert log.evolve(spark.createDataFrame([], known).schema, fmt, src) == schema
+            if fmt == "csv":
+                st.csv_by_header(spark, src, schema, out, f"{out}-chk").awaitTermination()
+        assert opened == [1, 1, 1, 1]
+        assert sorted(schema.names) == ["a", "b", "c", "d"]
+        if fmt == "csv":
+            got = spark.read.schema(schema).parquet(f"{out}/b*").select("a", "b", "c", "d").collect()
+            assert sorted(tuple(r) for r in got) == [("a0", 0, None, None), ("a1", 1, "c", None), ("a2", None, None, "d")]
