@@ -32,7 +32,6 @@ NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar sidebars footer masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments disqus respond replies reply discussion share sharing social related recommended recommendations pagination pager widget complementary contentinfo search hidden".split())
-HEADER_WORDS = frozenset(["header", "banner"])
 # Words that take a class name's meaning back, and those that say nothing but layout.
 NEGATED = frozenset("no not non has have with without".split())
 LAYOUT = frozenset("area bar block box button buttons column container inner item items left link links list outer panel post posts right row section slot unit widget widgets wrap wrapper".split())
@@ -226,8 +225,8 @@ def main_element(root: Node) -> Node:
 
     It is widened to the article or main element that holds it, to parents that
     have little text beside it (headings, say), and to any parent up to the body
-    in which siblings reach the threshold as well; there other blocks before and
-    after the dense ones are cut, and link lists.
+    in which siblings reach the threshold as well or a headline stands before it;
+    there other blocks before and after these are cut, and link lists.
     """
     nodes = rate(root)
     body = next((n for n in nodes if n.name == "body"), root)
@@ -256,10 +255,10 @@ def main_element(root: Node) -> Node:
         if parent.name not in ("#root", "html", "body") and not spare and own is best and best.chars >= WIDEN * parent.chars:
             own = best = parent
             continue
-        beside, dense_too = others(parent, own, threshold)
+        beside, joined = others(parent, own, threshold)
         spare += beside
         own = parent
-        if dense_too:
+        if joined:
             best = parent
             for node in spare:
                 node.skipped = True
@@ -268,10 +267,12 @@ def main_element(root: Node) -> Node:
 
 
 def others(parent: Node, own: Node, threshold: float) -> tuple[list[Node], bool]:
-    """The parent's children that don't belong with the article part ``own`` of it, and whether any block beside it is dense.
+    """The parent's children that don't belong with the article part ``own`` of it, and whether any beside it do.
 
-    What stands between dense blocks belongs with them, as do headings before
-    the first, unless it is half links.
+    Dense blocks do, what stands between them unless it is half links, and headings
+    before the first. A headline further up does, alone or in a block with a lead,
+    with all from it to the article, if the article has none itself and no
+    block of links stands between.
     """
     children = [c for c in parent.items if isinstance(c, Node) and not c.skipped and c.chars]
     unlinked = {c for c in children if c is own or 2 * c.link_chars < c.chars}
@@ -279,7 +280,25 @@ def others(parent: Node, own: Node, threshold: float) -> tuple[list[Node], bool]
     first, last = dense[0], dense[-1]
     while first and children[first - 1].name in HEADINGS:
         first -= 1
-    return [c for i, c in enumerate(children) if not (first <= i <= last and c in unlinked)], len(dense) > 1
+    if not any(holds_headline(c) for c in children[first : last + 1]):
+        at = first
+        while at and children[at - 1] in unlinked:
+            at -= 1
+            if holds_headline(children[at]):
+                first = at
+                break
+    return [c for i, c in enumerate(children) if not (first <= i <= last and c in unlinked)], len(dense) > 1 or first < dense[0]
+
+
+def holds_headline(element: Node) -> bool:
+    """Whether a first heading with text stands in the element, or is it."""
+    stack = [element]
+    while stack:
+        node = stack.pop()
+        if node.name == "h1" and node.chars:
+            return True
+        stack += [c for c in node.items if isinstance(c, Node) and not c.skipped]
+    return False
 
 
 def blocks(element: Node) -> list[str]:

@@ -1,3 +1,4 @@
+import html
 import re
 
 import pytest
@@ -40,11 +41,13 @@ def test_frame(spark):
 def test_pages_give_their_documents(spark):
     """The pages of the test data wrap documents, which their address names."""
     sf = "/root/testdata/sf0.01"
+    titles = {r.url: re.search(r"<h1>(.*?)</h1>", r.html)[1] for r in spark.read.parquet(f"{sf}/pages.parquet").select("url", "html").collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     rows = queries.QUERIES["op9_html_extraction"](spark, sf).collect()
     assert len(rows) == 250
     for r in rows:
         doc = docs[int(re.search(r"\.(?:com|net|org)/[^/]+/(\d+)", r.url)[1])]
+        assert r.text.split("\n", 1)[0] == " ".join(html.unescape(titles[r.url]).split())
         assert r.text.split("\n", 1)[1] == "\n".join(x for x in (" ".join(line.split()) for line in doc.split("\n")) if x)
         assert r.n_chars == len(r.text)
 
@@ -56,6 +59,25 @@ def paragraphs(first, last):
     return "".join(f"<p>{p}</p>" for p in PROSE[first:last])
 
 
+@pytest.mark.parametrize(("before", "want"), [
+    ("<h1>My Title</h1>", "My Title\n"),
+    ("<div class='post-header'><h1>My Title</h1><p>Lead of it.</p></div>", "My Title\nLead of it.\n"),
+    ("<h1>My Title</h1><p>Lead of it.</p>", "My Title\nLead of it.\n"),
+    ("<div><div><h1>My Title</h1></div></div><p>By <a href=x>A</a>, a writer of long standing.</p>", "My Title\nBy A, a writer of long standing.\n"),
+    ("<p>We set cookies.</p><h1>My Title</h1>", "My Title\n"),
+    ("<h1>Site</h1><ul><li><a href=a>Home</a><li><a href=b>News</a></ul>", ""),
+    ("<div class=nav><h1>Site</h1></div>", ""),
+    ("<p>We set cookies.</p>", ""),
+])
+def test_headline_and_lead_beside_the_article(before, want):
+    page = f"<body>{before}<div class=content>{paragraphs(0, 6)}</div><div class=sidebar>x</div><footer>f</footer></body>"
+    assert main_text(page) == want + "\n".join(PROSE[:6])
+    inner = f"<body>{before}<div class=content><h1>Own head</h1>{paragraphs(0, 6)}</div></body>"
+    assert main_text(inner).endswith("Own head\n" + "\n".join(PROSE[:6]))
+    wrapped = f"<body><div class=page>{before}<div class=content>{paragraphs(0, 6)}</div></div><footer>f</footer></body>"
+    assert main_text(wrapped).endswith(want + "\n".join(PROSE[:6]))
+
+
 @pytest.mark.parametrize("start", ["<div class='overflow-hidden'>", "<div class='content no-sidebar'>", "<div class=has-sidebar>", "<div id=post-with-comments>", "<form action=x>", "<form><div class='page search'>", "<div class=discussion>", "<div class=share-price>"])
 def test_wrappers_of_the_article_stay(start):
     page = f"<body><div class=ad-slot>buy now</div>{start}<h1>T</h1>{paragraphs(0, 4)}<div class=related-posts><p>{LONG}</p></div><select><option>o</select>"
