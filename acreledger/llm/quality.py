@@ -9,6 +9,7 @@ whole-array operations: there is no loop over words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 8, 8, 0.3
 ORDERS = (2, 3, 4)
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 12 * 1024 * 1024
 THRESHOLD = 0.3
-#: Bytes of a text that are hashed at a time; the pieces end between words and their sums add up.
+#: Bytes of a text that are hashed at a time; what a piece leaves open goes on in the next.
 PIECE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACES = np.zeros(256, dtype=bool)
@@ -33,55 +34,72 @@ def bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * MIX >> np.uint64(47)).astype(np.int64) & (BUCKETS - 1)
 
 
-def pieces(data: bytes) -> list[bytes]:
-    out = []
-    while len(data) > PIECE:
-        cut = max(data.rfind(b" ", 0, PIECE), data.rfind(b"\n", 0, PIECE))
-        cut = cut if cut > 0 else PIECE
-        out.append(data[:cut])
-        data = data[cut:]
-    return [*out, data]
-
-
 def features(data: bytes) -> list[np.ndarray]:
     """Table rows of the words, the word pairs and the n-grams of each order."""
-    none = np.zeros(0, dtype=np.int64)
-    b = np.frombuffer(b" " + data + b" ", dtype=np.uint8)
-    space = SPACES[b]
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    if not len(starts):
-        return [none] * (2 + len(ORDERS))
-    ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
-    letters = np.where(space, 32, b).astype(np.uint64)
-    # a word's hash is the sum of its bytes, each mixed with its place in the word
-    size = ends - starts
-    place = (np.arange(len(b)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(b)]))).astype(np.uint64)
-    mixed = np.where(space, np.uint64(0), (letters + np.uint64(1) + place * np.uint64(257)) * MIX)
-    mixed ^= mixed >> np.uint64(31)
-    mixed = np.where(space, np.uint64(0), mixed * MIX)
-    words = np.add.reduceat(mixed, starts) + size.astype(np.uint64)
-    same = words[1:] == words[:-1]
-    pairs = np.where(same, np.uint64(7), words[:-1] * np.uint64(31) + words[1:])  # a word repeated at once is one feature
-    found = [bucket(words, 1), bucket(pairs, 2)]
-    gram = letters[:-1] << np.uint64(8) | letters[1:]
-    inside = space.astype(np.int8)
-    for n in ORDERS:
-        if n > 2:
-            gram = gram[:-1] << np.uint64(8) | letters[n - 1 :]
-        # no space but at the ends, and not spaces alone
-        middle = np.zeros(len(gram), dtype=np.int8)
-        for k in range(1, n - 1):
-            middle += inside[k : k + len(gram)]
-        ok = middle == 0 if n > 2 else ~(space[:-1] & space[1:])
-        found.append(bucket(gram[ok], 2 + n))
-    return found
+    return [np.concatenate(k) for k in zip(*features_by_piece(data), strict=True)]
+
+
+def features_by_piece(data: bytes) -> Iterator[list[np.ndarray]]:
+    """The features that end in each piece; words, pairs and n-grams go on over its edges."""
+    data = b" " + data + b" "
+    last = np.zeros(0, dtype=np.uint64)  # the word before
+    open_sum, open_size = np.uint64(0), 0  # the word that the piece before left open
+    near = np.zeros(0, dtype=np.uint64)  # the letters before
+    for at in range(0, len(data), PIECE):
+        b = np.frombuffer(data[at : at + PIECE], dtype=np.uint8)
+        space = SPACES[b]
+        letters = np.where(space, 32, b).astype(np.uint64)
+        # a word's hash is the sum of its bytes, each mixed with its place in the word
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        sizes = np.flatnonzero(~space & np.r_[space[1:], True]) + 1 - starts
+        goes_on = bool(open_size) and not space[0]
+        place = np.arange(len(b)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(b)]))
+        if goes_on:
+            place[: sizes[0]] += open_size
+        mixed = np.where(space, np.uint64(0), (letters + np.uint64(1) + place.astype(np.uint64) * np.uint64(257)) * MIX)
+        mixed ^= mixed >> np.uint64(31)
+        mixed = np.where(space, np.uint64(0), mixed * MIX)
+        sums = np.add.reduceat(mixed, starts) if len(starts) else np.zeros(0, dtype=np.uint64)
+        if goes_on:
+            sums[:1] += open_sum
+            sizes[0] += open_size
+        elif open_size:
+            sums, sizes = np.r_[open_sum, sums], np.r_[open_size, sizes]
+        open_sum, open_size = np.uint64(0), 0
+        if not space[-1]:
+            open_sum, open_size = sums[-1], int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        words = sums + sizes.astype(np.uint64)
+        row = np.r_[last, words]
+        same = row[1:] == row[:-1]
+        pairs = np.where(same, np.uint64(7), row[:-1] * np.uint64(31) + row[1:])  # a word repeated at once is one feature
+        last = row[-1:]
+        found = [bucket(words, 1), bucket(pairs, 2)]
+        around = np.r_[near, letters]
+        for n in ORDERS:
+            found.append(bucket(grams(around[max(0, len(near) - n + 1) :], n), 2 + n))
+        near = around[-(max(ORDERS) - 1) :]
+        yield found
+
+
+def grams(letters: np.ndarray, n: int) -> np.ndarray:
+    """Every n letters in a row as one number, without spaces but at the ends, and not spaces alone."""
+    if len(letters) < n:
+        return letters[:0]
+    inside = letters == 32
+    end = len(letters) - n + 1
+    gram = letters[:end]
+    middle = np.zeros(end, dtype=np.int8)
+    for k in range(1, n):
+        gram = gram << np.uint64(8) | letters[k : k + end]
+        if k < n - 1:
+            middle += inside[k : k + end]
+    return gram[middle == 0 if n > 2 else ~(inside[:-1] & inside[1:])]
 
 
 def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of a text and their shares in its mean vector."""
-    parts = [features(p) for p in pieces((text or "").encode("utf-8", "replace"))]
-    kinds = [np.concatenate(k) for k in zip(*parts, strict=True)]
-    kinds = [k for k in kinds if len(k)]
+    kinds = [k for k in features((text or "").encode("utf-8", "replace")) if len(k)]
     if not kinds:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
     rows, back = np.unique(np.concatenate(kinds), return_inverse=True)
@@ -134,8 +152,8 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
 
 def score_text(odds: np.ndarray, constant: float, text: str | None) -> float:
     sums, counts = np.zeros(2 + len(ORDERS)), np.zeros(2 + len(ORDERS))
-    for p in pieces((text or "").encode("utf-8", "replace")):
-        for k, rows in enumerate(features(p)):
+    for found in features_by_piece((text or "").encode("utf-8", "replace")):
+        for k, rows in enumerate(found):
             sums[k] += odds[rows].sum(dtype=np.float64)
             counts[k] += len(rows)
     has = counts > 0

@@ -119,15 +119,26 @@ def test_subword_features_are_word_local():
     assert [len(f) for f in quality.features(b" \n")] == [0] * 5
 
 
-def test_quality_sums_over_pieces(monkeypatch):
-    text = " ".join(f"word{i % 91}" for i in range(2000))
+@pytest.mark.parametrize("piece", [3, 7, 64, 500])
+def test_quality_features_go_on_over_pieces(monkeypatch, piece):
     odds = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
-    whole = quality.score_text(odds, 0.1, text)
-    monkeypatch.setattr(quality, "PIECE", 500)
-    assert abs(quality.score_text(odds, 0.1, text) - whole) < 0.01
+    for text in (" ".join(f"word{i % 91}" for i in range(400)), "x" * 3000, "a  b\n\n" * 200, "é ü" * 300 + " ", "", "a"):
+        monkeypatch.setattr(quality, "PIECE", 1 << 20)
+        whole, score = quality.features(text.encode()), quality.score_text(odds, 0.1, text)
+        monkeypatch.setattr(quality, "PIECE", piece)
+        for a, b in zip(whole, quality.features(text.encode()), strict=True):
+            assert a.tolist() == b.tolist()
+        assert abs(quality.score_text(odds, 0.1, text) - score) < 1e-9
     assert quality.score_text(odds, 0.0, None) == quality.score_text(odds, 0.0, "") == 0.5
 
 
+def test_quality_of_a_text_of_several_megabytes():
+    odds = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
+    assert 0 <= quality.score_text(odds, 0.0, "y" * 5_000_000) <= 1
+    unit = "some words of prose, then "
+    assert abs(quality.score_text(odds, 0.0, unit * 200_000) - quality.score_text(odds, 0.0, unit * 20_000)) < 1e-3
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_labelled_odd_rows(spark, module):
     docs = spark.createDataFrame([(*r, 9) for r in ODD] + [(i, f"fine words {i}", "en", 1) for i in range(20, 60)], "doc_id long, text string, lang string, PREDICTED int")
