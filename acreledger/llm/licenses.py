@@ -20,24 +20,33 @@ from acreledger.llm.common import fields, map_column
 
 # Names of licences and, for some, the standard text of their notice.
 NAMES = {
-    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL v3", "AGPL-3.0"],
-    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0"],
-    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"],
-    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "BSD-3-Clause"],
-    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0"],
-    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"],
-    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"],
-    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache License, Version 2", "Apache 2.0 License", "Apache 2 License", "Apache-2.0", "Apache v2", "Apache 2"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause"],
+    "CC-BY-4.0": [],
+    "CC-BY-NC-4.0": [],
+    "CC-BY-ND-4.0": [],
+    "CC-BY-SA-4.0": [],
     "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Zero 1.0 Universal License", "CC0-1.0"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GPL v2", "GPL-2.0"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GPL v3", "GPL-3.0"],
+    "GPL-2.0": ["GNU General Public License, version 2"],
+    "GPL-3.0": ["GNU General Public License, version 3"],
     "ISC": ["ISC License", "ISC"],
-    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPL v2.1", "LGPL-2.1"],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL v3", "LGPL-3.0"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
     "MIT": ["MIT License", "MIT"],
-    "MPL-2.0": ["Mozilla Public License, version 2.0", "MPL 2.0", "MPL-2.0"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL v2.0", "MPL-2.0", "MPL 2"],
 }
-FORMS = ["Licensed under the {}", "Licensed under {}", "Released under the {}", "Released under {}", "This work is licensed under the {}", "This work is licensed under {}", "Distributed under the {}", "SPDX-License-Identifier: {}"]
+for _id, _title, _version in (("AGPL-3.0", "Affero General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3")):
+    _versions = [_version] if "." in _version else [_version, _version + ".0"]
+    for _short in (_id.split("-")[0], "GNU " + _id.split("-")[0], "GNU " + _title):
+        NAMES[_id] += [f"{_short} {_mark}{_v}" for _v in _versions for _mark in ("v", "version ", "")]
+for _id, _title in (("CC-BY-4.0", "Attribution"), ("CC-BY-NC-4.0", "Attribution-NonCommercial"), ("CC-BY-ND-4.0", "Attribution-NoDerivatives"), ("CC-BY-SA-4.0", "Attribution-ShareAlike")):
+    NAMES[_id] += [_id, "Creative Commons " + _id[3:]] + [f"Creative Commons {_title} 4.0{_end}" for _end in (" International License", " International", " License", "")]
+FORMS = [
+    "Licensed under the {}", "Licensed under {}", "Licensed under a {}", "Released under the {}", "Released under {}", "This work is licensed under the {}", "This work is licensed under {}", "Distributed under the {}", "Distributed under {}",
+    "Available under the {}", "Available under {}", "Published under the {}", "Published under {}", "Under the terms of the {}", "Under the terms of {}", "Under the terms and conditions of the {}", "Covered by the {}", "Governed by the {}",
+    "Uses the {}", "License: {}", "SPDX-License-Identifier: {}"]
 TEXTS = {
     "Apache-2.0": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
@@ -62,21 +71,25 @@ TEXTS["BSD-2-Clause"] = [BSD.format(*n) + AS_IS for n in (("1. ", "2. "), ("", "
 TEXTS["BSD-3-Clause"] += [BSD.format(*n) + n[2] + TEXTS["BSD-3-Clause"][0] for n in (("1. ", "2. ", "3. "), ("", "", ""))]
 #: Words that tell licences apart; they may not differ from a wording.
 TELLING = frozenset("affero lesser library noncommercial noderivatives sharealike nc nd sa".split())
-CUES = ("licen", "copyright", "permission", "redistribut", "free software", "warrant", "spdx", "released under", "distributed under")
+CUES = ("licen", "copyright", "permission", "redistribut", "free software", "warrant", "spdx", "released under", "distributed under", "available under", "published under", "under the terms", "covered by", "governed by", "uses")
 
 #: Winners of the ranking reduce a block by this share of the best reduction, and by this least; words of a wording that may differ.
-NEAR, LEAST_REDUCTION, TOLERANCE = 0.6, 0.1, 0.1
+NEAR, LEAST_REDUCTION, TOLERANCE = 0.6, 0.02, 0.1
+#: A block of fewer characters in all gains nothing from compression; all licences are compared with it.
+SMALLEST = 32
 #: Wordings of fewer words must stand as they are.
 SHORT = 16
 LEVEL = 3
 TABLE_ENTRIES = 20_000
 #: Words of the windows that are ranked from each place where a wording may start, besides the longest.
-WINDOWS = (5, 8, 16, 40)
+WINDOWS = (2, 3, 4, 5, 8, 16, 40)
 #: Words of a wording that are looked up at once.
 ANCHOR = 3
 # Fixed value: words that lead from one licence's name to another's.
 LINKS = frozenset("or and the under either".split())
-WORDS = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*")
+#: A short name that a version follows at once is a word of its own.
+WORDS = re.compile(r"(?<![^\W_])(?:[al]?gpl|mpl|apache|bsd)(?=v?\d)|[^\W_]+(?:[.'’][^\W_]+)*", re.IGNORECASE)
+SPELLINGS = {"licence": "license", "licenced": "licensed", "licences": "licenses"}
 
 
 def wordings(license_id: str) -> list[str]:
@@ -85,7 +98,12 @@ def wordings(license_id: str) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return [spelled(w) for w in WORDS.findall(text)]
+
+
+def spelled(word: str) -> str:
+    low = word.lower()
+    return SPELLINGS.get(low, low)
 
 
 def differences(wording: list[str], block: list[str]) -> list[str] | None:
@@ -100,6 +118,8 @@ def differences(wording: list[str], block: list[str]) -> list[str] | None:
     if most == 0:
         return None
     part = block[: len(wording) + most]
+    if len(set(wording).difference(part)) > 2 * most:
+        return None  # each of them is a difference
     matcher = difflib.SequenceMatcher(None, wording, part, autojunk=False)
     out: list[str] = []
     for kind, a, b, c, d in matcher.get_opcodes():
@@ -116,19 +136,24 @@ class Scanner:
 
     def __init__(self) -> None:
         self.wordings = {i: sorted(((words(w), w) for w in wordings(i)), key=lambda x: (-len(x[0]), x[1])) for i in sorted(NAMES)}
+        self.brief = {tuple(w): i for i, ws in self.wordings.items() for w, _ in ws if len(w) < SHORT}
+        self.brief_sizes = sorted({len(w) for w in self.brief}, reverse=True)
+        self.full = {i: [w for w, _ in ws if len(w) >= SHORT] for i, ws in self.wordings.items()}
         self.longest = max(len(w) for ws in self.wordings.values() for w, _ in ws)
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.given = {}
         for i in sorted(NAMES):
-            content = "\n".join(wordings(i)).lower().encode()
+            # texts, then every form and every name once: a small dictionary, or short notices are lost in it
+            content = "\n".join(TEXTS.get(i, []) + [f.format(NAMES[i][0]) for f in FORMS] + NAMES[i]).lower().encode()
             self.given[i] = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.found: dict[str, tuple | None] = {}
         self.anchors: dict[tuple[str, ...], set[int]] = {}
         for wording in (w for ws in self.wordings.values() for w, _ in ws):
             # differences can't touch all of these: they are more than may differ, and none overlaps another
             last = 2 * int(TOLERANCE * len(wording)) if len(wording) >= SHORT else 0
-            for at in range(0, min(ANCHOR * last, len(wording) - ANCHOR) + 1, ANCHOR):
+            for at in range(0, max(0, min(ANCHOR * last, len(wording) - ANCHOR)) + 1, ANCHOR):
                 self.anchors.setdefault(tuple(wording[at : at + ANCHOR]), set()).add(at)
+        self.anchor_sizes = sorted({len(a) for a in self.anchors})
         self.names = {tuple(words(n)): i for i, ns in NAMES.items() for n in ns}
         self.longest_name = max(map(len, self.names))
 
@@ -141,8 +166,13 @@ class Scanner:
     def confirmed(self, block: list[str], ids: list[str]) -> tuple[str, int, list[str]] | None:
         """(licence, words, differences) of the longest wording, with the fewest differences, that the block starts with."""
         best = None
+        for n in self.brief_sizes:
+            i = self.brief.get(tuple(block[:n]))
+            if i in ids and len(block) >= n:
+                best = (-n, 0, i), (i, n, [])
+                break
         for i in ids:
-            for wording, _ in self.wordings[i]:
+            for wording in self.full[i]:
                 found = differences(wording, block)
                 if found is not None:
                     rank = (-len(wording), len(found), i)
@@ -152,6 +182,8 @@ class Scanner:
 
     def notice(self, block: str) -> tuple[str, int, list[str]] | None:
         """The notice that a block starts with, of the licences that win the ranking of a window from its start."""
+        if re.match(r"licen[cs]e\b(?!\s*[:=])", block, re.IGNORECASE):
+            return None  # what the word names stands behind a colon
         if block not in self.found:
             if len(self.found) >= TABLE_ENTRIES:
                 self.found.clear()
@@ -159,7 +191,8 @@ class Scanner:
             ids: set[str] = set()
             for n in (*(n for n in WINDOWS if n < len(ends)), len(ends)):
                 ranks = self.ranked(block[: ends[n - 1]])
-                least = max(LEAST_REDUCTION, NEAR * ranks[0][0])
+                tiny = n == len(ends) and ends[-1] < SMALLEST
+                least = -1 if tiny else max(LEAST_REDUCTION, NEAR * ranks[0][0])
                 ids |= {i for r, i in ranks if r >= least}
             self.found[block] = self.confirmed(words(block), sorted(ids))
         return self.found[block]
@@ -167,15 +200,16 @@ class Scanner:
     def starts(self, found: list[str]) -> list[int]:
         """Word places at which a wording may start: some of its words stand as far behind as in the wording."""
         out = set()
-        for i, key in enumerate(zip(*(found[k:] for k in range(ANCHOR)), strict=False)):
-            out |= {i - at for at in self.anchors.get(key, ()) if i >= at}
+        for size in self.anchor_sizes:
+            for i, key in enumerate(zip(*(found[k:] for k in range(size)), strict=False)):
+                out |= {i - at for at in self.anchors.get(key, ()) if i >= at}
         return sorted(out)
 
     def spans(self, text: str) -> tuple[list[re.Match], list[str]]:
         """The words of a text with their places; none without a cue."""
         low = text.lower()
         spans = list(WORDS.finditer(text)) if any(c in low for c in CUES) else []
-        return spans, [m[0].lower() for m in spans]
+        return spans, [spelled(m[0]) for m in spans]
 
     def blocks(self, text: str | None) -> Iterator[tuple[int, str]]:
         """(place, block): from each word at which a wording may start, as many words as the longest wording can take up."""

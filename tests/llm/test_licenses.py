@@ -1,11 +1,17 @@
 import pytest
 
 from acreledger.llm import licenses, queries
-from acreledger.llm.licenses import NAMES, Scanner, scan, wordings
+from acreledger.llm.licenses import NAMES, Scanner, scan
 
 SCANNER = Scanner()
 
 
+def usual(license_id):
+    """Every form with the first name, every name in the first form, and the texts."""
+    forms = [f.format(licenses.NAMES[license_id][0]) for f in licenses.FORMS]
+    return forms + [licenses.FORMS[0].format(n) for n in licenses.NAMES[license_id][1:]] + licenses.TEXTS.get(license_id, [])
+
+
 def brute(text):
     """Each sentence against each wording, without compression."""
     out, done = [], -1
@@ -22,7 +28,7 @@ def brute(text):
 
 @pytest.mark.parametrize("license_id", sorted(NAMES))
 def test_every_wording_is_found_in_a_text(license_id):
-    for wording in wordings(license_id):
+    for wording in usual(license_id):
         text = f"Some words before it.\nand more {'x' * 50}\n{wording}. Then more words follow here\nand there."
         assert [n["license"] for n in SCANNER.scan(text)] == [license_id], wording
         assert [x[0] for x in brute(text)] == [license_id]
@@ -38,6 +44,7 @@ def test_wording_differences():
     gpl = licenses.TEXTS["GPL-3.0"][0]
     assert [n["license"] for n in SCANNER.scan(gpl.replace("version 3", "version 2"))] == ["GPL-2.0"]
     assert SCANNER.scan(gpl.replace("version 3", "version 9")) == []
+    assert [n["license"] for w in ("License: AGPL v3", "Uses the LGPL 2.1", "License: ISC") for n in SCANNER.scan(w)] == ["AGPL-3.0", "LGPL-2.1", "ISC"]
     assert SCANNER.scan("Released under the terms of our license, ask us.") == [] == SCANNER.scan("We talk about the MIT License") == SCANNER.scan(None) == SCANNER.scan("")
 
 
@@ -70,7 +77,7 @@ def search(text):
 
 @pytest.mark.parametrize("license_id", sorted(NAMES))
 def test_wordings_inside_sentences(license_id):
-    for wording in wordings(license_id):
+    for wording in usual(license_id):
         text = f"Copyright (c) 2024 Some People and others who wrote the program in the years before and it is {wording} and so on as everybody who reads it knows well enough"
         assert {n["license"] for n in SCANNER.scan(text)} == {license_id} == search(text), wording
         assert [text[n["place"] :].startswith(wording[:5]) for n in SCANNER.scan(text)] == [True]
@@ -85,6 +92,16 @@ def test_wordings_inside_sentences(license_id):
     ("dual licensed under the MIT License and the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
     ("Licensed under MIT/Apache-2.0", ["MIT", "Apache-2.0"]),
     ("Licensed under the MIT License. And MIT is a school", ["MIT"]),
+    ("This project uses the MIT license.", ["MIT"]),
+    ("License: MIT", ["MIT"]),
+    ("licensed under the GNU GPL v3", ["GPL-3.0"]),
+    ("This software is licensed under GPLv3", ["GPL-3.0"]),
+    ("Available under the terms of the Apache 2.0 license", ["Apache-2.0"]),
+    ("Content is available under CC-BY-SA 4.0", ["CC-BY-SA-4.0"]),
+    ("Licence: GPLv2 or LGPLv2.1", ["GPL-2.0", "LGPL-2.1"]),
+    ("The licence MIT students like, and a license ISC knows", []),
+    ("It is licenced under a Creative Commons Attribution-NonCommercial 4.0 International Licence.", ["CC-BY-NC-4.0"]),
+    ("licensed under GPLv9", []),
 ])
 def test_notices_inside_sentences_and_dual_licences(text, want):
     assert [n["license"] for n in SCANNER.scan(text)] == want
