@@ -80,7 +80,7 @@ def _(x):
 @query("gold_property_financials", "SELECT * FROM gold_property")
 def _(x):
     return month_as_date(gold.property_financials(
-        silver.properties(x.t.properties), silver.funds(x.t.funds), silver.gl_transactions(x.t.gl_raw)))
+        silver.properties(x.t.properties), silver.funds(x.t.funds), silver.gl_transactions(x.t.gl_raw, silver.MEASURED)))
 
 
 @query("gold_investor_portfolio", "SELECT * FROM gold_investor")
@@ -90,13 +90,13 @@ def _(x):
 
 @query("gold_gl_monthly_summary", "SELECT * FROM gold_gl")
 def _(x):
-    return month_as_date(gold.gl_monthly_summary(silver.gl_transactions(x.t.gl_raw), silver.funds(x.t.funds)))
+    return month_as_date(gold.gl_monthly_summary(silver.gl_transactions(x.t.gl_raw, silver.MEASURED), silver.funds(x.t.funds)))
 
 
 @query("gold_arena_overview", "SELECT * FROM gold_arena")
 def _(x):
     return gold.arena_overview(silver.arenas(x.t.arenas), silver.funds(x.t.funds), silver.properties(x.t.properties),
-                               silver.investors(x.t.investors), silver.gl_transactions(x.t.gl_raw), AS_OF)
+                               silver.investors(x.t.investors), silver.gl_transactions(x.t.gl_raw, silver.MEASURED), AS_OF)
 
 
 # ------------------------------------------------------------ workload
