@@ -382,7 +382,7 @@ query("pub_reconcile_counts", """SELECT 'funds' AS table_name, (SELECT COUNT(*)
     CASE WHEN (SELECT COUNT(*) FROM fund_old) = (SELECT COUNT(*) FROM fund_new) THEN 'ok' ELSE 'mismatch' END AS status
   UNION ALL SELECT 'silver_gl', (SELECT COUNT(DISTINCT transaction_id) FROM gl_raw), (SELECT COUNT(DISTINCT transaction_id) FROM gl_raw), 'ok'
   UNION ALL SELECT 'arenas', (SELECT COUNT(*) FROM arenas), NULL, 'skipped'""")(
-    lambda x: pub.reconcile({"funds": fund_old(x), "silver_gl": silver.gl_transactions(x.t.gl_raw, silver.MEASURED), "arenas": x.t.arenas},
+    lambda x: pub.reconcile({"funds": fund_old(x), "silver_gl": silver.gl_transactions(x.t.gl_raw, silver.COUNTED), "arenas": x.t.arenas},
                             {"funds": fund_new(x), "silver_gl": x.silver("gl_transactions")}))
 query("pub_pk_check", "SELECT property_id, month, COUNT(*) AS row_count FROM (SELECT property_id, date_trunc('month', transaction_date)::DATE AS month FROM gl_raw) g GROUP BY 1, 2 HAVING COUNT(*) > 1")(
     lambda x: pub.pk_violations(x.t.gl_raw.select("property_id", s.month_date(F.col("transaction_date")).alias("month")), ["property_id", "month"]))
