@@ -3,11 +3,11 @@
 import pytest
 
 from acreledger.operators import aggregates as ag
-from acreledger.plans import fund_metrics, silver
-from acreledger.plans.lakehouse import SPREAD
+from acreledger.plans import fund_metrics, lakehouse, pcap, silver
+from acreledger.plans.lakehouse import SPREAD, Lakehouse
 from acreledger.sources import writers
 from acreledger.testbed import catalog
-from acreledger.testbed.registry import STAR_AS_OF
+from acreledger.testbed.registry import AS_OF, STAR_AS_OF
 from acreledger.testbed.tables import Tables
 
 COPIES = [("k1", "2000-01-02", 5.0, "a", "x", 1), ("k1", "2000-01-01", 5.0, "b", "x", 2), ("k1", "2000-01-01", 5.0, "a", "z", 3),
@@ -105,3 +105,12 @@ def test_a_count_of_the_ledger_shuffles_rules_and_order_alone(spark, star, rows)
     assert rows(counted.select(*silver.COUNTED)) == rows(kept.select(*silver.COUNTED))
     report = {r.table_name: r for r in catalog.QUERIES["pub_reconcile_counts"](spark, star.sf_dir).collect()}
     assert report["silver_gl"].source_rows == report["silver_gl"].target_rows == kept.count() > 0
+
+
+def test_the_precomputed_statement_is_written_without_a_range_shuffle(spark, star, rows, monkeypatch):
+    monkeypatch.setattr(lakehouse, "write_clustered", None)
+    table = Lakehouse(spark, star, "statement", AS_OF, STAR_AS_OF).table("gold_investor_pcap")
+    assert rows(table) == rows(pcap.investor_pcap(star)) != []
+    for file in table.inputFiles():
+        found = [tuple(r) for r in spark.read.parquet(file).select(*lakehouse.CLUSTERING["gold_investor_pcap"]).collect()]
+        assert found == sorted(found, key=lambda r: [v or "" for v in r])
