@@ -97,6 +97,16 @@ def test_report_facts_meet_everything_else_once(star, rows):
     assert rows(full.select(*key, "property_pl_usd")) == rows(facts.join(current, "fund_id").select(*key, "property_pl_usd"))
 
 
+@pytest.mark.parametrize("name", ["gold_gl_monthly_summary", "gold_property_financials", "gold_arena_overview"])
+def test_one_rollup_alone_writes_no_monthly_base(spark, star, rows, name):
+    alone, update = Lakehouse(spark, star, f"alone {name}", AS_OF), Lakehouse(spark, star, f"update {name}", AS_OF)
+    found = rows(alone.table(name))
+    assert found and "silver_gl_transactions" in alone._built[alone.root] and "silver_gl_monthly" not in alone._built[alone.root]
+    update.table("silver_gl_monthly")
+    assert "silver_gl_monthly" in update.ledger().inputFiles()[0]
+    assert found == rows(update.table(name))
+
+
 def test_a_count_of_the_ledger_shuffles_rules_and_order_alone(spark, star, rows):
     counted = silver.gl_transactions(star.gl_raw, silver.COUNTED)
     plan = optimized(counted.groupBy().count()).toString().split("Window")[1]
