@@ -69,8 +69,10 @@ def links(prints: DataFrame, name: str, max_bits: int = 3) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints that differ in at most ``max_bits`` (0 to 3) bits.
 
     Each fingerprint gives 4 rows to one side of the join and 68 to the other,
-    whatever the data; a key that many share is split by AQE's skew join. A pair
-    is kept at the first run of the ring that satisfies the budgets.
+    whatever the data; a key that many share is split by AQE's skew join. The join
+    is a sort-merge join by hint: Spark sizes both sides by the fingerprints before
+    they are exploded and would broadcast 68 times what it reckons. A pair is kept
+    at the first run of the ring that satisfies the budgets.
     """
     if not 0 <= max_bits < SEGMENTS:
         raise ValueError(f"at most {SEGMENTS - 1} bits")
@@ -106,7 +108,7 @@ def links(prints: DataFrame, name: str, max_bits: int = 3) -> DataFrame:
     for at in reversed(range(SEGMENTS)):
         first = F.when(within(at), F.lit(at).cast("long")).otherwise(first)
     match = (F.col("x.key") == F.col("y.key")) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_bits)
-    pairs = a.alias("x").join(b.alias("y"), match).select("a", "b", F.col("x.key").alias("key"))
+    pairs = a.alias("x").hint("merge").join(b.alias("y"), match).select("a", "b", F.col("x.key").alias("key"))
     # the join's larger side turns one bit of the second segment: with a and b in either role each run is met
     return pairs.filter(start == first).select("a", "b")
 
