@@ -98,3 +98,10 @@ def test_wide_report_rows_move_to_their_fund_and_period_alone(spark, rows, monke
         wide = [b for b in plans[0] if "gross_nav" in b.split("Arguments")[0]]
         moved = [b.split("Arguments")[1] for b in wide if "repartition(3)" not in b and "REPARTITION_BY_NUM" not in b]
         assert len(moved) == 1 and "hashpartitioning(fund_id" in moved[0] and "property_id" not in moved[0]
+
+
+def test_fund_periods_are_written_before_the_facts_move(star, monkeypatch):  # noqa: F811
+    labels = []
+    monkeypatch.setattr(fund_metrics, "staged", lambda df, label: labels.append(label) or staged(df, label))
+    assert fund_metrics.fund_rollup(star, STAR_AS_OF, ["signup"]).count() > 0
+    assert labels == ["property_period", "fund_period"]
