@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from acreledger.plans import medallion
 from acreledger.plans.medallion import run_update
-from acreledger.session import IN_PLACE, settings
+from acreledger.session import IN_PLACE, RELEASE, configure, settings
 from acreledger.sources import writers
 from acreledger.sources.versioned import Versioned
 from acreledger.streaming.ledger import kept_copies
@@ -78,3 +78,10 @@ def test_spread_versions_keep_other_partitions(spark, tmp_path):
     table.replace(rows(("a", 1), ("b", 2), ("b", 4)), cluster=["n"], spread=True)
     table.replace(rows(("a", 3)), only=["a"], spread=True)
     assert sorted((r["part"], r["n"]) for r in table.read().collect()) == [("a", 3), ("b", 2), ("b", 4)]
+
+
+def test_updates_pack_state_and_drop_shuffle_files(spark):
+    """State is on disk twice; shuffle files of an update's writes go with them."""
+    assert configure(spark).conf.get("spark.sql.streaming.stateStore.rocksdb.compression") == "zstd"
+    for values in (IN_PLACE, writers.SPREAD):
+        assert RELEASE.items() <= values.items()
