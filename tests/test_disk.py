@@ -1,4 +1,4 @@
-"""What stays on disk: shuffle files go with the write they served, and wide rows move to their (fund, period) alone."""
+"""What stays on disk: shuffle files go with the write they served, wide rows move to their (fund, period) alone, state is packed."""
 
 import re
 import time
@@ -9,8 +9,9 @@ from test_ledger_scale import star  # noqa: F401
 
 from acreledger.plans import fund_metrics, lakehouse
 from acreledger.plans.lakehouse import Lakehouse
-from acreledger.session import RELEASE, settings
+from acreledger.session import RELEASE, configure, settings
 from acreledger.sources.storage import staged
+from acreledger.testbed import catalog, q_io
 from acreledger.testbed.registry import AS_OF, STAR_AS_OF
 
 
@@ -48,6 +49,17 @@ def test_a_built_table_leaves_no_shuffle_files(spark, star):  # noqa: F811
     assert left_over(spark, before) == set()
 
 
+def test_a_closed_stream_packs_its_state_and_rows(spark, star, rows, monkeypatch):  # noqa: F811
+    paths, fresh = [], q_io.fresh
+    monkeypatch.setattr(q_io, "fresh", lambda x, label: paths.append(fresh(x, label)) or paths[-1])
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    kept = catalog.QUERIES["st_dedupe"](spark, star.sf_dir)
+    assert configure(spark).conf.get("spark.sql.streaming.stateStore.rocksdb.compression") == "zstd"
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == codec
+    files = [*spark.read.parquet(f"{paths[0]}/in").inputFiles(), *kept.inputFiles()]
+    assert kept.count() > 20 and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_the_precomputed_report_is_written_without_a_range_shuffle(spark, star, rows, monkeypatch):  # noqa: F811
     monkeypatch.setattr(lakehouse, "write_clustered", None)
     table = Lakehouse(spark, star, "report", AS_OF, STAR_AS_OF).table("gold_fund_attribution_period")
